@@ -53,65 +53,114 @@ def units(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", F.when(good, F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))).alias("vec"))
 
 
-def _compared(pivots: np.ndarray, threshold: float):
-    """Compares one tile of a bucket: rows side 0 against side 1, or side 0 with itself.
+SMALL, STEP = 64, 50_000
+
+
+def _links(u: np.ndarray, begin: np.ndarray, end: np.ndarray, side: np.ndarray, own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs (p, q) of the tiles begin..end whose cosine reaches the threshold. own: the tile is a block with itself; else side 0 meets side 1."""
+    found = []
+    size = end - begin
+    few = np.flatnonzero((size > 1) & (size <= SMALL))
+    rows = np.concatenate([np.arange(begin[k], end[k]) for k in few]) if len(few) else np.empty(0, np.int64)
+    tile = np.repeat(few, size[few])
+    after = end[tile] - rows - 1
+    p = np.repeat(rows, after)
+    q = p + 1 + np.arange(len(p)) - np.repeat(np.cumsum(after) - after, after)
+    meet = own[np.repeat(tile, after)] | (side[p] != side[q])
+    p, q = p[meet], q[meet]
+    for s in range(0, len(p), STEP):
+        x, y = p[s : s + STEP], q[s : s + STEP]
+        near = np.einsum("ij,ij->i", u[x], u[y]) >= threshold
+        found.append((x[near], y[near]))
+    for k in np.flatnonzero(size > SMALL):
+        r = np.arange(begin[k], end[k])
+        x, y = (r, r) if own[k] else (r[side[r] == 0], r[side[r] == 1])
+        i, j = np.nonzero(u[x] @ u[y].T >= threshold)
+        if own[k]:
+            i, j = i[i < j], j[i < j]
+        found.append((x[i], y[j]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _tiles(t: pa.Table, pivots: np.ndarray, threshold: float) -> pa.RecordBatch:
+    """Compares all tiles of a table sorted by tile.
 
     A pair counts in the first of its shared keys only. What leaves is for each vector
     the copies that it links to, and a spanning forest of the links.
     """
-
-    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        side = t.column("side").to_numpy()
-        cls, copies = t.column("cls").to_numpy(), t.column("copies").to_numpy()
-        x = np.array(t.column("vec").to_pylist(), float)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        u = x / np.linalg.norm(x, axis=1, keepdims=True)
-        order = np.sort(nearest(u, pivots), axis=1)
-        member = np.zeros((len(u), len(pivots)), np.int32)
+    key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+    side, cls, copies = (t.column(c).to_numpy() for c in ("side", "cls", "copies"))
+    u = np.array(t.column("vec").to_pylist(), float)
+    u /= np.abs(u).max(axis=1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    new = np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]
+    begin = np.flatnonzero(new)
+    p, q = _links(u, begin, np.r_[begin[1:], len(key)], side, (i == j)[begin], threshold)
+    if len(p):
+        ends, back = np.unique(np.r_[p, q], return_inverse=True)
+        order = np.sort(nearest(u[ends], pivots), axis=1)
+        member = np.zeros((len(ends), len(pivots)), np.int8)
         np.put_along_axis(member, order, 1, axis=1)
-        own = key[0].as_py()
-        a = np.flatnonzero(side == 0)
-        b = np.flatnonzero(side == 1) if (side == 1).any() else a
-        link = u[a] @ u[b].T >= threshold
-        if b is a:
-            link &= cls[a][:, None] < cls[b][None, :]
-        i, j = np.nonzero(link)
-        if len(i):
-            both = member[a[i]] & member[b[j]]
-            need = min(SHARED, order.shape[1])
-            first = np.zeros(len(i), np.int64)
-            left = both.copy()
-            for _ in range(need):
+        mine = np.zeros(len(p), bool)
+        for s in range(0, len(p), STEP):
+            left = member[back[s : min(s + STEP, len(p))]] & member[back[len(p) + s : len(p) + min(s + STEP, len(p))]]
+            first = np.zeros(len(left), np.int64)
+            for _ in range(min(SHARED, order.shape[1])):
                 k = left.argmax(axis=1)
                 first = first * 65536 + k
-                left[np.arange(len(i)), k] = 0
-            mine = first == own
-            i, j = i[mine], j[mine]
-        p, q = a[i], b[j]
-        n = np.bincount(p, copies[q], len(cls)) + np.bincount(q, copies[p], len(cls))
-        root = list(range(len(cls)))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        ea, eb = [], []
-        for s, e in zip(p.tolist(), q.tolist(), strict=True):
-            r, o = find(s), find(e)
-            if r != o:
-                root[max(r, o)] = min(r, o)
-                ea.append(cls[s])
-                eb.append(cls[e])
-        some = np.flatnonzero(n)
-        none = pa.nulls
-        return pa.table({
-            "cls": pa.concat_arrays([pa.array(cls[some], pa.int64()), none(len(ea), pa.int64())]),
-            "links": pa.concat_arrays([pa.array(n[some].astype(np.int64)), none(len(ea), pa.int64())]),
-            "a": pa.concat_arrays([none(len(some), pa.int64()), pa.array(ea, pa.int64())]),
-            "b": pa.concat_arrays([none(len(some), pa.int64()), pa.array(eb, pa.int64())]),
-        })
+                left[np.arange(len(left)), k] = 0
+            mine[s : s + STEP] = first == key[p[s : s + STEP]]
+        p, q = p[mine], q[mine]
+    ids, at = np.unique(cls, return_inverse=True)
+    n = np.bincount(at[p], copies[q], len(ids)) + np.bincount(at[q], copies[p], len(ids))
+    root = list(range(len(ids)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    ea, eb = [], []
+    for s, e in zip(at[p].tolist(), at[q].tolist(), strict=True):
+        r, o = find(s), find(e)
+        if r != o:
+            root[max(r, o)] = min(r, o)
+            ea.append(ids[s])
+            eb.append(ids[e])
+    some = np.flatnonzero(n)
+    none = lambda k: pa.nulls(k, pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.concat_arrays([pa.array(ids[some], pa.int64()), none(len(ea))]),
+            pa.concat_arrays([pa.array(n[some].astype(np.int64)), none(len(ea))]),
+            pa.concat_arrays([none(len(some)), pa.array(ea, pa.int64())]),
+            pa.concat_arrays([none(len(some)), pa.array(eb, pa.int64())]),
+        ],
+        names=["cls", "links", "a", "b"],
+    )
+
+
+def _compared(pivots: np.ndarray, threshold: float):
+    """Whole tiles of a sorted partition, as many at a time as a batch holds; the last tile of a batch waits for the next."""
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            if not t.num_rows:
+                continue
+            key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+            last = (key == key[-1]) & (i == i[-1]) & (j == j[-1])
+            cut = int(last.argmax())
+            if cut:
+                yield _tiles(t.slice(0, cut), pivots, threshold)
+            held = t.slice(cut).combine_chunks()
+        if held is not None and held.num_rows:
+            yield _tiles(held, pivots, threshold)
 
     return run
 
@@ -143,7 +192,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, n_pivots:
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"), (k < F.col("block")).cast("int").alias("side")))
     rows = rows.select("key", "cls", F.explode(tiles).alias("t")).select("key", "cls", "t.*")
     rows = rows.join(good.select(F.col("cls").cast("long").alias("cls"), "copies", "vec"), "cls")
-    found = checkpoint(rows.repartition(partitions(spark), "key", "i", "j").groupBy("key", "i", "j").applyInArrow(_compared(pivots, threshold), "cls long, links long, a long, b long"))
+    found = checkpoint(rows.select("key", "i", "j", "side", "cls", "copies", "vec").repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compared(pivots, threshold), "cls long, links long, a long, b long"))
     links = found.where("cls IS NOT NULL").groupBy("cls").agg(F.sum("links").alias("links"))
     comp = connected_components(found.where("a IS NOT NULL").select("a", "b"))
     per_class = classes.select("code", "copies", F.col("cls").cast("long").alias("cls")).join(links, "cls", "left").join(comp, F.col("cls") == F.col("node"), "left")
