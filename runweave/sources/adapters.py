@@ -5,6 +5,8 @@ Each view is SQL that Spark and DuckDB both run, but for the few words in DIALEC
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: word in the text -> (Spark, DuckDB)
@@ -108,9 +110,11 @@ def with_tables(ctes: str, body: str) -> str:
 
 
 def sql(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
-    """Runs SQL over frames by their names."""
-    ctes = ",\n".join(f"{n} AS (SELECT * FROM {{{n}}})" for n in frames)
-    return spark.sql(with_tables(ctes, text.replace("{", "{{").replace("}", "}}")), **frames)
+    """Runs SQL over frames by their names, which stand after FROM or JOIN; keywords are in capitals, aliases are not."""
+    text = text.replace("{", "{{").replace("}", "}}")
+    names = "|".join(frames)
+    text = re.sub(rf"\b(FROM|JOIN)\s+({names})\b(?:\s+([a-z]\w*))?", lambda m: f"{m[1]} {{{m[2]}}} {m[3] or m[2]}", text)
+    return spark.sql(text, **frames)
 
 
 def duck(text: str, names: tuple[str, ...]) -> str:
