@@ -13,10 +13,14 @@ EVENT_TYPES = (
 #: Side effects by rank.
 SIDE_EFFECTS = ("read_only", "workspace_write", "external_write", "destructive")
 
-STATUS = """CASE WHEN type LIKE '%.failed' THEN 'failed' WHEN type LIKE '%.completed' THEN 'completed' WHEN type LIKE '%.requested' THEN 'requested'
- WHEN type = 'run.started' THEN 'started' WHEN type = 'state.changed' THEN 'changed' WHEN type = 'checkpoint.created' THEN 'checkpoint'
- WHEN type = 'decision.recorded' THEN 'decided' ELSE 'unknown' END"""
-FOLD_KIND = "CASE WHEN type LIKE 'model.%delta%' OR type LIKE 'model.%chunk%' OR type LIKE 'model.%stream%' THEN 'model-stream' WHEN type LIKE 'tool.%' THEN 'low-level' END"
+#: The state that an event type stands for; the first rule that holds counts.
+STATUS = """CASE WHEN type LIKE '%.failed' THEN 'failed' WHEN type LIKE '%.completed' THEN 'completed' WHEN type = 'state.changed' THEN 'changed'
+ WHEN type = 'decision.recorded' THEN 'recorded' WHEN type = 'checkpoint.created' THEN 'checkpointed'
+ WHEN type LIKE '%.requested' OR type = 'run.started' THEN 'started' ELSE 'unknown' END"""
+#: Words of streamed model events, and the first words of low-level types.
+STREAM_WORDS = ("delta", "stream", "chunk", "token", "partial", "segment")
+LOW_LEVEL = ("span", "telemetry", "trace", "log", "debug", "internal", "stream")
+FOLD_KIND = "CASE WHEN type LIKE 'model.%' AND (" + " OR ".join(f"type LIKE '%{w}%'" for w in STREAM_WORDS) + ") THEN 'model-stream' WHEN " + " OR ".join(f"type LIKE '{w}.%'" for w in LOW_LEVEL) + " THEN 'low-level' END"
 
 
 def pointer_escape(c: Column) -> Column:

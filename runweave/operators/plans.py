@@ -65,9 +65,9 @@ WITH r AS (SELECT te.run_id, te.event_id, te.pos, te.parent_id, CASE WHEN te.eve
 m AS (SELECT *, max(declared) OVER (PARTITION BY run_id) AS has FROM r) SELECT run_id, event_id FROM m WHERE (has = 1 AND declared = 1) OR (has = 0 AND parent_id IS NULL)"""),
     "fold_groups": (("te",), f"WITH {GROUPS} SELECT run_id, node_id, n_events, first_sequence, last_sequence, label FROM nodes"),
     "graph_nodes": (("te",), f"WITH {GROUPS} SELECT run_id, node_id, n_events, first_sequence, last_sequence, first_timestamp, last_timestamp, actor, status, label FROM nodes"),
-    "graph_filtered_nodes": (("te",), f"WITH {GROUPS} SELECT run_id, node_id, status FROM nodes WHERE status IN ('failed', 'requested') AND last_sequence >= 3 AND first_sequence <= 20 AND actor IN ('actor_1', 'actor_2', 'multiple')"),
+    "graph_filtered_nodes": (("te",), f"WITH {GROUPS} SELECT run_id, node_id, status FROM nodes WHERE status IN ('failed', 'started') AND last_sequence >= 3 AND first_sequence <= 20 AND actor IN ('actor_1', 'actor_2', 'multiple')"),
     "dag_edges": (("te",), f"WITH {GROUPS} SELECT DISTINCT run_id, from_id, to_id FROM edges"),
-    "graph_filtered_edges": (("te",), f"WITH {GROUPS}, v AS (SELECT run_id, node_id FROM nodes WHERE status <> 'requested') SELECT DISTINCT edges.run_id, from_id, to_id FROM edges JOIN v a ON a.run_id = edges.run_id AND a.node_id = from_id JOIN v b ON b.run_id = edges.run_id AND b.node_id = to_id"),
+    "graph_filtered_edges": (("te",), f"WITH {GROUPS}, v AS (SELECT run_id, node_id FROM nodes WHERE status <> 'started') SELECT DISTINCT edges.run_id, from_id, to_id FROM edges JOIN v a ON a.run_id = edges.run_id AND a.node_id = from_id JOIN v b ON b.run_id = edges.run_id AND b.node_id = to_id"),
     "tree_edges": (("te",), f"WITH {GROUPS} SELECT run_id, from_id, to_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, to_id ORDER BY t, q, from_id) AS k FROM edges) x WHERE k = 1"),
     "timeline_edges": (("te",), f"WITH {GROUPS} SELECT run_id, node_id AS from_id, to_id FROM (SELECT *, lead(node_id) OVER (PARTITION BY run_id ORDER BY first_timestamp, first_sequence, node_id) AS to_id FROM nodes) x WHERE to_id IS NOT NULL"),
     "mermaid_lines": (("te",), f"""WITH {GROUPS}, k AS (SELECT run_id, node_id, label, status, row_number() OVER (PARTITION BY run_id ORDER BY first_timestamp, first_sequence, node_id) - 1 AS i FROM nodes)
@@ -123,7 +123,7 @@ FROM (SELECT DISTINCT digest, byte_length FROM ar WHERE doc_id % 3 <> 0) r FULL
     "policy_decisions": (("te",), """WITH rules AS (SELECT 1 AS rule_index, 'tool.requested' AS type, cast(NULL AS @text) AS actor, 'deny' AS effect UNION ALL SELECT 2, NULL, 'actor_1', 'allow' UNION ALL SELECT 3, 'model.requested', NULL, 'allow'),
 m AS (SELECT te.run_id, te.event_id, min(r.rule_index) AS first_rule FROM te LEFT JOIN rules r ON (r.type IS NULL OR r.type = te.type) AND (r.actor IS NULL OR r.actor = te.actor) WHERE te.type LIKE '%.requested' GROUP BY te.run_id, te.event_id)
 SELECT m.run_id, m.event_id, coalesce(rules.effect, 'deny') AS effect, m.first_rule FROM m LEFT JOIN rules ON rules.rule_index = m.first_rule"""),
-    "compatibility": (("mf",), "SELECT run_id, schema_version IN ('0.1.0', '0.2.0') AS readable, schema_version = '0.0.0' AS migratable FROM mf"),
+    "compatibility": (("mf",), "SELECT run_id, CASE schema_version WHEN '0.2.0' THEN 'executable' WHEN '0.1.0' THEN 'migratable' WHEN '0.0.0' THEN 'migratable' ELSE 'view_only' END AS status, schema_version IN ('0.1.0', '0.2.0') AS readable, schema_version = '0.2.0' AS can_execute FROM mf"),
     "diff_outputs": (("te",), """SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.sequence, b.sequence) AS sequence, CASE WHEN a.run_id IS NULL THEN 'unexpected' WHEN b.run_id IS NULL THEN 'missing' ELSE 'changed' END AS kind
 FROM (SELECT run_id, sequence, value FROM te WHERE n % 19 <> 3) a FULL JOIN (SELECT run_id, sequence, CASE WHEN n % 23 = 4 THEN value + 1 ELSE value END AS value FROM te WHERE n % 29 <> 6) b ON a.run_id = b.run_id AND a.sequence = b.sequence
 WHERE a.run_id IS NULL OR b.run_id IS NULL OR a.value <> b.value"""),

@@ -32,7 +32,7 @@ FROM (SELECT concat('run_', lpad(cast(user_id AS @text), 6, '0')) AS run_id,
        CASE WHEN lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN NULL
             ELSE concat('evt_', lpad(cast(lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS @text), 9, '0')) END AS parent_id,
        CASE event_type WHEN 'signup' THEN 'model.requested' WHEN 'view' THEN 'model.delta' WHEN 'click' THEN 'tool.requested'
-            WHEN 'purchase' THEN 'tool.completed' ELSE 'tool.failed' END AS type,
+            WHEN 'purchase' THEN 'tool.completed' ELSE CASE WHEN event_id % 4 = 1 THEN 'log.written' ELSE 'tool.failed' END END AS type,
        @iso(ts) AS ts_text, @micros(ts) AS us, concat('actor_', cast(event_id % 5 AS @text)) AS actor, value, event_id AS n
       FROM events) x""",
     # the same with faults: a missing parent, a gap, a repeated id, an unknown type
