@@ -98,9 +98,10 @@ o AS (SELECT run_id, kind, correlation_key, max(CASE WHEN type LIKE '%.completed
 SELECT t.run_id, concat('node_', t.kind, '_', cast(row_number() OVER (PARTITION BY t.run_id ORDER BY first_sequence) AS @text)) AS node_id, t.correlation_key, max_attempts, CASE WHEN coalesce(completed, 0) = 1 THEN 'fail' ELSE 'continue' END AS on_failure
 FROM t LEFT JOIN o ON t.run_id = o.run_id AND t.kind = o.kind AND t.correlation_key = o.correlation_key"""),
     "compile_deps": (("ct",), "SELECT a.run_id, concat('node_model_', cast(a.k AS @text)) AS node_id, concat('node_model_', cast(a.k - 1 AS @text)) AS depends_on FROM (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY sequence) AS k FROM ct WHERE type = 'model.requested') a WHERE a.k > 1"),
-    "export_spans": (("te",), f"""WITH {CALLS}, p AS (SELECT run_id, correlation_key, max(sequence) AS start_sequence FROM req GROUP BY run_id, correlation_key)
-SELECT md5(concat('t|', p.run_id)) AS trace_id, substr(md5(concat(p.run_id, '|', p.correlation_key)), 1, 16) AS span_id, p.start_sequence, fin.sequence AS end_sequence, CASE WHEN fin.type LIKE '%.failed' THEN 3 WHEN fin.type IS NULL THEN 0 ELSE 2 END AS status_code
-FROM p LEFT JOIN fin ON p.run_id = fin.run_id AND p.correlation_key = fin.correlation_key AND fin.back = 1"""),
+    "export_spans": (("te",), f"""WITH {CALLS}, p AS (SELECT run_id, correlation_key, max(sequence) AS start_sequence, max_by(kind, sequence) AS kind FROM req GROUP BY run_id, correlation_key)
+SELECT trace_id, substr(@sha256(text), 1, 16) AS span_id, start_sequence, end_sequence, status_code FROM (
+ SELECT t.trace_id, concat('span:', p.run_id, ':', p.kind, ':', p.correlation_key) AS text, p.start_sequence, fin.sequence AS end_sequence, CASE WHEN fin.type LIKE '%.failed' THEN 3 WHEN fin.type IS NULL THEN 0 ELSE 2 END AS status_code
+ FROM p JOIN (SELECT run_id, substr(@sha256(text), 1, 32) AS trace_id FROM (SELECT DISTINCT run_id, concat('trace:', run_id) AS text FROM te) x) t ON t.run_id = p.run_id LEFT JOIN fin ON p.run_id = fin.run_id AND p.correlation_key = fin.correlation_key AND fin.back = 1) y"""),
     "export_links": (("dt",), "SELECT run_id, event_id, parent_id AS linked FROM (SELECT *, row_number() OVER (PARTITION BY run_id, event_id ORDER BY substr(md5(parent_id), 1, 16), parent_id) AS k FROM dt WHERE parent_id IS NOT NULL) x WHERE k > 1"),
     "export_losses": (("dt",), "SELECT run_id, 'multiple_parents_collapsed' AS code, cast(sum(n - 1) AS bigint) AS n FROM (SELECT run_id, event_id, count(*) AS n FROM dt WHERE parent_id IS NOT NULL GROUP BY run_id, event_id HAVING count(*) > 1) x GROUP BY run_id"),
     "export_batches": (("sp",), "SELECT trace_id, batch, count(*) AS n_spans, min(start_ns) AS first_ns FROM (SELECT *, cast(floor((row_number() OVER (PARTITION BY trace_id ORDER BY start_ns, span_id, n) - 1) / 16) AS bigint) AS batch FROM sp) x GROUP BY trace_id, batch"),

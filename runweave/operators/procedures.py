@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 import tempfile
 
 import pandas as pd
@@ -190,9 +189,9 @@ def otlp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted(text: F.Column, rules=REDACTION_RULES, strategy: str = "mask") -> F.Column:
-    """Applies regex rules in order: mask leaves [category], remove leaves nothing, reference leaves a digest of the match's text."""
+    """Applies regex rules in order: mask leaves the category's mark, remove leaves nothing. References are made by recovery.Pipeline."""
     for name, pattern in rules:
-        text = F.regexp_replace(text, pattern, "" if strategy == "remove" else f"[{name}]")
+        text = F.regexp_replace(text, pattern, "" if strategy == "remove" else f"[REDACTED:{name}]")
     return text
 
 
@@ -207,35 +206,6 @@ def redaction_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def redact_json(value, rules: list[tuple[str, str, str]]):
-    """value with rules (pointer pattern, category, strategy) applied, and the entries of what was redacted; * stands for any one key."""
-    entries = []
-
-    def match(pattern: list[str], path: list[str]) -> bool:
-        return len(pattern) == len(path) and all(p in ("*", k) for p, k in zip(pattern, path, strict=True))
-
-    def walk(v, path: list[str]):
-        for pointer, category, strategy in rules:
-            if match(_keys(pointer), path):
-                entries.append({"category": category, "path": "/" + "/".join(k.replace("~", "~0").replace("/", "~1") for k in path), "strategy": strategy})
-                return None if strategy == "remove" else f"[{re.sub('[^a-z0-9_-]', '_', category.lower())}]"
-        if isinstance(v, dict):
-            return {k: x for k, y in v.items() if (x := walk(y, [*path, k])) is not None or y is None}
-        if isinstance(v, list):
-            return [walk(y, [*path, str(k)]) for k, y in enumerate(v)]
-        return v
-
-    return walk(value, []), entries
-
-
-def redact_json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    @F.pandas_udf("string")
-    def clean(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: json.dumps(redact_json(json.loads(t), [("/k", "key", "mask")])[0], sort_keys=True, separators=(",", ":")))
-
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", clean("props").alias("props"))
-
-
 def state_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", scalar.state_hash(F.col("props")).alias("state_hash"))
 
@@ -246,14 +216,13 @@ def otlp_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _UUID = "concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), concat('4', substr(h, 14, 3)), concat(translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab'), substr(h, 18, 3)), substr(h, 21, 12))"
-QUERIES = {f.__name__: f for f in (state_fold, event_cycles, otlp_forest, redact_regex, redaction_entries, redact_json_paths, state_hash, otlp_ids)}
+QUERIES = {f.__name__: f for f in (state_fold, event_cycles, otlp_forest, redact_regex, redaction_entries, state_hash, otlp_ids)}
 _CLEAN = "text"
 for _n, _p in REDACTION_RULES:
-    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '[{_n}]', 'g')"
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_p}', '[REDACTED:{_n}]', 'g')"
 ORACLES = {
     "redact_regex": f"SELECT doc_id, sha256({_CLEAN}) AS digest FROM documents WHERE {_CLEAN} <> text",
     "redaction_entries": " UNION ALL ".join(f"SELECT doc_id, '{n}' AS category, len(regexp_extract_all(text, '{p}'))::BIGINT AS n FROM documents WHERE len(regexp_extract_all(text, '{p}')) > 0" for n, p in REDACTION_RULES),
-    "redact_json_paths": """SELECT event_id, '{"k":"[key]"}' AS props FROM events""",
     "state_hash": "SELECT event_id, sha256(replace(props, ' ', '')) AS state_hash FROM events",
     "otlp_ids": adapters.duck(
         f"SELECT trace_id, span_id, n, concat('run_', {_UUID.replace('h,', 'hr,')}) AS run_id, concat('evt_', {_UUID.replace('h,', 'he,')}) AS event_id FROM (SELECT *, sha256(concat('otlp-run:', trace_id)) AS hr, sha256(concat('otlp-event:', trace_id, ':', span_id)) AS he FROM sp) x",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators import otlp, plans, procedures, replay, workflow
+from ..operators import otlp, plans, procedures, recovery, replay, workflow
 from ..streaming import append
 
-QUERIES = {**plans.QUERIES, **procedures.QUERIES, **otlp.QUERIES, **replay.QUERIES, **workflow.QUERIES, **append.QUERIES}
-ORACLES = {**plans.ORACLES, **procedures.ORACLES, **otlp.ORACLES, **replay.ORACLES, **append.ORACLES}
+QUERIES = {**plans.QUERIES, **procedures.QUERIES, **otlp.QUERIES, **recovery.QUERIES, **replay.QUERIES, **workflow.QUERIES, **append.QUERIES}
+ORACLES = {**plans.ORACLES, **procedures.ORACLES, **otlp.ORACLES, **recovery.ORACLES, **replay.ORACLES, **append.ORACLES}
