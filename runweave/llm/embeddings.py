@@ -13,13 +13,28 @@ from .common import checkpoint, connected_components, partitions
 
 PIVOTS, PREFIX, SHARED = 256, 7, 3
 THRESHOLD = 0.9
+DRAWN, APART = 4, 0.8
 BLOCK = 512
 
 
 def pick_pivots(units: DataFrame, n: int = PIVOTS) -> np.ndarray:
-    """The n distinct unit vectors of the smallest hashes: the index's bounded sample."""
-    rows = units.orderBy(F.xxhash64("unit"), "cls").limit(n).select("unit").collect()
-    return np.array([r[0] for r in rows], float)
+    """Up to n reference vectors with cosines below APART between them, from the DRAWN * n distinct unit vectors of the smallest hashes (the index's bounded sample).
+
+    Without the distance, a large group of near copies would hold many of the pivots, whose order is noise to the group's own members.
+    """
+    rows = [r[0] for r in units.orderBy(F.xxhash64("unit"), "cls").limit(DRAWN * n).select("unit").collect()]
+    if not rows:
+        return np.empty((0, 0))
+    drawn = np.array([r for r in rows if len(r) == len(rows[0])], float)
+    chosen = np.empty((min(n, len(drawn)), drawn.shape[1]))
+    k = 0
+    for v in drawn:
+        if k == len(chosen):
+            break
+        if not k or (chosen[:k] @ v).max() < APART:
+            chosen[k] = v
+            k += 1
+    return chosen[:k]
 
 
 def nearest(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:

@@ -481,3 +481,17 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
+
+
+def test_large_group_of_near_copies(spark):
+    from runweave.llm import embeddings
+
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=32)
+    x = np.r_[rng.normal(size=(900, 32)), near + 0.08 * rng.normal(size=(600, 32))]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embeddings.near_duplicates(df).orderBy("vec_id").toPandas()
+    assert (got.n_links.to_numpy() <= want).all() and got.n_links.sum() >= 0.97 * want.sum()
+    assert set(got.component_id[900:]) == {900}
