@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -14,6 +15,7 @@ from .common import checkpoint, connected_components, partitions
 PIVOTS, PREFIX, SHARED = 256, 7, 3
 THRESHOLD = 0.9
 DRAWN, APART = 4, 0.8
+ROWS, MOST_PIVOTS = 10_000, 4096
 BLOCK = 512
 
 
@@ -37,6 +39,15 @@ def pick_pivots(units: DataFrame, n: int = PIVOTS) -> np.ndarray:
     return chosen[:k]
 
 
+def pivots_for(rows: int) -> int:
+    """PIVOTS up to ROWS rows, then with the cube root of the rows, up to MOST_PIVOTS.
+
+    Two unrelated vectors share SHARED = 3 pivots with a chance that falls with the third power of the number of pivots, so candidate
+    pairs grow with the rows up to there.
+    """
+    return min(MOST_PIVOTS, max(PIVOTS, math.ceil(PIVOTS * (rows / ROWS) ** (1 / 3))))
+
+
 def nearest(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarray:
     """Numbers of the nearest pivots in order of distance."""
     k = min(prefix, len(pivots))
@@ -180,10 +191,10 @@ def _compared(pivots: np.ndarray, threshold: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, n_pivots: int = PIVOTS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, n_pivots: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vec_id, embedding.
 
-    Equal vectors are one class from the start. Classes are described by their PREFIX nearest of n_pivots reference vectors, and
+    Equal vectors are one class from the start. Classes are described by their PREFIX nearest of n_pivots reference vectors (default: pivots_for the classes), and
     retrieved through inverted lists: sharing SHARED pivots is sharing one of the lists of their triples. A list
     is dealt in blocks of BLOCK rows and compared block against block, so no task holds
     a whole hot list. Retrieved pairs are verified by cosine in doubles. Vectors of another length than the first pivot's, and null, zero or
@@ -195,7 +206,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, n_pivots:
     classes = v.where("code IS NOT NULL").groupBy("code").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies"), F.any_value("vec").alias("vec"))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     classes = checkpoint(classes.withColumn("unit", F.transform("vec", lambda x: x / norm)))
-    pivots = pick_pivots(classes, n_pivots)
+    pivots = pick_pivots(classes, n_pivots or pivots_for(classes.count()))
     if not len(pivots):
         return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
     width = len(pivots[0])
