@@ -43,10 +43,11 @@ def show(df, out) -> int:
 
 
 def exported(corpus: Corpus):
-    """Requests of the call spans, metadata only."""
-    s = plans.run("export_spans", corpus.spark, te=corpus.single())
-    span = F.struct(F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.struct(F.col("status_code").alias("code")).alias("status"))
-    return queue.requests(s.select(F.lit('{"attributes":[]}').alias("resource"), F.lit('{"name":"runweave"}').alias("scope"), F.col("start_sequence").alias("start_ns"), "span_id", span.alias("span")))
+    """Requests of all spans, metadata only."""
+    s = corpus.export()[0]
+    link = F.transform("links", lambda x: F.struct(F.when(x.contains("/"), F.substring_index(x, "/", 1)).otherwise(F.col("trace_id")).alias("traceId"), F.substring_index(x, "/", -1).alias("spanId")))
+    text = F.struct(F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.col("parent_span_id").alias("parentSpanId"), "name", F.col("start_ns").cast("string").alias("startTimeUnixNano"), F.col("end_ns").cast("string").alias("endTimeUnixNano"), F.struct(F.col("status_code").alias("code")).alias("status"), F.when(F.size("links") > 0, link).alias("links"))
+    return queue.requests(s.select(F.lit('{"attributes":[]}').alias("resource"), F.lit('{"name":"runweave"}').alias("scope"), "start_ns", "span_id", text.alias("span")))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:

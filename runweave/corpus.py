@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .operators import plans, recovery, replay, workflow
+from .operators import ancestors, export, plans, recovery, replay, workflow
 from .sources import snapshots
 
 KINDS = {"causal-dag": "dag_edges", "call-tree": "tree_edges", "timeline": "timeline_edges"}
@@ -88,13 +89,25 @@ class Corpus:
 
     def compile(self) -> DataFrame:
         """workflow_id, doc."""
-        s = replay.schedule(self.calls())
-        done = replay.recorded(self.calls(), self.parents())[0].where("outcome = 'completed'").select("run_id", "kind", "correlation_key").distinct().withColumn("ok", F.lit(True))
-        g = s.groupBy("run_id", "kind", "correlation_key").agg(F.min("sequence").alias("first"), F.count("*").alias("max_attempts")).join(done, ["run_id", "kind", "correlation_key"], "left")
-        from pyspark.sql import Window as W
-
+        calls = self.calls()
+        s = replay.schedule(calls)
+        done = replay.recorded(calls, self.parents())[0].where("outcome = 'completed'").select("run_id", "kind", "correlation_key").distinct().withColumn("ok", F.lit(True))
+        g = s.groupBy("run_id", "kind", "correlation_key").agg(F.min("sequence").alias("first"), F.count("*").alias("max_attempts"), F.min_by("target", "sequence").alias("target")).join(done, ["run_id", "kind", "correlation_key"], "left")
         number = F.row_number().over(W.partitionBy("run_id").orderBy("first"))
-        return workflow.compiled(g.select("run_id", F.concat(F.lit("node_"), "kind", F.lit("_"), number.cast("string")).alias("node_id"), "correlation_key", "max_attempts", F.when(F.col("ok"), "fail").otherwise("continue").alias("on_failure")))
+        nodes = g.select("run_id", F.concat(F.lit("node_"), "kind", F.lit("_"), number.cast("string")).alias("node_id"), "correlation_key", "max_attempts", "target", F.when(F.col("ok"), "stop").otherwise("continue").alias("on_failure"))
+        return workflow.compiled(nodes, ancestors.dependencies(self.events, workflow.calls_of(calls, nodes)))
+
+    def export(self, policy: str = "metadata-only", redact=None) -> tuple[DataFrame, DataFrame]:
+        """(spans, losses) of all runs: imported runs keep the ids of their source."""
+        get = lambda k: F.expr(f"try_variant_get(payload, '$.{k}', 'string')")
+        e = self.events.select("run_id", "event_id", "sequence", "type", "timestamp", "parent_ids", get("correlation_key").alias("correlation_key"), F.coalesce(get("model"), get("tool")).alias("target"), F.to_json("payload").alias("payload"))
+        m = self.manifests
+        absent = {"terminal_status": "string", "source": "string", "completeness": "string", "limitations": "array<string>"}
+        m = m.select("run_id", *[(F.col("limitations.code") if c == "limitations" and m.schema[c].dataType.typeName() == "array" else F.col(c)).cast(t).alias(c) if c in m.columns else F.lit(None).cast(t).alias(c) for c, t in absent.items()])
+        foreign = m.where("source = 'otel-import'").select("run_id")
+        spans, _, losses = export.native(e.join(foreign, "run_id", "left_anti"), m, policy, redact)
+        again, lost = export.imported(e.join(foreign, "run_id", "left_semi"), policy, redact)
+        return spans.unionByName(again), losses.unionByName(lost)
 
     def redact(self, pipeline: recovery.Pipeline) -> DataFrame:
         """run_id, event_id, json, entries, error of each event's payload."""

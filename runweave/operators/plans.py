@@ -95,7 +95,7 @@ SELECT w.run_id, w.event_id, w.at AS ancestor_id, w.depth FROM walk w JOIN ct c
 SELECT run_id, event_id, ancestor_id, depth FROM walk"""),
     "compile_nodes": (("te",), f"""WITH {CALLS}, t AS (SELECT run_id, kind, correlation_key, min(sequence) AS first_sequence, count(*) AS max_attempts FROM req GROUP BY run_id, kind, correlation_key),
 o AS (SELECT run_id, kind, correlation_key, max(CASE WHEN type LIKE '%.completed' THEN 1 ELSE 0 END) AS completed FROM fin GROUP BY run_id, kind, correlation_key)
-SELECT t.run_id, concat('node_', t.kind, '_', cast(row_number() OVER (PARTITION BY t.run_id ORDER BY first_sequence) AS @text)) AS node_id, t.correlation_key, max_attempts, CASE WHEN coalesce(completed, 0) = 1 THEN 'fail' ELSE 'continue' END AS on_failure
+SELECT t.run_id, concat('node_', t.kind, '_', cast(row_number() OVER (PARTITION BY t.run_id ORDER BY first_sequence) AS @text)) AS node_id, t.correlation_key, max_attempts, CASE WHEN coalesce(completed, 0) = 1 THEN 'stop' ELSE 'continue' END AS on_failure
 FROM t LEFT JOIN o ON t.run_id = o.run_id AND t.kind = o.kind AND t.correlation_key = o.correlation_key"""),
     "compile_deps": (("ct",), "SELECT a.run_id, concat('node_model_', cast(a.k AS @text)) AS node_id, concat('node_model_', cast(a.k - 1 AS @text)) AS depends_on FROM (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY sequence) AS k FROM ct WHERE type = 'model.requested') a WHERE a.k > 1"),
     "export_spans": (("te",), f"""WITH {CALLS}, p AS (SELECT run_id, correlation_key, max(sequence) AS start_sequence, max_by(kind, sequence) AS kind FROM req GROUP BY run_id, correlation_key)
@@ -121,9 +121,8 @@ FROM (SELECT DISTINCT digest, byte_length FROM ar WHERE doc_id % 3 <> 0) r FULL
     "latest_valid_checkpoint": (("ck", "te"), "SELECT run_id, checkpoint_id, sequence FROM (SELECT ck.*, row_number() OVER (PARTITION BY ck.run_id ORDER BY ck.sequence DESC) AS k FROM ck JOIN te ON te.run_id = ck.run_id AND te.sequence = ck.sequence AND te.event_id = ck.last_event_id WHERE ck.hash_ok) x WHERE k = 1"),
     "eligibility": (("mf",), "SELECT run_id, CASE WHEN schema_version = '0.1.0' THEN 'native' WHEN source IN ('native', 'otel-import') AND schema_version = '0.2.0' THEN source ELSE 'otel-import' END AS source, schema_version = '0.1.0' OR (schema_version = '0.2.0' AND source = 'native' AND completeness = 'complete') AS executable FROM mf"),
     "migrated_manifest": (("mf",), "SELECT run_id, CASE WHEN schema_version IN ('0.0.0', '0.1.0') THEN '0.2.0' ELSE schema_version END AS schema_version, schema_version <> '0.2.0' AS migrated FROM mf"),
-    "policy_decisions": (("te",), """WITH rules AS (SELECT 1 AS rule_index, 'tool.requested' AS type, cast(NULL AS @text) AS actor, 'deny' AS effect UNION ALL SELECT 2, NULL, 'actor_1', 'allow' UNION ALL SELECT 3, 'model.requested', NULL, 'allow'),
-m AS (SELECT te.run_id, te.event_id, min(r.rule_index) AS first_rule FROM te LEFT JOIN rules r ON (r.type IS NULL OR r.type = te.type) AND (r.actor IS NULL OR r.actor = te.actor) WHERE te.type LIKE '%.requested' GROUP BY te.run_id, te.event_id)
-SELECT m.run_id, m.event_id, coalesce(rules.effect, 'deny') AS effect, m.first_rule FROM m LEFT JOIN rules ON rules.rule_index = m.first_rule"""),
+    "policy_decisions": (("te",), """SELECT run_id, event_id, CASE WHEN first_rule IN (2, 3) THEN 'allow' ELSE 'deny' END AS effect, first_rule
+FROM (SELECT run_id, event_id, CASE WHEN type = 'tool.requested' THEN 1 WHEN actor = 'actor_1' THEN 2 WHEN type = 'model.requested' THEN 3 END AS first_rule FROM te WHERE type LIKE '%.requested') x"""),
     "compatibility": (("mf",), "SELECT run_id, CASE schema_version WHEN '0.2.0' THEN 'executable' WHEN '0.1.0' THEN 'migratable' WHEN '0.0.0' THEN 'migratable' ELSE 'view_only' END AS status, schema_version IN ('0.1.0', '0.2.0') AS readable, schema_version = '0.2.0' AS can_execute FROM mf"),
     "diff_outputs": (("te",), """SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.sequence, b.sequence) AS sequence, CASE WHEN a.run_id IS NULL THEN 'unexpected' WHEN b.run_id IS NULL THEN 'missing' ELSE 'changed' END AS kind
 FROM (SELECT run_id, sequence, value FROM te WHERE n % 19 <> 3) a FULL JOIN (SELECT run_id, sequence, CASE WHEN n % 23 = 4 THEN value + 1 ELSE value END AS value FROM te WHERE n % 29 <> 6) b ON a.run_id = b.run_id AND a.sequence = b.sequence

@@ -103,20 +103,25 @@ def state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- graphs ----------------------------------------------------------------------------------
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder that the cluster names; a temporary one only where none is named, as in tests."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
+    return df.checkpoint()
+
+
 def cyclic_events(edges: DataFrame, nodes: DataFrame, run: str = "run_id", max_rounds: int = 200) -> DataFrame:
     """Events whose parents never all resolve: members of cycles and what follows from them.
 
     nodes: (run_id, event_id); edges: (run_id, parent_id, event_id) between known events. Sources are peeled off round by round.
     """
-    spark = nodes.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
-    left = nodes.select(run, "event_id").distinct().checkpoint()
+    left = checkpointed(nodes.select(run, "event_id").distinct())
     edges = edges.select(run, "parent_id", "event_id").distinct()
     before = left.count()
     for _ in range(max_rounds):
         held = edges.join(left.withColumnRenamed("event_id", "parent_id"), [run, "parent_id"], "left_semi").select(run, "event_id").distinct()
-        left = left.join(held, [run, "event_id"], "left_semi").checkpoint()
+        left = checkpointed(left.join(held, [run, "event_id"], "left_semi"))
         now = left.count()
         if now == before:
             return left

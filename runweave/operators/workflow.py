@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..sources import adapters
 from . import plans
+from .ancestors import dependencies
 
 MISSING = object()
 
@@ -175,10 +177,10 @@ def readiness(node: dict, results: dict) -> str:
     return "ready"
 
 
-def schema_accepts(schema: dict | None, value) -> bool:
+def schema_accepts(schema: dict | bool | None, value) -> bool:
     """The subset of JSON Schema that workflows use: type, enum, const, required, properties, items, bounds."""
-    if not schema:
-        return True
+    if schema is None or isinstance(schema, bool):
+        return schema is not False
     kinds = {"null": lambda v: v is None, "boolean": lambda v: isinstance(v, bool), "integer": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and float(v).is_integer(), "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool), "string": lambda v: isinstance(v, str), "array": lambda v: isinstance(v, list), "object": lambda v: isinstance(v, dict)}
     types = schema.get("type", [])
     types = [types] if isinstance(types, str) else types
@@ -268,7 +270,7 @@ class Semantic:
                     done[name] = (status, tries)
                     if output is not MISSING:
                         made[name] = output
-                    if status == "failed" and node.get("on_failure", "fail") == "fail":
+                    if status == "failed" and node.get("on_failure", "stop") == "stop":
                         codes.append("NODE_FAILED")
                         done |= dict.fromkeys(left, ("blocked", 0))
                         left = {}
@@ -290,26 +292,49 @@ class Semantic:
 # --- documents made from traces ---------------------------------------------------------------
 
 
-def compiled(nodes: DataFrame) -> DataFrame:
-    """(run_id, node_id, correlation_key, max_attempts, on_failure) -> workflow_id, doc: one document a run, its nodes in a chain by number."""
-    number = F.regexp_extract("node_id", r"(\d+)$", 1).cast("int")
-    kind = F.regexp_extract("node_id", "^node_([a-z]+)_", 1)
-    rows = F.array_sort(F.collect_list(F.struct(number.alias("k"), "node_id", kind.alias("kind"), "max_attempts", "on_failure")))
-    g = nodes.groupBy("run_id").agg(rows.alias("n"))
-    before = lambda k: F.when(k > 0, F.array(F.struct(F.get(F.col("n.node_id"), k - 1).alias("node_id"), F.lit("success").alias("on")))).otherwise(F.array().cast("array<struct<node_id:string,on:string>>"))
-    body = F.transform("n", lambda x, k: F.struct(x["node_id"].alias("node_id"), x["kind"].alias("kind"), before(k).alias("depends_on"), F.array().cast("array<struct<kind:string>>").alias("success_conditions"), F.struct(x["max_attempts"].alias("max_attempts")).alias("retry"), x["on_failure"].alias("on_failure")))
-    result = F.create_map(F.lit("result"), F.struct(F.struct(F.element_at(F.col("n.node_id"), -1).alias("node_id")).alias("from")))
-    return g.select(F.concat(F.lit("workflow_"), F.regexp_replace("run_id", "[^A-Za-z0-9_-]", "_")).alias("workflow_id"), F.to_json(F.struct(body.alias("nodes"), F.create_map().cast("map<string,string>").alias("inputs"), result.alias("outputs"))).alias("doc"))
+def compiled(nodes: DataFrame, needs: DataFrame) -> DataFrame:
+    """workflow_id, doc: one document a run, its nodes in order of number, each after the nodes that it needs.
+
+    nodes: run_id, node_id, max_attempts, on_failure, target; needs: run_id, node_id, depends_on.
+    """
+    after = needs.groupBy("run_id", "node_id").agg(F.transform(F.array_sort(F.collect_set("depends_on")), lambda d: F.struct(d.alias("node_id"), F.lit("success").alias("on"))).alias("depends_on"))
+    n = nodes.join(after, ["run_id", "node_id"], "left")
+    is_model = F.col("node_id").startswith("node_model_")
+    node = F.struct(
+        F.regexp_extract("node_id", r"(\d+)$", 1).cast("int").alias("k"), "node_id", F.when(is_model, "agent_task").otherwise("tool_call").alias("kind"),
+        F.when(is_model, "Run the recorded model call.").alias("goal"), F.when(~is_model, F.col("target")).alias("tool"),
+        F.coalesce("depends_on", F.array().cast("array<struct<node_id:string,on:string>>")).alias("depends_on"),
+        F.array(F.struct(F.lit("output_schema").alias("kind"), F.lit(True).alias("schema"))).alias("success_conditions"),
+        F.when(F.col("max_attempts") > 1, F.struct("max_attempts")).alias("retry"), "on_failure",
+    )
+    g = n.groupBy("run_id").agg(F.array_sort(F.collect_list(node)).alias("n"))
+    body = F.transform("n", lambda x: x.dropFields("k"))
+    result = F.create_map(F.lit("result"), F.struct(F.struct(F.element_at(F.col("n.node_id"), -1).alias("node_id")).alias("from"), F.lit(True).alias("schema")))
+    return g.select(F.concat(F.lit("workflow_"), F.regexp_replace("run_id", "[^A-Za-z0-9_-]", "_")).alias("workflow_id"), F.to_json(F.struct(F.lit("agent-workflow").alias("workflow_type"), body.alias("nodes"), F.create_map().cast("map<string,string>").alias("inputs"), result.alias("outputs"))).alias("doc"))
+
+
+def calls_of(events: DataFrame, nodes: DataFrame) -> DataFrame:
+    """run_id, event_id, node_id, is_request: the requests and ends of each node, by kind and key."""
+    e = events.where("type LIKE '%.requested' OR type LIKE '%.completed' OR type LIKE '%.failed'").select("run_id", "event_id", F.substring_index("type", ".", 1).alias("kind"), "correlation_key", F.col("type").endswith(".requested").alias("is_request"))
+    named = nodes.select("run_id", "node_id", "correlation_key", F.regexp_extract("node_id", "^node_([a-z]+)_", 1).alias("kind"))
+    return e.join(named, ["run_id", "kind", "correlation_key"]).select("run_id", "event_id", "node_id", "is_request")
+
+
+def _compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    te = adapters.views(spark, sf_dir, ("te",))["te"]
+    nodes = plans.run("compile_nodes", spark, te=te).withColumn("target", F.col("correlation_key"))
+    events = te.select("run_id", "event_id", "type", F.array_compact(F.array("parent_id")).alias("parent_ids"), F.format_string("key_%d", F.col("n") % 4).alias("correlation_key"))
+    return compiled(nodes, dependencies(events, calls_of(events, nodes)))
 
 
 def workflow_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = compiled(plans.QUERIES["compile_nodes"](spark, sf_dir))
+    d = _compiled(spark, sf_dir)
     return d.select("workflow_id", F.sha2(scalar.canonical_json(F.col("doc")), 256).alias("digest"), F.size(F.from_json("doc", "nodes array<struct<node_id:string>>")["nodes"]).cast("long").alias("n_nodes"))
 
 
 def workflow_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compiled documents with faults put in by rule: a dependency that doesn't exist, or a repeated node."""
-    d = compiled(plans.QUERIES["compile_nodes"](spark, sf_dir)).withColumn("k", F.regexp_extract("workflow_id", r"(\d+)$", 1).cast("long"))
+    d = _compiled(spark, sf_dir).withColumn("k", F.regexp_extract("workflow_id", r"(\d+)$", 1).cast("long"))
     bad = F.when(F.col("k") % 5 == 1, F.replace("doc", F.lit('"from":{"node_id":"'), F.lit('"from":{"node_id":"gone_'))).when(F.col("k") % 5 == 2, F.regexp_replace("doc", r'"depends_on":\[\]', '"depends_on":[{"node_id":"gone","on":"success"}]')).otherwise(F.col("doc"))
     return validated(d.select("workflow_id", bad.alias("doc")))
 

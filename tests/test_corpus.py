@@ -36,7 +36,10 @@ def test_corpus(spark, folder):
     assert s.state_json == '{"a":{"x":1}}' and s.state_hash == hashlib.sha256(b'{"a":{"x":1}}').hexdigest()
     done, bad = c.replay()
     assert done.first().outcome == "completed" and bad.count() == 0
-    assert json.loads(c.compile().first().doc)["nodes"][0] == {"node_id": "node_tool_1", "kind": "tool", "depends_on": [], "success_conditions": [], "retry": {"max_attempts": 1}, "on_failure": "fail"}
+    assert json.loads(c.compile().first().doc)["nodes"] == [{"node_id": "node_tool_1", "kind": "tool_call", "tool": "t", "depends_on": [], "success_conditions": [{"kind": "output_schema", "schema": True}], "on_failure": "stop"}]
+    spans, lost = c.export()
+    assert {r.name: (r.parent_span_id is None, r.status_code, r.start_ns % 10**10 // 10**9, r.end_ns % 10**10 // 10**9) for r in spans.collect()} == {"agent.run": (True, 0, 1, 5), "tool.call": (False, 2, 2, 3)}
+    assert {(r.code, r.n) for r in lost.collect()} == {("content_filtered", 3)}
     p = recovery.Pipeline(fields=(("/arguments/api_key", "api_key"),))
     assert c.redact(p).where("event_id = 'e2'").first().entries[0].path == "/arguments/api_key"
 
@@ -50,7 +53,7 @@ def test_command_line(spark, folder):
     assert json.loads(run("inspect", str(folder))[1])["tool_calls"] == 1
     assert run("graph", str(folder), "--format", "mermaid")[1].startswith("flowchart TD\n")
     assert run("replay", str(folder))[0] == 0
-    assert json.loads(run("export-otel", str(folder), "--dry-run")[1])["spans"] == 1
+    assert json.loads(run("export-otel", str(folder), "--dry-run")[1])["spans"] == 2
     assert run("nothing")[0] == 2 and run("export-otel", str(folder))[0] == 2
     spans = [{"traceId": "1" * 32, "spanId": "2" * 16, "startTimeUnixNano": "5", "name": "n"}]
     (folder / "x.json").write_text(json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": spans}]}]}))
