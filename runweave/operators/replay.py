@@ -42,7 +42,7 @@ def schedule(events: DataFrame) -> DataFrame:
 
 
 def recorded(events: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(outcomes: run_id, kind, correlation_key, attempt, event_id, outcome, value; diagnostics: run_id, event_id, code).
+    """(outcomes: run_id, kind, correlation_key, attempt, event_id, outcome, value, answered_at; diagnostics: run_id, event_id, code).
 
     parents: run_id, event_id, ordinal, parent_id. A result belongs to the first of its parents that is an earlier request; of several results
     for one request the last counts.
@@ -58,7 +58,7 @@ def recorded(events: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFram
     j = ends.join(own, ["run_id", "event_id"], "left")
     fits = F.col("call").isNotNull() & (F.col("call.kind") == F.col("end_kind")) & (F.col("call.correlation_key") == F.col("end_key"))
     bad = bad.unionByName(j.where(~F.coalesce(fits, F.lit(False))).select("run_id", "event_id", F.when(F.col("call").isNull(), "MISSING_RECORDED_REQUEST").otherwise("CORRELATION_KEY_MISMATCH").alias("code")))
-    out = j.where(fits).groupBy("run_id", "call").agg(F.max_by(F.struct("event_id", "outcome", "value"), "sequence").alias("r")).select("run_id", "call.*", "r.*")
+    out = j.where(fits).groupBy("run_id", "call").agg(F.max_by(F.struct("event_id", "outcome", "value", F.col("sequence").alias("answered_at")), "sequence").alias("r")).select("run_id", "call.*", "r.*")
     open_ = calls.join(out.select("run_id", "kind", "correlation_key", "attempt"), ["run_id", "kind", "correlation_key", "attempt"], "left_anti")
     return out, bad.unionByName(open_.select("run_id", "event_id", F.lit("MISSING_RECORDED_OUTCOME").alias("code")))
 

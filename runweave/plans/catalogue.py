@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators import export, otlp, plans, procedures, recovery, replay, workflow
+from ..operators import export, live, otlp, plans, procedures, recovery, replay, workflow
 from ..streaming import append
 
-QUERIES = {**plans.QUERIES, **procedures.QUERIES, **otlp.QUERIES, **recovery.QUERIES, **replay.QUERIES, **export.QUERIES, **workflow.QUERIES, **append.QUERIES}
-ORACLES = {**plans.ORACLES, **procedures.ORACLES, **otlp.ORACLES, **recovery.ORACLES, **replay.ORACLES, **export.ORACLES, **append.ORACLES}
+QUERIES = {**plans.QUERIES, **procedures.QUERIES, **otlp.QUERIES, **recovery.QUERIES, **replay.QUERIES, **export.QUERIES, **live.QUERIES, **workflow.QUERIES, **append.QUERIES}
+ORACLES = {**plans.ORACLES, **procedures.ORACLES, **otlp.ORACLES, **recovery.ORACLES, **replay.ORACLES, **export.ORACLES, **live.ORACLES, **append.ORACLES}

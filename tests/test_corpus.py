@@ -8,7 +8,7 @@ import urllib.error
 import pytest
 from runweave import cli
 from runweave.corpus import Corpus
-from runweave.operators import recovery
+from runweave.operators import live, recovery
 from runweave.sources import paths, queue
 
 
@@ -40,6 +40,13 @@ def test_corpus(spark, folder):
     spans, lost = c.export()
     assert {r.name: (r.parent_span_id is None, r.status_code, r.start_ns % 10**10 // 10**9, r.end_ns % 10**10 // 10**9) for r in spans.collect()} == {"agent.run": (True, 0, 1, 5), "tool.call": (False, 2, 2, 3)}
     assert {(r.code, r.n) for r in lost.collect()} == {("content_filtered", 3)}
+    calls, differ, faults = c.verify(live.Registry([live.Adapter("tool", "t", lambda request: ("completed", len(request["input"])))]))
+    assert calls.count() == 1 and differ.count() == 0 and faults.count() == 0
+    bad = folder / "one" / "events.jsonl"
+    whole = bad.read_text()
+    bad.write_text(whole + "{\n")
+    assert {(r.run_id, r.code) for r in Corpus(spark, str(folder)).verify(live.Registry([]))[2].collect()} == {("r", "SOURCE_TRACE_INVALID")}
+    bad.write_text(whole)
     p = recovery.Pipeline(fields=(("/arguments/api_key", "api_key"),))
     assert c.redact(p).where("event_id = 'e2'").first().entries[0].path == "/arguments/api_key"
 
