@@ -70,22 +70,76 @@ class Decoder:
         return {self.short(x["key"]): self.value(x.get("value"), depth) for x in named}
 
 
+    def events(self, items) -> list[dict]:
+        return [
+            {"name": self.short(_text(x.get("name")) or "unnamed"), "attributes": self.attributes(x.get("attributes")), "time_unix_nano": _whole(x.get("timeUnixNano")), "dropped_attributes_count": _count(x.get("droppedAttributesCount"))}
+            for x in self.first(items, "events")
+        ]
+
+    def links(self, items) -> list[dict]:
+        """Links with invalid ids are left out."""
+        ids = [(_text(x.get("traceId")).lower(), _text(x.get("spanId")).lower(), x) for x in self.first(items, "links")]
+        return [{"trace_id": t, "span_id": s, "attributes": self.attributes(x.get("attributes")), "flags": _count(x.get("flags"), -1)} for t, s, x in ids if _is_id(t, 32) and _is_id(s, 16)]
+
+    def entity(self, x, fields: tuple[str, ...] = ("schemaUrl",)) -> dict:
+        """A resource, or with more fields a scope."""
+        x = x if isinstance(x, dict) else {}
+        own = {k: self.short(x[k]) for k in fields if _text(x.get(k))}
+        return {"attributes": self.attributes(x.get("attributes")), **own, "dropped_attributes_count": _count(x.get("droppedAttributesCount"))}
+
+    def scope(self, x) -> dict:
+        return self.entity(x, ("name", "version", "schemaUrl"))
+
+    def first(self, items, what: str) -> list[dict]:
+        """The items within a limit; one cut however many are beyond it."""
+        items = _list(items)
+        self.cut += len(items) > self.limits[what]
+        return [x for x in items[: self.limits[what]] if isinstance(x, dict)]
+
+
+def _text(x) -> str:
+    return x if isinstance(x, str) else ""
+
+
+def _whole(x) -> str | None:
+    """A time in nanoseconds as text; null where it is none."""
+    t = str(x) if isinstance(x, (str, int)) and not isinstance(x, bool) else ""
+    return t if t.isascii() and t.isdigit() and t == str(int(t)) else None
+
+
+def _count(x, least: float = 0):
+    return x if isinstance(x, (int, float)) and not isinstance(x, bool) and x > least else None
+
+
+def _is_id(x: str, n: int) -> bool:
+    return len(x) == n and not set(x) - set("0123456789abcdef") and x.strip("0") != ""
+
+
 def _list(x) -> list:
     return x if isinstance(x, list) else []
 
 
-def decoded(c, limits: dict | None = None):
-    """Column of JSON attribute lists -> struct(json, cut)."""
+#: How each part of a span is read.
+PARTS = {"attributes": Decoder.attributes, "events": Decoder.events, "links": Decoder.links, "resource": Decoder.entity, "scope": Decoder.scope}
+
+
+def decoded(limits: dict | None = None):
+    """Column of a struct with the JSON of each of PARTS, in the columns of these names, and `cut`. Absent fields of events, links, resource and scope are left out."""
+
+    def bare(v):
+        return [bare(x) for x in v] if isinstance(v, list) else {k: x for k, x in v.items() if x is not None} if isinstance(v, dict) and "attributes" in v else v
 
-    @F.pandas_udf("json string, cut long")
-    def run(s: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(", ".join(f"{p} string" for p in PARTS) + ", cut long")
+    def run(*columns: pd.Series) -> pd.DataFrame:
         out = []
-        for t in s:
+        for row in zip(*columns, strict=True):
             d = Decoder(limits)
-            out.append((json.dumps(d.attributes(json.loads(t) if t else None), ensure_ascii=False, sort_keys=True, separators=(",", ":")), d.cut))
-        return pd.DataFrame(out, columns=["json", "cut"])
+            got = [read(d, json.loads(t) if isinstance(t, str) else None) for read, t in zip(PARTS.values(), row, strict=True)]
+            got = [got[0], *map(bare, got[1:])]
+            out.append((*(json.dumps(g, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for g in got), d.cut))
+        return pd.DataFrame(out, columns=[*PARTS, "cut"])
 
-    return run(c)
+    return run(*PARTS)
 
 
 def encoded(value) -> dict:
@@ -254,20 +308,21 @@ def state_name(code, states: dict[int, str] | None = None) -> F.Column:
 
 
 def import_files(spark: SparkSession, paths: list[str], limits: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(spans, diagnostics) of OTLP/JSON files, decoded, within the limits."""
-    from ..sources.snapshots import read_otlp
+    """(spans, diagnostics) of OTLP/JSON files, decoded, within the limits; what isn't an object has null ids in the diagnostics."""
+    from ..sources.snapshots import otlp_faults, read_otlp
 
     raw = read_otlp(spark, paths)
     place = F.struct(F.array_position(F.transform(F.array(*map(F.lit, paths)), lambda p: F.regexp_replace(p, "^file:/*", "/")), F.regexp_replace("path", "^file:/*", "/")).alias("f"), "r", "s", "k")
     # files hold 64 MiB at most, so the three positions fit below
     raw = raw.withColumn("at", place).withColumn("pos", ((F.col("at.f") * 100_000 + F.col("r")) * 100_000 + F.col("s")) * 1_000_000 + F.col("k")).drop("at")
-    values = decoded(F.col("attributes"), limits)
-    s = judged(raw).withColumn("fingerprint", F.sha2(F.to_json(F.struct("trace_id", "span_id", "parent_raw", "name", "kind", "start_ns", "end_ns", "status_code", "attributes")), 256))
+    s = judged(raw).withColumn("fingerprint", F.sha2("raw", 256)).drop("raw")
     inside, outside = limited(s, limits)
     spans, found = normalized(inside.unionByName(s.where("reject IS NOT NULL")))
-    spans = spans.withColumn("values", values).withColumns({"attributes": F.col("values.json"), "cut": F.col("values.cut")}).drop("values")
+    spans = spans.withColumn("values", decoded(limits)).withColumns({c: F.col(f"values.{c}") for c in (*PARTS, "cut")}).drop("values")
     spans = spans.withColumns({"kind": kind_name(F.col("kind")), "status": state_name(F.col("status_code")), "semantic": semantic("attributes")})
-    return spans, found.unionByName(outside.withColumn("n", F.lit(1).cast("long")))
+    one = lambda d, code: d.select("trace_id", "span_id", code.alias("code"), F.lit(1).cast("long").alias("n"))
+    nowhere = otlp_faults(spark, paths).withColumns({"trace_id": F.lit(None).cast("string"), "span_id": F.lit(None).cast("string")})
+    return spans, found.unionByName(one(outside, F.col("code"))).unionByName(one(inside.where("has_drops"), F.lit("DROPPED_SOURCE_DATA"))).unionByName(one(nowhere, F.col("code")))
 
 
 # --- queries over the adapter's spans ------------------------------------------------------------

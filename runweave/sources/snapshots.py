@@ -85,11 +85,29 @@ def write_events(events: DataFrame, folder: str) -> None:
     rows.repartition("run").sortWithinPartitions("run", "sequence").select("run", "value").write.partitionBy("run").mode("errorifexists").text(folder)
 
 
-def read_otlp(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Spans of OTLP/JSON files in order: path, r, s, k (positions), trace_id, span_id, parent_span_id, name, kind, start_ns, end_ns, status_code, attributes (JSON)."""
+def _otlp_items(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, r, rs: the resource items of OTLP/JSON files, whatever they are."""
     v = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"))
-    r = v.selectExpr("path", "posexplode(try_variant_get(v, '$.resourceSpans', 'array<variant>')) AS (r, rs)")
-    s = r.selectExpr("path", "r", "posexplode(try_variant_get(rs, '$.scopeSpans', 'array<variant>')) AS (s, ss)")
-    k = s.selectExpr("path", "r", "s", "posexplode(try_variant_get(ss, '$.spans', 'array<variant>')) AS (k, span)")
+    return v.selectExpr("path", "v", "posexplode(try_variant_get(v, '$.resourceSpans', 'array<variant>')) AS (r, rs)").drop("v")
+
+
+def read_otlp(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Spans of OTLP/JSON files in order: path, r, s, k (positions), ids, name, kind, start_ns, end_ns, status_code, has_drops; attributes, events, links, resource, scope and raw (the whole span, keys sorted) as JSON."""
+    r = _otlp_items(spark, paths)
+    s = r.selectExpr("path", "r", "to_json(try_variant_get(rs, '$.resource')) AS resource", "posexplode(try_variant_get(rs, '$.scopeSpans', 'array<variant>')) AS (s, ss)")
+    k = s.selectExpr("path", "r", "s", "resource", "to_json(try_variant_get(ss, '$.scope')) AS scope", "posexplode(try_variant_get(ss, '$.spans', 'array<variant>')) AS (k, span)")
     get = lambda p, t="string": f"try_variant_get(span, '$.{p}', '{t}')"
-    return k.selectExpr("path", "r", "s", "k", f"{get('traceId')} AS trace_id", f"{get('spanId')} AS span_id", f"{get('parentSpanId')} AS parent_span_id", f"{get('name')} AS name", f"{get('kind', 'int')} AS kind", f"try_cast({get('startTimeUnixNano')} AS decimal(20,0)) AS start_ns", f"try_cast({get('endTimeUnixNano')} AS decimal(20,0)) AS end_ns", f"coalesce({get('status.code', 'int')}, 0) AS status_code", "to_json(try_variant_get(span, '$.attributes')) AS attributes")
+    part = lambda p: f"to_json(try_variant_get(span, '$.{p}')) AS {p}"
+    drops = " OR ".join(f"coalesce({get(f'dropped{c}Count', 'double')}, 0) > 0" for c in ("Attributes", "Events", "Links"))
+    return k.selectExpr("path", "r", "s", "k", f"{get('traceId')} AS trace_id", f"{get('spanId')} AS span_id", f"{get('parentSpanId')} AS parent_span_id", f"{get('name')} AS name", f"{get('kind', 'int')} AS kind", f"try_cast({get('startTimeUnixNano')} AS decimal(20,0)) AS start_ns", f"try_cast({get('endTimeUnixNano')} AS decimal(20,0)) AS end_ns", f"coalesce({get('status.code', 'int')}, 0) AS status_code", f"{drops} AS has_drops", part("attributes"), part("events"), part("links"), "resource", "scope", "to_json(span) AS raw")
+
+
+def otlp_faults(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, at (pointer), code of files, resource items and scope items that aren't objects."""
+    is_object = lambda c: f"coalesce(schema_of_variant({c}) LIKE 'OBJECT%', false)"
+    v = spark.read.text(paths, wholetext=True).selectExpr("_metadata.file_path AS path", "try_parse_json(value) AS v")
+    r = _otlp_items(spark, paths)
+    s = r.selectExpr("path", "r", "posexplode(try_variant_get(rs, '$.scopeSpans', 'array<variant>')) AS (s, ss)")
+    out = v.where(f"NOT {is_object('v')}").selectExpr("path", "'' AS at", "'INVALID_REQUEST' AS code")
+    out = out.unionByName(r.where(f"NOT {is_object('rs')}").selectExpr("path", "concat('/resourceSpans/', r) AS at", "'INVALID_RESOURCE_SPANS' AS code"))
+    return out.unionByName(s.where(f"NOT {is_object('ss')}").selectExpr("path", "concat('/resourceSpans/', r, '/scopeSpans/', s) AS at", "'INVALID_SCOPE_SPANS' AS code"))

@@ -35,6 +35,25 @@ def test_import(spark, tmp_path):
     assert few.count() == 2 and out.where("code = 'SPAN_LIMIT_EXCEEDED'").count() == 5
 
 
+def test_import_of_parts(spark, tmp_path):
+    attr = [{"key": "k", "value": {"intValue": "1"}}]
+    span = {"traceId": "1" * 32, "spanId": A, "startTimeUnixNano": "5", "droppedEventsCount": 2, "attributes": attr}
+    span |= {"events": [{"name": "", "timeUnixNano": "7", "attributes": attr}, 3, {"name": "n", "timeUnixNano": "07", "droppedAttributesCount": 1}]}
+    span |= {"links": [{"traceId": "F" * 32, "spanId": B.upper(), "flags": 0}, {"traceId": "0" * 32, "spanId": B}]}
+    other = {**span, "spanId": B, "links": []}
+    copy = {**other, "links": [{"traceId": "2" * 32, "spanId": C}]}
+    scopes = [{"scope": {"name": "s", "version": "", "schemaUrl": "u"}, "spans": [span, other, copy]}, 7]
+    (tmp_path / "x.json").write_text(json.dumps({"resourceSpans": ["no", {"resource": {"name": "r", "attributes": attr}, "scopeSpans": scopes}]}))
+    (tmp_path / "y.json").write_text("[]")
+    got, found = otlp.import_files(spark, [str(tmp_path / "x.json"), str(tmp_path / "y.json")], {"events": 2})
+    (r,) = got.collect()
+    assert json.loads(r.events) == [{"name": "unnamed", "time_unix_nano": "7", "attributes": {"k": "1"}}] and r.cut == 1
+    assert json.loads(r.links) == [{"trace_id": "f" * 32, "span_id": B, "attributes": {}, "flags": 0}]
+    assert json.loads(r.resource) == {"attributes": {"k": "1"}} and json.loads(r.scope) == {"attributes": {}, "name": "s", "schemaUrl": "u"}
+    assert sorted(x.code for x in found.collect()) == sorted(["DROPPED_SOURCE_DATA"] * 3 + ["CONFLICTING_SPAN", "INVALID_RESOURCE_SPANS", "INVALID_SCOPE_SPANS", "INVALID_REQUEST"])
+    assert otlp.summaries(got, found).first().limitations == ["invalid_source_data", "sampled_or_dropped"]
+
+
 def test_third_copy_stands_again(spark):
     rows = [(k, "t", "s", f) for k, f in enumerate("aabcc")]
     r = otlp.isolated(spark.createDataFrame(rows, "pos long, trace_id string, span_id string, fingerprint string")).first()
