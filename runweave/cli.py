@@ -9,9 +9,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .corpus import KINDS, Corpus
-from .functions import scalar
-from .operators import otlp, plans
-from .sources import queue
+from .operators import otlp, plans, recovery
+from .sources import queue, snapshots
 
 
 def parser() -> argparse.ArgumentParser:
@@ -59,11 +58,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "import-otel":
         spans, found = otlp.import_files(spark, a.files)
-        e = otlp.observation_events(spans)
-        body = spans.select(F.concat(F.lit("evt_"), scalar.deterministic_uuid(F.concat(F.lit("otlp-event:"), "trace_id", F.lit(":"), "span_id"))).alias("event_id"), F.to_json(F.struct("trace_id", "span_id", "name", "kind", "status", "semantic", "attributes")).alias("payload"))
-        from .sources import snapshots
-
-        snapshots.write_events(e.join(body, "event_id", "left"), a.output)
+        pipeline = recovery.Pipeline(fields=recovery.IMPORT_RULES)
+        snapshots.write_snapshots(*otlp.snapshot(spans, found, pipeline.column), a.output)
         return int(show(found, out) > 0)
     c = Corpus(spark, a.folder)
     if a.command == "validate":

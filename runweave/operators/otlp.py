@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -271,11 +272,19 @@ def normalized(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def summaries(spans: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """trace_id, n_spans, first_ns, last_ns, limitations (sorted codes), completeness (never complete)."""
+    """trace_id, n_spans, first_ns, last_ns, limitations (sorted codes), completeness (never complete).
+
+    Decoded spans bring two limitations more: a value cut anywhere limits every trace, a tool's span its own.
+    """
     why = F.create_map(*[F.lit(x) for kv in LIMITATION.items() for x in kv])
     bad = diagnostics.groupBy("trace_id").agg(F.collect_set(why[F.col("code")]).alias("why"))
     own = spans.groupBy("trace_id").agg(F.count("*").alias("n_spans"), F.min("start_ns").alias("first_ns"), F.max(F.coalesce("end_ns", "start_ns")).alias("last_ns"), F.max(F.col("parent_raw") == "").alias("rooted"))
     j = own.join(bad, "trace_id", "left")
+    if "cut" in spans.columns and spans.where("cut > 0").head(1):
+        j = j.withColumn("why", F.array_append(F.coalesce("why", F.array().cast("array<string>")), "payload_truncated"))
+    if "semantic" in spans.columns:
+        tools = spans.where("semantic = 'gen_ai_tool'").select("trace_id", F.array(F.lit("unknown_side_effect")).alias("tool")).distinct()
+        j = j.join(tools, "trace_id", "left").withColumn("why", F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("why", "tool")]))
     all_ = F.array_sort(F.array_union(F.coalesce("why", F.array().cast("array<string>")), F.when(~F.col("rooted"), F.array(F.lit("missing_root"))).otherwise(F.array().cast("array<string>"))))
     return j.withColumn("limitations", all_).select("trace_id", "n_spans", "first_ns", "last_ns", "limitations", F.when(F.size("limitations") == 0, "unknown").otherwise("partial").alias("completeness"))
 
@@ -284,11 +293,43 @@ def observation_events(spans: DataFrame) -> DataFrame:
     """The events of an observation snapshot: run.started, one otel.span a span, run.observed."""
     run = F.concat(F.lit("run_"), scalar.deterministic_uuid(F.concat(F.lit("otlp-run:"), "trace_id")))
     event = lambda source: F.concat(F.lit("evt_"), scalar.deterministic_uuid(F.concat(F.lit("otlp-event:"), "trace_id", F.lit(":"), source)))
-    ends = spans.groupBy("trace_id").agg(F.min("start_ns").alias("first_ns"), F.max(F.coalesce("end_ns", "start_ns")).alias("last_ns"), F.max("sequence").alias("top"))
+    ends = spans.groupBy("trace_id").agg(F.min("start_ns").alias("first_ns"), F.max(F.coalesce("end_ns", "start_ns")).alias("last_ns"), F.max("sequence").alias("top"), F.max_by("span_id", "sequence").alias("last_span"))
     row = lambda source, seq, kind, ns, parent: [run.alias("run_id"), event(source).alias("event_id"), parent.alias("parent_id"), seq.cast("long").alias("sequence"), F.lit(kind).alias("type"), scalar.iso_from_nanos(ns).alias("timestamp")]
-    start, stop = F.lit("start"), F.lit("end")
+    start, stop = F.lit("run.started"), F.lit("run.observed")
     body = spans.select(*row(F.col("span_id"), F.col("sequence"), "otel.span", F.col("start_ns"), event(F.coalesce("parent", start))))
-    return ends.select(*row(start, F.lit(1), "run.started", F.col("first_ns"), F.lit(None).cast("string"))).unionByName(body).unionByName(ends.select(*row(stop, F.col("top") + 1, "run.observed", F.col("last_ns"), event(start))))
+    return ends.select(*row(start, F.lit(1), "run.started", F.col("first_ns"), F.lit(None).cast("string"))).unionByName(body).unionByName(ends.select(*row(stop, F.col("top") + 1, "run.observed", F.col("last_ns"), event(F.col("last_span")))))
+
+
+def payloads(spans: DataFrame) -> DataFrame:
+    """trace_id, sequence, payload (JSON) of the span events of decoded spans; absent fields are left out."""
+    nested = [F.try_parse_json(p).alias(p) for p in PARTS]
+    text = lambda c, name: F.col(c).cast("decimal(38,0)").cast("string").alias(name)
+    p = F.struct("trace_id", "span_id", "name", "status", text("start_ns", "start_time_unix_nano"), text("end_ns", "end_time_unix_nano"), F.col("parent").alias("parent_span_id"), "kind", "semantic", *nested)
+    return spans.select("trace_id", "sequence", F.to_json(p).alias("payload"))
+
+
+def snapshot(spans: DataFrame, diagnostics: DataFrame, redact: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events: run_id, sequence, value; manifests: run_id, value) of imported spans, values as JSON, for snapshots.write_snapshots.
+
+    redact: JSON -> struct(json, entries); it is applied to the spans' payloads, and its entries stand in the events.
+    """
+    run = F.concat(F.lit("run_"), scalar.deterministic_uuid(F.concat(F.lit("otlp-run:"), "trace_id")))
+    made = summaries(spans, diagnostics).withColumn("run_id", run)
+    body = payloads(spans).withColumn("run_id", run)
+    e = observation_events(spans).join(body.select("run_id", "sequence", "payload"), ["run_id", "sequence"], "left").join(made.select("run_id", "first_ns"), "run_id")
+    no_entries = F.array().cast("array<struct<category:string,path:string,strategy:string>>")
+    e = e.withColumn("r", F.struct(F.col("payload").alias("json"), no_entries.alias("entries")) if redact is None else redact(F.col("payload")))
+    runtime = '{"runtime":{"name":"opentelemetry","version":"otlp-json","adapter":"runweave"}}'
+    text = F.when(F.col("type") == "run.started", runtime).when(F.col("type") == "run.observed", '{"outcome":"unknown","summary":"An imported trace; it may only be observed."}').otherwise(F.col("r.json"))
+    offset = F.greatest(F.unix_millis(F.try_to_timestamp("timestamp")) - F.unix_millis(F.try_to_timestamp(scalar.iso_from_nanos(F.col("first_ns")))), F.lit(0))
+    security = F.struct(F.lit("read_only").alias("side_effect"), F.coalesce("r.entries", no_entries).alias("redactions"))
+    doc = F.struct(F.lit("0.2.0").alias("schema_version"), "run_id", "event_id", F.array_compact(F.array("parent_id")).alias("parent_ids"), "sequence", "type", "timestamp", offset.alias("monotonic_offset_ms"), F.lit("otel.import").alias("actor"), F.try_parse_json(text).alias("payload"), security.alias("security"))
+    first, last, count = scalar.iso_from_nanos(F.col("first_ns")), scalar.iso_from_nanos(F.col("last_ns")), (F.col("n_spans") + 2).cast("long")
+    root = F.concat(F.lit("evt_"), scalar.deterministic_uuid(F.concat(F.lit("otlp-event:"), "trace_id", F.lit(":run.started"))))
+    told = F.transform("limitations", lambda c: F.struct(c.alias("code"), F.concat(F.lit("Found on import: "), c).alias("message")))
+    fixed = {"schema_version": "0.2.0", "snapshot_type": "run-snapshot", "run_state": "finished", "terminal_status": "unknown", "source": "otel-import"}
+    m = F.struct("run_id", *[F.lit(v).alias(k) for k, v in fixed.items()], first.alias("created_at"), last.alias("updated_at"), F.try_parse_json(F.get_json_object(F.lit(runtime), "$.runtime")).alias("runtime"), "completeness", told.alias("limitations"), count.alias("last_sequence"), count.alias("event_count"), root.alias("root_event_id"), last.alias("completed_at"))
+    return e.select("run_id", "sequence", F.to_json(doc).alias("value")), made.select("run_id", F.to_json(m).alias("value"))
 
 
 def semantic(attributes) -> F.Column:

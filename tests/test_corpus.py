@@ -62,10 +62,22 @@ def test_command_line(spark, folder):
     assert run("replay", str(folder))[0] == 0
     assert json.loads(run("export-otel", str(folder), "--dry-run")[1])["spans"] == 2
     assert run("nothing")[0] == 2 and run("export-otel", str(folder))[0] == 2
-    spans = [{"traceId": "1" * 32, "spanId": "2" * 16, "startTimeUnixNano": "5", "name": "n"}]
+    attrs = [{"key": "password", "value": {"stringValue": "hunter2"}}]
+    spans = [{"traceId": "1" * 32, "spanId": "2" * 16, "startTimeUnixNano": "5000000", "name": "n", "attributes": attrs}, {"traceId": "1" * 32, "spanId": "3" * 16, "parentSpanId": "2" * 16, "startTimeUnixNano": "7000000", "endTimeUnixNano": "9000000"}]
     (folder / "x.json").write_text(json.dumps({"resourceSpans": [{"scopeSpans": [{"spans": spans}]}]}))
     assert run("import-otel", str(folder / "x.json"), "--output", str(folder / "out"))[0] == 0
-    assert spark.read.text(str(folder / "out")).count() == 3
+    (made,) = (folder / "out").iterdir()
+    m = json.loads((made / "manifest.json").read_text())
+    assert (m["run_id"], m["event_count"], m["completeness"], m["limitations"]) == (made.name, 4, "unknown", []) and m["completed_at"] == "1970-01-01T00:00:00.009Z"
+    lines = [json.loads(x) for x in (made / "events.jsonl").read_text().splitlines()]
+    assert [(x["sequence"], x["type"], x["monotonic_offset_ms"]) for x in lines] == [(1, "run.started", 0), (2, "otel.span", 0), (3, "otel.span", 2), (4, "run.observed", 4)]
+    assert [x["parent_ids"] for x in lines] == [[]] + [[x["event_id"]] for x in lines[:3]]
+    assert "hunter2" not in (made / "events.jsonl").read_text() and lines[1]["security"]["redactions"][0]["path"] == "/attributes/password"
+    code, said = run("validate", str(folder / "out"))
+    assert code == 0 and [json.loads(x)["code"] for x in said.splitlines()] == ["SNAPSHOT_COMPLETENESS_UNKNOWN"]
+    assert [x.status_code for x in Corpus(spark, str(folder / "out")).export()[0].collect()] == [0, 0]
+    with pytest.raises(FileExistsError):
+        run("import-otel", str(folder / "x.json"), "--output", str(folder / "out"))
     (folder / "one" / "events.jsonl").write_text("{bad}\n")
     assert run("validate", str(folder))[0] == 1
 
