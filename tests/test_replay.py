@@ -51,7 +51,7 @@ def test_import_of_parts(spark, tmp_path):
     assert json.loads(r.links) == [{"trace_id": "f" * 32, "span_id": B, "attributes": {}, "flags": 0}]
     assert json.loads(r.resource) == {"attributes": {"k": "1"}} and json.loads(r.scope) == {"attributes": {}, "name": "s", "schemaUrl": "u"}
     assert sorted(x.code for x in found.collect()) == sorted(["DROPPED_SOURCE_DATA"] * 3 + ["CONFLICTING_SPAN", "INVALID_RESOURCE_SPANS", "INVALID_SCOPE_SPANS", "INVALID_REQUEST"])
-    assert otlp.summaries(got, found).first().limitations == ["invalid_source_data", "sampled_or_dropped"]
+    assert otlp.summaries(got, found).first().limitations == ["invalid_source_data", "payload_truncated", "sampled_or_dropped"]
 
 
 def test_third_copy_stands_again(spark):
