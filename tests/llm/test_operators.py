@@ -203,6 +203,21 @@ def test_html_hosts_without_marks(spark):
     assert html.main_text(df).count() == 10 and html.main_text(df.where("false")).collect() == []
 
 
+def test_html_large_host_without_marks(spark):
+    """Lines that some articles share stay, whatever the number of pages; near copies keep their text; menus go."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    top, lines = " ".join(word() for _ in range(12)), [" ".join(word() for _ in range(15)) for _ in range(10)]
+    want = {k: "\n".join([" ".join(word() for _ in range(40)), lines[k % 10], " ".join(word() for _ in range(40))]) for k in range(300)}
+    body = [word() for _ in range(200)]
+    want |= {300 + k: " ".join([*body[:90], f"only{k}", *body[90:]]) for k in range(3)}
+    page = lambda t: f"<div>{top}</div>" + "".join(f"<p>{x}</p>" for x in t.split("\n"))
+    near = [" ".join([*body[:90], f"only{k}", *body[90:]]) for k in range(3)]
+    made = [(k, "http://big.example/", page(t)) for k, t in want.items()] + [(400 + k, "http://small.example/", f"<p>{t}</p>") for k, t in enumerate(near)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    assert got == want | {400 + k: t for k, t in enumerate(near)}
+
+
 def test_suffix_array():
     s = html.Streams([(["a b c d e f g h i"], []), (["x a b c d e f g h"], ["p q r s t u v w"])])
     first, count, order, group = s.runs()
