@@ -8,6 +8,7 @@ import random
 import re
 from collections import defaultdict
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,11 +63,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # --- the random field -----------------------------------------------------------------------
 #: A window is a stretch of text that can hold a span which the base patterns miss: a name written out around "at" and "dot", or many digits.
 _SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[\[({ ]\s?at\s?[\])} ]\s?[A-Za-z0-9-]{1,63}(?:\s?[\[({ ]\s?dot\s?[\])} ]\s?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){1,4}", re.I)
-_DIGITS = re.compile(r"[(]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,24}")
+_DIGITS = re.compile(r"[(]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,}+")
 _SPELT_HINT = re.compile(r"[\[({ ]dot[\])} ]|[\[({]\s?at\s?[\])}]", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]|\s+")
 _CUE = {"phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "dial": "phone", "mail": "email", "email": "email", "contact": "email", "write": "email", "card": "card", "visa": "card", "ip": "ip", "host": "ip", "address": "ip", "isbn": "not", "order": "not", "ref": "not", "version": "not", "id": "not", "invoice": "not", "date": "not"}
 MAX_TOKENS = 24
+#: No card, phone number or address has more digits.
+MAX_DIGITS = 25
 
 
 def _shape(s: str) -> str:
@@ -78,15 +81,18 @@ def segments(text: str, lo: int, hi: int):
     toks = [(m.start() + lo, m.end() + lo) for m in _TOKEN.finditer(text[lo:hi])]
     before = re.findall("[A-Za-z]+", text[max(0, lo - 24) : lo])
     cue = next((_CUE[w.lower()] for w in reversed(before) if w.lower() in _CUE), "none")
+    digits = [0, *accumulate(j - i if text[i] in "0123456789" else 0 for i, j in toks)]
+    letters = [0, *accumulate(text[i].isalpha() and text[i].isascii() for i, _ in toks)]
     for a, (i, _) in enumerate(toks):
         if text[i].isspace():
             continue
         for b in range(a, min(len(toks), a + MAX_TOKENS)):
-            j = toks[b][1]
+            j, n = toks[b][1], digits[b + 1] - digits[a]
+            if n > MAX_DIGITS and letters[b + 1] == letters[a]:
+                continue
             s = text[i:j]
             if s[-1].isspace() or not (s[-1].isalnum()):
                 continue
-            n = sum(c in "0123456789" for c in s)
             clean = not (i and (text[i - 1].isalnum() or text[i - 1] in "_-./@+")) and not (j < len(text) and (text[j].isalnum() or text[j] in "_/@" or text[j] == "-"))
             if n >= 7 and not re.search("[A-Za-z]", s):
                 shape, ok = _shape(s), n >= 14 and luhn(re.sub("[^0-9]", "", s))

@@ -372,6 +372,14 @@ def test_pii_field():
     assert pii.added_spans("the athe at onwh dot er 2024-01-02 12:30 version 1.2.3", [], w) == []
 
 
+def test_pii_row_of_numbers(spark):
+    numbers = [f"415-555-{2671 + k}" for k in range(10)]
+    t = " ".join(numbers)
+    assert [t[i:j] for i, _, j in pii.added_spans(t, pii.base_spans(t), pii.trained())] == numbers
+    assert pii.masked(spark.createDataFrame([(1, t)], "doc_id long, text string")).first().text == " ".join(["[PHONE]"] * 10)
+    assert pii.added_spans("7" * 100_000, [], pii.trained()) == []
+
+
 def test_pii_odd(odd, none):
     assert pii.find(odd).count() == 10 and pii.find(none).collect() == []
     m = pii.masked(odd)
