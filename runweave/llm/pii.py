@@ -104,16 +104,16 @@ def segments(text: str, lo: int, hi: int):
 
 
 def _windows(text: str, taken: list[tuple[int, int, int]]):
-    found = [m.span() for m in _DIGITS.finditer(text)]
-    if _SPELT_HINT.search(text):
-        found += [m.span() for m in _SPELT.finditer(text)]
-    spans = sorted((i, j) for i, _, j in taken)
-    k = 0
-    for i, j in sorted(found):
-        while k < len(spans) and spans[k][1] <= i:
-            k += 1
-        if k == len(spans) or spans[k][0] >= j:
-            yield i, j
+    """Windows of the text between the base spans, each of which may leave some on both sides."""
+    spelt = bool(_SPELT_HINT.search(text))
+    found, done = [], 0
+    for i, j in [*sorted((i, j) for i, _, j in taken), (len(text), len(text))]:
+        if i > done:
+            found += [m.span() for m in _DIGITS.finditer(text, done, i)]
+            if spelt:
+                found += [m.span() for m in _SPELT.finditer(text, done, i)]
+        done = max(done, j)
+    yield from sorted(found)
 
 
 def _lattice(text: str, lo: int, hi: int, weights: dict) -> tuple[list[int], dict]:

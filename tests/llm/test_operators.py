@@ -380,6 +380,12 @@ def test_pii_row_of_numbers(spark):
     assert pii.added_spans("7" * 100_000, [], pii.trained()) == []
 
 
+def test_pii_beside_base_spans():
+    for t, want in [("host 10.2.3.4 415-555-2671", ["415-555-2671"]), ("card 4111 1111 1111 1111 (415) 555-2671", ["(415) 555-2671"]), ("415-555-2671 10.2.3.4 415-555-2672", ["415-555-2671", "415-555-2672"]), ("10.2.3.4 1.2.3.5", [])]:
+        base = pii.base_spans(t)
+        assert base and [t[i:j] for i, _, j in pii.added_spans(t, base, pii.trained())] == want
+
+
 def test_pii_odd(odd, none):
     assert pii.find(odd).count() == 10 and pii.find(none).collect() == []
     m = pii.masked(odd)
