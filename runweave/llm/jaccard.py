@@ -186,8 +186,14 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of docs for each group: the one of the smallest doc_id; texts without words are groups of one."""
-    groups = similar_groups(docs)
-    first = checkpoint(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct())
-    kept = docs.join(first, F.col("doc_id").cast("long") == F.col("__keep"), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """One row of docs for each group: the one of the smallest doc_id, a null one last; texts without words are groups of one.
+
+    A row is known by the hash of its id and text: rows that share only an id are documents of their own, rows that share both are one.
+    """
+    own = F.xxhash64("doc_id", F.col("text").cast("string"))
+    rows = docs.select(own.alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
+    groups = similar_groups(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("of"), "component_id")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    first = checkpoint(groups.distinct().join(rows.select("row", "doc_id").distinct(), F.col("of") == F.col("row")).groupBy("component_id").agg(best.alias("best")).select(F.col("best.row").alias("__keep")))
+    kept = docs.withColumn("__row", own).join(first, F.col("__row") == F.col("__keep"), "left_semi")
+    return kept.dropDuplicates(["__row"]).drop("__row")

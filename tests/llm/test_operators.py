@@ -319,6 +319,13 @@ def test_jaccard_odd(odd, none):
     assert sorted(r.doc_id for r in jaccard.deduplicated(odd).collect()) == [1, 2, 3, 4, 6, 8, 9]
 
 
+def test_deduplicated_keeps_null_and_shared_ids(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    made = [(None, "alone without an id"), (None, "another one without an id"), (None, long + " end"), (3, long), (3, long), (5, "five one"), (5, "five two"), (None, "twice"), (None, "twice"), (8, None), (8, None), (None, None), (None, "")]
+    got = jaccard.deduplicated(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted({r for r in made if r != (None, long + " end")}, key=str)
+
+
 # --- 7 ---------------------------------------------------------------------------------------
 
 
