@@ -188,12 +188,19 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of docs for each group: the one of the smallest doc_id, a null one last; texts without words are groups of one.
 
-    A row is known by the hash of its id and text: rows that share only an id are documents of their own, rows that share both are one.
+    Rows that share id and text are one; of rows that share only an id, all but the first (by the hash of its text) get a key of their own,
+    as rows without an id do: a hash of id and text, above other ids. The others keep their id as key, since the
+    join holds the members of a key against the smallest.
     """
-    own = F.xxhash64("doc_id", F.col("text").cast("string"))
-    rows = docs.select(own.alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
-    groups = similar_groups(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("of"), "component_id")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    first = checkpoint(groups.distinct().join(rows.select("row", "doc_id").distinct(), F.col("of") == F.col("row")).groupBy("component_id").agg(best.alias("best")).select(F.col("best.row").alias("__keep")))
-    kept = docs.withColumn("__row", own).join(first, F.col("__row") == F.col("__keep"), "left_semi")
-    return kept.dropDuplicates(["__row"]).drop("__row")
+    d = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
+    made = F.xxhash64("__id", "__hash").bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
+    shared = d.where("__id IS NOT NULL").groupBy(F.col("__id").alias("__of")).agg(F.min("__hash").alias("__least"), F.max("__hash").alias("__most")).where("__least < __most").drop("__most")
+    shared = checkpoint(shared)
+    if shared.isEmpty():
+        d = d.withColumn("__row", F.coalesce("__id", made))
+    else:
+        d = d.join(shared, F.col("__id") == F.col("__of"), "left")
+        d = d.withColumn("__row", F.when(F.col("__id").isNull() | (F.col("__hash") > F.col("__least")), made).otherwise(F.col("__id")))
+    groups = similar_groups(d.select(F.col("__row").alias("doc_id"), "text"))
+    first = checkpoint(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct())
+    return d.join(first, F.col("__row") == F.col("__keep"), "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
