@@ -128,12 +128,60 @@ def test_lm(docs, texts):
     assert sum(got[k].score for k in out) > sum(got[k].base_score for k in out)
 
 
-def test_lm_is_normalised():
-    rng = np.random.default_rng(0)
-    par = lm.fit(rng.integers(0, 5, (2, 6, 6)), width=4, rounds=30)
-    pair, state, norm = lm.tables(par)
-    p = np.exp(pair[None] + state[:, None, :] - norm[:, :, None])
-    assert np.allclose(p.sum(axis=2), 1, atol=1e-4)
+def test_lm_scores_by_hand(docs, texts):
+    """Scores of whole texts from the vectors by plain loops, and probabilities that add up to 1 over all words."""
+    m = lm.fit(docs)
+    got = {r.doc_id: r.score for r in lm.score_with(m, docs).collect()}
+    c = {bytes(r.word): r.c for r in m.counts.collect()}
+    own, endings = {w: k for k, w in enumerate(m.sym.own)}, {e: m.sym.base + k for k, e in enumerate(m.sym.endings)}
+    assert len(own) == lm.symbols_for(m.train_tokens) and all(c[w] >= c[v] for w, v in itertools.pairwise(m.sym.own))
+    number = lambda w: own.get(w, endings.get(w[-2:], m.sym.size - 1))
+    tokens_, kinds = Counter(), Counter()
+    for w, k in c.items():
+        if w != lm.END and w not in own:
+            tokens_[number(w)] += k
+            kinds[number(w)] += 1
+    share = lambda w: 1.0 if w in own else (c.get(w, 0) + 0.1) / (tokens_[number(w)] + 0.1 * (kinds[number(w)] + 1))
+    r, p, q = (x.astype(float) for x in (m.r, m.p, m.q))
+
+    def logs(a, g):
+        z = r[:, :-1] @ (p[a] + q[g])[:-1] + r[:, -1]
+        return z - np.log(np.exp(z - z.max()).sum()) - z.max()
+
+    for k in sorted(texts)[:25]:
+        ws = low(texts[k]).encode().split()
+        votes, a, total = np.zeros(m.votes.shape[1], np.float32), m.sym.end, 0.0
+        for w in [*ws, None]:
+            g, x = int(votes.argmax()), m.sym.end if w is None else number(w)
+            total += logs(a, g)[x] + (0 if w is None else np.log(share(w)))
+            votes, a = votes + m.votes[x], x
+        assert got[k] == pytest.approx(total / np.log(10), rel=2e-4)
+    for a, g in ((m.sym.end, 0), (0, 1), (m.sym.size - 1, 3)):
+        one = np.exp(logs(a, g))
+        words_ = sum(one[number(w)] * share(w) for w in c if w != lm.END) + one[m.sym.end]
+        unknown = sum(one[k] * 0.1 / (tokens_[k] + 0.1 * (kinds[k] + 1)) for k in range(m.sym.base, m.sym.size))
+        assert words_ + unknown == pytest.approx(1)
+
+
+def test_lm_learns_from_the_texts_that_it_may(docs):
+    """The order of words counts: shuffled words score lower; and words outside of the shared table get their counts by the join."""
+    d = docs.orderBy("doc_id").limit(60)
+    m = lm.fit(d)
+    mixed = d.withColumn("text", F.expr("array_join(array_sort(split(text, ' ')), ' ')"))
+    total = lambda x: lm.score_with(m, x).agg(F.sum("score")).first()[0]
+    assert total(d) > total(mixed)
+    whole = rows(lm.score_with(m, d), "doc_id", "n_known", "base_score")
+    m.table = {k: v[:100] for k, v in m.table.items()}
+    few = rows(lm.score_with(m, d), "doc_id", "n_known", "base_score")
+    assert [x[:2] for x in few] == [x[:2] for x in whole] and np.allclose([x[2] for x in few], [x[2] for x in whole])
+
+
+def test_lm_states_in_long_texts():
+    rng = np.random.default_rng(1)
+    x, votes = rng.integers(0, 50, 140_000), rng.normal(size=(50, 5)).astype(np.float32)
+    got = lm.states(np.r_[x, x[:3]], np.array([140_000, 140_003]), votes)
+    want = np.cumsum(votes[x].astype(float), axis=0).argmax(axis=1)
+    assert got[0] == 0 and (got[1:140_000] == want[:-1]).mean() > 0.999 and got[140_001] == votes[x[0]].argmax()
 
 
 def test_lm_odd(odd, none):
