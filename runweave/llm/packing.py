@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import base64
+import math
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import checkpoint
 
-CAPACITY, END, GROUP = 1024, 2, 200_000
+CAPACITY, END = 1024, 2
+DEAL = 100_000  # pieces of all lengths to a part; ranks are counted part by part
 SPECIAL = "<|endoftext|>"
 CACHE = 400_000
 
@@ -20,10 +23,12 @@ CACHE = 400_000
 class Encoder(dict):
     """Bytes of the little-endian ids of a text.
 
-    A text splits before each single space that a non-space follows; the pattern of the vocabulary never joins
-    across it, so each unit is encoded once and kept. Texts with runs of spaces go to the encoder whole.
+    A text splits before each space that stands between two characters that aren't white space (in Unicode's sense); the pattern of
+    the vocabulary never joins across it, so each unit is encoded once and kept.
     """
 
+    _SPLIT = re.compile(r" (?=\S)(?<=\S )")
+
     def __init__(self, path: str | None = None):
         import public_tokenizers as P
         import tiktoken
@@ -47,10 +52,8 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         if SPECIAL in text:  # the tokenizer knows this string as one id
             return self.special.join(self.encode(x) if x else b"" for x in text.split(SPECIAL))
-        if "  " in text or text[-1:] == " " or text[:1] == " ":
-            return self.direct(text)
-        first, _, rest = text.partition(" ")
-        return self.direct(first) + b"".join(map(self.__getitem__, rest.split(" "))) if rest else self.direct(first)
+        first, *rest = self._SPLIT.split(text)
+        return self.direct(first) + b"".join(map(self.__getitem__, rest))
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -142,39 +145,37 @@ def best_two_fit(counts: np.ndarray, capacity: int = CAPACITY):
         yield bin_, 1 + more
 
 
-def _pack(capacity: int):
-    def run(batches):
-        from pyspark import TaskContext
-
-        first = TaskContext.get().partitionId() << 40
-        held: list[pa.RecordBatch] = []
-        rows = 0
-
-        def flush():
-            nonlocal first
-            t = pa.Table.from_batches(held)
-            n = t.column("length").to_numpy()
-            where = np.argsort(-n, kind="stable")
-            begin = np.searchsorted(-n[where], -np.arange(capacity + 1), "left")  # first row of each length
-            seq, off = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
-            for lengths, times in best_two_fit(np.bincount(n, minlength=capacity + 1), capacity):
-                ids, at = np.arange(first, first + times), 0
-                for k in lengths:
-                    got = where[begin[k] : begin[k] + times]
-                    begin[k] += times
-                    seq[got], off[got] = ids, at
-                    at += k
-                first += times
-            yield from t.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off)).combine_chunks().to_batches()
+def plan(counts: np.ndarray, capacity: int = CAPACITY) -> dict[int, np.ndarray]:
+    """For each length, runs of pieces by rank: (first rank, first sequence, offset), where the pieces of a run go to successive sequences.
 
+    The whole corpus is one plan: it depends on the histogram of lengths alone (capacity numbers), so not on partitions.
+    """
+    runs: dict[int, list[tuple[int, int, int]]] = {}
+    used: dict[int, int] = {}
+    first = 0
+    for lengths, times in best_two_fit(counts, capacity):
+        at = 0
+        for n in lengths:
+            runs.setdefault(n, []).append((used.get(n, 0), first, at))
+            used[n] = used.get(n, 0) + times
+            at += n
+        first += times
+    return {n: np.array(r, np.int64) for n, r in runs.items()}
+
+
+def _placed(runs: dict[int, np.ndarray]):
+    def run(batches):
         for b in batches:
-            held.append(b)
-            rows += b.num_rows
-            if rows >= GROUP:
-                yield from flush()
-                held, rows = [], 0
-        if rows:
-            yield from flush()
+            n, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            seq, off = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+            for k in np.unique(n):
+                own = np.flatnonzero(n == k)
+                r = runs[int(k)]
+                at = np.searchsorted(r[:, 0], rank[own], "right") - 1
+                seq[own] = r[at, 1] + rank[own] - r[at, 0]
+                off[own] = r[at, 2]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
     return run
 
@@ -182,11 +183,24 @@ def _pack(capacity: int):
 def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every document.
 
-    Pieces are dealt at random to the shuffle partitions and packed there in groups of about GROUP, in the order of
-    (doc_id, piece), so a task that runs again gives the same bins. Only lengths and checksums are shuffled.
+    The lengths of all pieces are counted, best-two-fit makes one plan of the counts (at most capacity numbers on the driver), and
+    each piece takes the place that the plan has for its rank among the pieces of its length. Ranks are counted in parts of about
+    DEAL pieces, dealt by hash, whose sizes are then summed up; so neither a common length nor the corpus meets in one task, and
+    sequences don't depend on the number of partitions. Only lengths and checksums are shuffled.
     Null and empty texts are one piece (the end id). Rows that repeat are packed each.
     """
-    p = pieces(docs, capacity, path)
-    dealt = p.repartition(partitions(docs.sparkSession), F.xxhash64("doc_id", "piece", "ids_crc32")).sortWithinPartitions("doc_id", "piece", "ids_crc32")
+    p = checkpoint(pieces(docs, capacity, path))
+    counts = np.zeros(capacity + 1, np.int64)
+    for n, k in p.groupBy("length").count().collect():  # at most capacity rows
+        counts[n] = k
+    parts = max(1, math.ceil(counts.sum() / DEAL))
+    dealt = p.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+    sizes = dealt.groupBy("length", "part").count()
+    before = F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")
+    sizes = sizes.select("length", "part", before.alias("before"))
+    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    ranked = dealt.withColumn("own", rank).join(sizes, ["length", "part"]).withColumn("rank", F.col("before") + F.col("own"))
     kind = p.schema["doc_id"].dataType.simpleString()
-    return dealt.mapInArrow(_pack(capacity), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    columns = "piece int, start long, length long, ids_crc32 long"
+    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
+    return ranked.mapInArrow(_placed(plan(counts, capacity)), f"doc_id {kind}, {columns}, sequence_id long, offset long")

@@ -91,6 +91,28 @@ def test_packing(docs, texts):
     assert n <= sum(len(tokens(t)) for t in texts.values()) / 1024 * 1.1 + 4
 
 
+def test_packing_does_not_depend_on_partitions(spark, monkeypatch):
+    """One plan for the corpus, at most 1 % above the least number that the lengths allow."""
+    monkeypatch.setattr(packing, "DEAL", 100)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {}
+    for parts in (4, 61):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got[parts] = packing.pack(d.repartition(parts)).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert all(r.n == r.end <= 1024 for r in got[4] + got[61])
+    assert len(got[4]) == len(got[61]) <= 1.01 * sum(r.n for r in got[4]) / 1024
+
+
+def test_ids_equal_the_tokenizer():
+    rng = random.Random(5)
+    bits = [" ", "  ", "\u00a0", "\u3000", "\u2028", "\u0085", "\x1c", "\t", "\n", "\r\n", ".", "a", "Word", "it's", "né", "12", "\U0001f600", "<|endoftext|>", "\u0301", "...", "日本"]
+    coder = packing.Encoder()
+    for _ in range(4000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(1, 12)))
+        assert coder.encode(t) + (2).to_bytes(4, "little") == np.array(tokens(t), "<u4").tobytes(), repr(t)
+
+
 def test_packing_odd(odd, none):
     once = odd.dropDuplicates(["doc_id"])
     packed_right(packing.pack(once).collect(), {r.doc_id: r.text for r in once.collect()})
