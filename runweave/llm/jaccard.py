@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import lru_cache
 
@@ -95,14 +96,39 @@ def keys(s: np.ndarray, probes: int = PROBES, percent: int = PERCENT) -> list[in
     return np.unique(np.concatenate(out)).astype(np.int64).tolist() if out else []
 
 
+def exact_keys(s: np.ndarray, percent: int = PERCENT) -> list[int]:
+    """Keys such that any similar pair shares one, whatever the sets.
+
+    All blocks of a band are probed. A pair is missed by a dealing only if each block in which one of its sets has elements holds a
+    difference; so a set that has elements in more blocks than it can differ in from any partner is safe, and so are its pairs. A set that isn't
+    safe is dealt again by the next hash until it is. Partners do the same in the same order, so both of a pair have the keys of the dealing in which the first of them is safe.
+    """
+    out = []
+    for k in bands(len(s), percent):
+        m = blocks(k, percent) * 103 // 100 + 2
+        most = (len(s) + min(edge(k + 1) - 1, 100 * len(s) // percent)) * (100 - percent) // (100 + percent)
+        for again in itertools.count():
+            deal = mixed(np.array([0xD1B54A32D192ED03 + again], _U))[0]
+            b = (mixed(s ^ deal) >> _U(16)) % _U(m)
+            order = np.argsort(b, kind="stable")
+            b, x = b[order], s[order]
+            first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+            tag = (b[first] + _U(1)) * _STEP[5] + deal + _U((k << 8) * 0x9E3779B97F4A7C15 % (1 << 64))
+            out.append(mixed(np.bitwise_xor.reduceat(x, first) ^ mixed(tag)))
+            if len(first) > most:
+                break
+    return np.unique(np.concatenate(out)).astype(np.int64).tolist() if out else []
+
+
 def sketch(s: np.ndarray) -> list[int]:
     """SKETCH parity bits: each element flips one, so the Hamming distance of two sketches is at most the symmetric difference of the sets."""
     bits = np.bincount((mixed(s ^ _U(0xA0761D6478BD642F)) >> _U(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _signed(n: int):
+def _signed(n: int, exact: bool):
     def run(batches):
+        made = exact_keys if exact else keys
         seen = WordHash()
         for b in batches:
             size, code, ks, sk = [], [], [], []
@@ -111,7 +137,7 @@ def _signed(n: int):
                 size.append(len(s))
                 if len(s):
                     code.append(s.sum(dtype=_U).tobytes() + np.bitwise_xor.reduce(mixed(s ^ _STEP[11])).tobytes())
-                    ks.append(keys(s))
+                    ks.append(made(s))
                     sk.append(sketch(s))
                 else:
                     code.append(None)
@@ -141,20 +167,22 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int = PERCENT)
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+def similar_groups(docs: DataFrame, n: int = SHINGLE, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id of every whole text.
 
     Texts of equal sets are one class. For each size band, elements are dealt into
     one block more than a similar pair can differ in; by the pigeonhole one block is free of differences, and the XOR of its hashes is
     a key that both sets have. PROBES of the blocks are probed, which leaves a similar
-    pair unmet with a chance below 1e-7 at the threshold, and far less above it.
+    pair unmet with a chance below 1e-7 at the threshold, and far less above it; exact=True probes all blocks and deals sets again
+    until no pair can go unmet (exact_keys), at about four times the keys. Sets are compared as 64-bit hashes of shingles: two shingles of
+    one hash count as one.
     First the members of a key are held against its smallest class, then any two members of a key that are
     not yet in one component and whose parity sketches allow it. Each candidate is verified on the sets of 64-bit shingle hashes.
-    Null and empty texts have no shingles and are alone. Rows that repeat are copies; ids must not be null.
+    Null and empty texts have no shingles and are alone. Rows that repeat are copies; a row without an id is a group of its own, with no component_id.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = checkpoint(d.mapInArrow(_signed(n), "doc_id long, n_shingles long, code binary, keys array<long>, sketch array<long>"))
-    of = signed.where("code IS NOT NULL")
+    signed = checkpoint(d.mapInArrow(_signed(n, exact), "doc_id long, n_shingles long, code binary, keys array<long>, sketch array<long>"))
+    of = signed.where("code IS NOT NULL AND doc_id IS NOT NULL")
     copies = of.groupBy("code", "n_shingles").agg(F.min("doc_id").alias("cls"))
     member = checkpoint(of.select("doc_id", "code", "n_shingles").join(copies, ["code", "n_shingles"]).select("doc_id", "cls", "n_shingles"))
     reps = signed.join(copies.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi").where("code IS NOT NULL").dropDuplicates(["doc_id"])
@@ -181,11 +209,11 @@ def similar_groups(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     second = checkpoint(verified(more, texts, n))
     comp = connected_components(checkpoint(first.unionByName(second)))
     out = member.join(comp, F.col("cls") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id"))
-    alone = signed.where("code IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    alone = signed.where("code IS NULL OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, exact: bool = False) -> DataFrame:
     """One row of docs for each group: the one of the smallest doc_id, a null one last; texts without words are groups of one.
 
     Rows that share id and text are one; of rows that share only an id, all but the first (by the hash of its text) get a key of their own,
@@ -201,6 +229,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     else:
         d = d.join(shared, F.col("__id") == F.col("__of"), "left")
         d = d.withColumn("__row", F.when(F.col("__id").isNull() | (F.col("__hash") > F.col("__least")), made).otherwise(F.col("__id")))
-    groups = similar_groups(d.select(F.col("__row").alias("doc_id"), "text"))
+    groups = similar_groups(d.select(F.col("__row").alias("doc_id"), "text"), exact=exact)
     first = checkpoint(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct())
     return d.join(first, F.col("__row") == F.col("__keep"), "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
