@@ -17,6 +17,7 @@ THRESHOLD = 0.9
 DRAWN, APART = 4, 0.8
 ROWS, MOST_PIVOTS = 10_000, 4096
 BLOCK = 512
+PLACES = 1 << 13  # above MOST_PIVOTS: a key holds SHARED pivots and the number of a length
 
 
 def pick_pivots(units: DataFrame, n: int = PIVOTS) -> np.ndarray:
@@ -25,9 +26,7 @@ def pick_pivots(units: DataFrame, n: int = PIVOTS) -> np.ndarray:
     Without the distance, a large group of near copies would hold many of the pivots, whose order is noise to the group's own members.
     """
     rows = [r[0] for r in units.orderBy(F.xxhash64("unit"), "cls").limit(DRAWN * n).select("unit").collect()]
-    if not rows:
-        return np.empty((0, 0))
-    drawn = np.array([r for r in rows if len(r) == len(rows[0])], float)
+    drawn = np.array(rows, float)
     chosen = np.empty((min(n, len(drawn)), drawn.shape[1]))
     k = 0
     for v in drawn:
@@ -54,20 +53,27 @@ def nearest(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarr
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :k]
 
 
-def _described(pivots: np.ndarray):
+def _described(pivots: dict[int, np.ndarray]):
+    """Keys of vectors: the number of their length, then SHARED of their nearest pivots."""
+
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = np.array(b.column("unit").to_pylist(), float)
-            near = nearest(x, pivots)
-            order = np.sort(near, axis=1)
-            sets = np.array(list(combinations(range(order.shape[1]), min(SHARED, order.shape[1]))))
-            keys = np.zeros((len(x), len(sets)), np.int64)
-            for c in range(sets.shape[1]):
-                keys = keys * 65536 + order[:, sets[:, c]]
-            rows = np.repeat(np.arange(len(x)), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column("cls").take(pa.array(rows)), b.column("copies").take(pa.array(rows))], names=["key", "cls", "copies"])
+            size = b.column("unit").value_lengths().to_numpy()
+            for number, (length, own) in enumerate(pivots.items()):
+                if (size == length).any():
+                    yield described(b.filter(pa.array(size == length)), own, number)
+
+    def described(b: pa.RecordBatch, pivots: np.ndarray, number: int) -> pa.RecordBatch:
+        x = np.array(b.column("unit").to_pylist(), float)
+        near = nearest(x, pivots)
+        order = np.sort(near, axis=1)
+        sets = np.array(list(combinations(range(order.shape[1]), min(SHARED, order.shape[1]))))
+        keys = np.full((len(x), len(sets)), number, np.int64)
+        for c in range(sets.shape[1]):
+            keys = keys * PLACES + order[:, sets[:, c]]
+        keys = keys * PLACES ** (SHARED - sets.shape[1])
+        rows = np.repeat(np.arange(len(x)), keys.shape[1])
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column("cls").take(pa.array(rows)), b.column("copies").take(pa.array(rows))], names=["key", "cls", "copies"])
 
     return run
 
@@ -110,6 +116,16 @@ def _links(u: np.ndarray, begin: np.ndarray, end: np.ndarray, side: np.ndarray,
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def _shared_first(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """The key of the k smallest pivots that stand in both rows of sorted pivots; rows that share fewer have -1."""
+    both = (x[:, :, None] == y[:, None, :]).any(axis=2)
+    at = np.argsort(~both, axis=1, kind="stable")[:, :k]
+    out = np.zeros(len(x), np.int64)
+    for c in range(k):
+        out = out * PLACES + x[np.arange(len(x)), at[:, c]]
+    return np.where(both.sum(axis=1) >= k, out, -1)
+
+
 def _tiles(t: pa.Table, pivots: np.ndarray, threshold: float) -> pa.RecordBatch:
     """Compares all tiles of a table sorted by tile.
 
@@ -127,17 +143,12 @@ def _tiles(t: pa.Table, pivots: np.ndarray, threshold: float) -> pa.RecordBatch:
     if len(p):
         ends, back = np.unique(np.r_[p, q], return_inverse=True)
         order = np.sort(nearest(u[ends], pivots), axis=1)
-        member = np.zeros((len(ends), len(pivots)), np.int8)
-        np.put_along_axis(member, order, 1, axis=1)
+        k = min(SHARED, order.shape[1])
+        own_key = key % PLACES**SHARED // PLACES ** (SHARED - k)
         mine = np.zeros(len(p), bool)
         for s in range(0, len(p), STEP):
-            left = member[back[s : min(s + STEP, len(p))]] & member[back[len(p) + s : len(p) + min(s + STEP, len(p))]]
-            first = np.zeros(len(left), np.int64)
-            for _ in range(min(SHARED, order.shape[1])):
-                k = left.argmax(axis=1)
-                first = first * 65536 + k
-                left[np.arange(len(left)), k] = 0
-            mine[s : s + STEP] = first == key[p[s : s + STEP]]
+            x, y = order[back[s : min(s + STEP, len(p))]], order[back[len(p) + s : len(p) + min(s + STEP, len(p))]]
+            mine[s : s + STEP] = _shared_first(x, y, k) == own_key[p[s : s + STEP]]
         p, q = p[mine], q[mine]
     ids, at = np.unique(cls, return_inverse=True)
     n = np.bincount(at[p], copies[q], len(ids)) + np.bincount(at[q], copies[p], len(ids))
@@ -169,9 +180,18 @@ def _tiles(t: pa.Table, pivots: np.ndarray, threshold: float) -> pa.RecordBatch:
     )
 
 
-def _compared(pivots: np.ndarray, threshold: float):
+def _compared(pivots: dict[int, np.ndarray], threshold: float):
     """Whole tiles of a sorted partition, as many at a time as a batch holds; the last tile of a batch waits for the next."""
 
+    numbered = list(pivots.values())
+
+    def each(t: pa.Table):
+        """Tables of vectors of one length; the keys bring them together."""
+        number = t.column("key").to_numpy() // PLACES**SHARED
+        edges = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+        for s, e in zip(edges, edges[1:], strict=False):
+            yield _tiles(t.slice(s, e - s), numbered[number[s]], threshold)
+
     def run(batches):
         held = None
         for b in batches:
@@ -183,10 +203,10 @@ def _compared(pivots: np.ndarray, threshold: float):
             last = (key == key[-1]) & (i == i[-1]) & (j == j[-1])
             cut = int(last.argmax())
             if cut:
-                yield _tiles(t.slice(0, cut), pivots, threshold)
+                yield from each(t.slice(0, cut))
             held = t.slice(cut).combine_chunks()
         if held is not None and held.num_rows:
-            yield _tiles(held, pivots, threshold)
+            yield from each(held)
 
     return run
 
@@ -197,8 +217,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, n_pivots:
     Equal vectors are one class from the start. Classes are described by their PREFIX nearest of n_pivots reference vectors (default: pivots_for the classes), and
     retrieved through inverted lists: sharing SHARED pivots is sharing one of the lists of their triples. A list
     is dealt in blocks of BLOCK rows and compared block against block, so no task holds
-    a whole hot list. Retrieved pairs are verified by cosine in doubles. Vectors of another length than the first pivot's, and null, zero or
-    non-finite ones link with nothing (vectors of one length are expected in a table).
+    a whole hot list. Retrieved pairs are verified by cosine in doubles. Vectors of each length have pivots and lists of their own and
+    link with nothing of another length; null, zero and non-finite ones link with nothing.
     """
     spark = vectors.sparkSession
     v = units(vectors)
@@ -206,11 +226,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, n_pivots:
     classes = v.where("code IS NOT NULL").groupBy("code").agg(F.min("vec_id").alias("cls"), F.count("*").alias("copies"), F.any_value("vec").alias("vec"))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     classes = checkpoint(classes.withColumn("unit", F.transform("vec", lambda x: x / norm)))
-    pivots = pick_pivots(classes, n_pivots or pivots_for(classes.count()))
-    if not len(pivots):
+    pivots = {}
+    for length, rows in sorted(classes.groupBy(F.size("unit")).count().collect()):  # one row for each length
+        pivots[length] = pick_pivots(classes.where(F.size("unit") == length), n_pivots or pivots_for(rows))
+    if not pivots:
         return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    width = len(pivots[0])
-    good = classes.where(F.size("unit") == width)
+    good = classes
     lists = checkpoint(good.select("unit", F.col("cls").cast("long").alias("cls"), "copies").mapInArrow(_described(pivots), "key long, cls long, copies long"))
     sizes = lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = lists.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on odd input."""
 
+import functools
 import gzip
 import hashlib
 import html as entities
@@ -338,6 +339,37 @@ def test_embeddings_odd(spark, monkeypatch):
     assert embeddings.near_duplicates(df.where("false")).collect() == []
 
 
+def test_embeddings_of_several_lengths(spark, monkeypatch):
+    """Each length by itself: no pair is lost or made up."""
+    rng = np.random.default_rng(5)
+    vs = {}
+    for d in (3, 8, 16):
+        base = rng.normal(size=(6, d))
+        vs |= {1000 * d + k: (base[k % 6] + rng.normal(size=d) * 0.03).tolist() for k in range(60)}
+    vs |= {k: [2.0] for k in range(3)} | {5: [1.0] * 500}
+    df = spark.createDataFrame(list(vs.items()), "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df, n_pivots=4).collect()}
+    want = {}
+    for d in (1, 3, 8, 16, 500):
+        want |= brute_vectors({k: v for k, v in vs.items() if len(v) == d})
+    assert got == want
+
+
+def test_embedding_recall_of_spread_queries(spark):
+    """The links of the vectors whose ids are divisible by 50, against brute force over all rows."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    t = {r.vec_id: r.embedding for r in e.collect()}
+    ids = np.array(list(t))
+    x = np.array(list(t.values()), float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = ids % 50 == 0
+    assert asked.sum() >= 10
+    want = dict(zip(ids[asked].tolist(), (x[asked] @ x.T >= 0.9).sum(axis=1) - 1, strict=True))
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(e).where("vec_id % 50 = 0").collect()}
+    assert sum(got.values()) >= 0.9 * sum(want.values()) and all(got[k] <= want[k] for k in want)
+
+
 # --- 6 ---------------------------------------------------------------------------------------
 
 
@@ -379,6 +411,34 @@ def test_jaccard_near_the_threshold(spark):
             made[10 * k + j] = " ".join(v[rng.randint(0, 1) :] if n > 6 else v)
     df = spark.createDataFrame(list(made.items()), "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(df).collect()} == brute_groups(made.items())
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(df, exact=True).collect()} == brute_groups(made.items())
+
+
+def test_exact_keys_meet_every_similar_pair():
+    """Pairs of sets at the threshold, of all sizes, always share a key; the pair's differences are put where the most blocks are hit."""
+    rng = np.random.default_rng(12)
+    for n in [*range(1, 60), 90, 150, 400, 1000, 3000]:
+        for _ in range(6):
+            union = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            lost = n - -(-80 * n // 100)
+            k = int(rng.integers(0, lost + 1))
+            x, y = np.unique(np.r_[union[lost:], union[:k]]), np.unique(np.r_[union[lost:], union[k:lost]])
+            assert 100 * len(np.intersect1d(x, y)) >= 80 * len(np.union1d(x, y))
+            assert set(jaccard.exact_keys(x)) & set(jaccard.exact_keys(y)), (n, k)
+    # an adversary: of a set, one element from each of as many blocks as may differ
+    s = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    k = jaccard.bands(len(s))[0]
+    m = jaccard.blocks(k) * 103 // 100 + 2
+    b = (jaccard.mixed(s ^ jaccard.mixed(np.array([0xD1B54A32D192ED03], np.uint64))[0]) >> np.uint64(16)) % np.uint64(m)
+    _, first = np.unique(b, return_index=True)
+    y = np.delete(s, first[: len(s) // 5])
+    assert 100 * len(y) >= 80 * len(s) and set(jaccard.exact_keys(s)) & set(jaccard.exact_keys(y))
+
+
+def test_jaccard_null_ids(spark):
+    t = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(None, t), (None, t), (1, t), (2, t), (None, None)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.similar_groups(df).collect()), key=str) == [(1, 26, 1), (2, 26, 1), (None, 0, None), (None, 26, None), (None, 26, None)]
 
 
 def test_jaccard_odd(odd, none):
@@ -425,6 +485,10 @@ def test_pii(spark, texts):
         assert (g.n_email, g.n_ip, g.n_card, g.n_phone) == tuple(sum(x[1] == k for x in base) for k in range(4))
         assert g.base_sha256 == hashlib.sha256(pii.rendered(base).encode()).hexdigest()
         assert set(filter(None, pii.rendered(base).split(","))) <= set(g.spans.split(","))
+        # the field adds all of the table's tokens, as secrets, and no others
+        tokens_ = {f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer('(?i)token = "([0-9a-f]{40})"', r.text)}
+        assert tokens_ == {x for x in g.spans.split(",") if x.startswith("secret")} and g.n_spans == len([x for x in g.spans.split(",") if x])
+    assert sum("secret" in g.spans for g in got.values()) > 5
 
 
 def test_pii_patterns():
@@ -442,13 +506,50 @@ def test_pii_field():
     for _ in range(200):
         t, gold = pii._made(rng)
         got = pii.added_spans(t, pii.base_spans(t), w)
-        want = [(gold[0], pii.KINDS.index(gold[2]), gold[1])] if gold else []
+        want = [(gold[0], pii.ALL_KINDS.index(gold[2]), gold[1])] if gold else []
         hits += got == want
         rng_hits += bool(got) and not gold
     assert hits >= 180 and rng_hits <= 6
     assert pii.added_spans("the athe at onwh dot er 2024-01-02 12:30 version 1.2.3", [], w) == []
 
 
+def test_pii_decoding_is_the_best_segmentation():
+    """The dynamic programme against all segmentations of a window, under drawn weights."""
+    rng, w = random.Random(8), pii.trained()
+    texts_ = ["call 415-555-2671 or", "4111.1111.1111.1112", "12 34 56 78 90 12 34", "ann [at] mail [dot] org", 'key = "ab12cd34ef56ab12-9f8e7d6c5b4a3210"', "1[.]2[.]3[.]4 5550001111", "9182736 5546372 1029384"]
+    for t in texts_:
+        for lo, hi in pii._windows(t, []):
+            found = list(pii.segments(t, lo, hi))
+            for draw in range(6):
+                weights = {f: (w.get(f, 0.0) if not draw else 0) + rng.gauss(0, draw / 3) for x in found for f in x[3]}
+                score = {(i, pii.ALL_KINDS.index(k), j): sum(weights[f] for f in fs) for i, j, k, fs in found}
+
+                @functools.cache
+                def best(after, score=tuple(score.items())):  # the best set of candidates that start at or behind a place
+                    return max([0.0, *(v + best(j) for (i, _, j), v in score if i >= after)])
+
+                got = pii.decode(t, lo, hi, weights)
+                assert all(x[2] <= y[0] for x, y in itertools.pairwise(got))
+                assert sum(score[x] for x in got) == pytest.approx(best(lo))
+
+
+def test_pii_other_sentences():
+    """Forms that the training sentences don't have."""
+    w = pii.trained()
+    for t, want in [
+        ("export API_KEY='q8Zr3LwT0vBn5XyK2mCd7HsJ' now", ["q8Zr3LwT0vBn5XyK2mCd7HsJ"]),
+        ('{"password": "0f1e2d3c4b5a69788796a5b4c3d2e1f0"}', ["0f1e2d3c4b5a69788796a5b4c3d2e1f0"]),
+        ("see commit 0f1e2d3c4b5a69788796a5b4c3d2e1f001234567 of May", []),
+        ("reach 203[.]0[.]113[.]7 by night", ["203[.]0[.]113[.]7"]),
+        ("the 2024-05-01-report-of-the-committee and donaudampfschifffahrt1", []),
+        ("paid with 4111111111111111 5500005555555559 today", ["4111111111111111", "5500005555555559"]),
+    ]:
+        base = pii.base_spans(t)
+        got = [t[i:j] for i, _, j in pii.added_spans(t, base, w)]
+        assert got == [x for x in want if x not in {t[i:j] for i, _, j in base}], t
+    assert pii.added_spans("x1" * 200_000, [], w) in ([], [(0, 4, 400_000)])
+
+
 def test_pii_row_of_numbers(spark):
     numbers = [f"415-555-{2671 + k}" for k in range(10)]
     t = " ".join(numbers)
