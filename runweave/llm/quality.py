@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-HOST_RATE = 0.5
+MAX_SYMBOL_PERCENT = 20
+HOST_RATE, TIMES = 0.25, 3.0
+LEAST_STRENGTH = 10.0  # rows that the prior weighs at least, so that no host falls by one or two documents
 _P = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(WINDOW, 0, -1)], dtype=np.uint64)
 
 
@@ -72,35 +74,60 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     return d.mapInArrow(_measure, f"doc_id {kind}, host string, " + ", ".join(f"{n} long" for n in NAMES))
 
 
+def rules() -> dict[str, F.Column]:
+    """Name -> whether a document fails the rule. The first two are the base rules."""
+    return {
+        "short": F.col("n_words") < MIN_WORDS,
+        "repeats": 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"),
+        "symbols": 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars"),
+    }
+
+
 def failed() -> F.Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return rules()["short"] | rules()["repeats"]
+
+
+def prior(hosts: int, n: float, failures: float, squares: float) -> tuple[float, float]:
+    """Mean and strength of the beta prior of a rule, by moments over hosts that count by their rows.
+
+    squares: the sum of failures^2 / n over hosts. The spread of the hosts' rates is that seen less what sampling alone gives; where nothing is
+    left, the prior weighs as much as all rows, so that each host gets the mean.
+    """
+    if not n:
+        return 0.0, LEAST_STRENGTH
+    mean = failures / n
+    noise = hosts * mean * (1 - mean) / n
+    spread = squares / n - mean * mean - noise
+    return mean, max(LEAST_STRENGTH, min(n, mean * (1 - mean) / spread - 1) if spread > 0 else n)
 
 
 def host_verdicts(counts: DataFrame) -> DataFrame:
-    """(host, n, failures) -> also rate, shrunk and host_kept.
+    """(host, n, and failures by rule) -> also rate_<rule>, the shrunk rate of each rule, and host_kept.
 
-    The beta prior is fitted to the hosts' own rates by moments, each host counting by its rows:
-    mean m and spread v give a strength m(1-m)/v - 1, held between 1 and 10,000. A host's shrunk rate is
-    (failures + m * strength) / (n + strength); hosts above HOST_RATE are refused.
+    A host is refused when the shrunk rate of a rule, less two standard deviations of its posterior, is above HOST_RATE and above TIMES the rate of the corpus.
     """
-    rate = F.col("failures") / F.col("n")
-    f, n, q = counts.agg(F.sum("failures"), F.sum("n"), F.sum(F.col("n") * rate * rate)).first()  # one row of three sums
-    mean = (f or 0) / n if n else 0.0
-    spread = max((q or 0) / n - mean * mean, 1e-12) if n else 1.0
-    strength = min(10_000.0, max(1.0, mean * (1 - mean) / spread - 1))
-    shrunk = (F.col("failures") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength))
-    return counts.withColumn("rate", rate).withColumn("shrunk", shrunk).withColumn("host_kept", shrunk <= HOST_RATE)
+    names = list(rules())
+    sums = [F.sum(c).cast("double") for k in names for c in (F.col(k), F.col(k) * F.col(k) / F.col("n"))]
+    hosts, n, *got = counts.agg(F.count("*"), F.sum("n"), *sums).first()  # one row of sums
+    bad = F.lit(False)
+    for k, name in enumerate(names):
+        mean, strength = prior(hosts, float(n or 0), got[2 * k] or 0.0, got[2 * k + 1] or 0.0)
+        counts = counts.withColumn(f"rate_{name}", (F.col(name) + F.lit(mean * strength)) / (F.col("n") + F.lit(strength)))
+        rate = F.col(f"rate_{name}")
+        bad = bad | (rate - 2 * F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(strength + 1))) > max(HOST_RATE, TIMES * mean))
+    return counts.withColumn("host_kept", ~bad)
 
 
 def quality(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Per document the counts, base_failed, the host's shrunk rate and kept.
+    """Per document the counts, base_failed, kept, and the host's shrunk rates.
 
-    A host's rows only meet in sums with partial aggregation. Null hosts are one host of
+    Failures are summed up by host and rule, so a host's rows only meet in sums with partial aggregation. Null hosts are one host of
     their own; null and empty texts have no words and fail; rows that repeat stay.
     """
     from .common import checkpoint
 
     d = checkpoint(measured(docs, host).withColumn("base_failed", failed()))
-    counts = d.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failures"))
-    v = host_verdicts(counts).select(F.col("host").alias("of"), F.col("shrunk").alias("host_rate"), "host_kept")
+    counts = d.groupBy("host").agg(F.count("*").alias("n"), *(F.sum(c.cast("long")).alias(k) for k, c in rules().items()))
+    rates = [f"rate_{k}" for k in rules()]
+    v = host_verdicts(counts).select(F.col("host").alias("of"), *rates, "host_kept")
     return d.join(v, d["host"].eqNullSafe(F.col("of")), "left").drop("of").withColumn("kept", ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from . import embeddings, html, jaccard, lm, mixing, packing, pii, quality, toxicity, warc
 from .common import table
 
@@ -38,7 +36,7 @@ def op7_pii(spark, sf_dir):
 
 def op8_quality_rules(spark, sf_dir):
     d = quality.quality(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", *quality.NAMES, "base_failed", "kept", F.col("host_rate"))
+    return d.select("doc_id", *quality.NAMES, "base_failed", "kept", *(f"rate_{k}" for k in quality.rules()))
 
 
 def op9_mixing(spark, sf_dir):

@@ -262,6 +262,14 @@ def test_html(spark):
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want) and got[r.page_id].url == r.url
 
 
+def test_html_is_linear_in_nesting():
+    import time
+
+    page = "<div>" * 60_000 + "</p>" * 60_000 + "<article><p>text</p></article>" + "</span>" * 60_000
+    start = time.time()
+    assert html.blocks(page) == [(html.ARTICLE, "text")] and time.time() - start < 5
+
+
 def test_html_hosts_without_marks(spark):
     top, foot = "home news sport culture weather travel money video more", "all rights reserved by the makers of this fine site"
     own = [" ".join(f"word{k}x{i}" for i in range(12)) for k in range(4)]
@@ -600,9 +608,36 @@ def test_quality(spark, texts, docs):
 
 
 def test_hosts(spark):
-    d = [(k, "good", "w " + " ".join(f"v{k}{i}" for i in range(30))) for k in range(60)] + [(100 + k, "bad", "x" if k % 10 else " ".join(f"u{k}{i}" for i in range(30))) for k in range(60)]
+    """Hosts are refused by the shrunk rate of one rule, small hosts lean on the corpus, and equal hosts stay; rates against a plain version."""
+    text = lambda k: " ".join(f"v{k}x{i}" for i in range(30))
+    d = [(k, f"good{k % 5}", "w" if k % 40 == 0 else text(k)) for k in range(1000)]
+    d += [(2000 + k, "bad", "x" if k % 10 else text(k)) for k in range(60)]
+    d += [(3000 + k, "signs", text(k) + "".join(f" #$%&#{i}" for i in range(40))) for k in range(50)]
+    d += [(4000, "tiny", "x"), (4001, "tiny", text(9)), (4002, None, text(8))]
     got = quality.quality(spark.createDataFrame(d, "doc_id long, source string, text string")).collect()
-    assert {r.kept for r in got if r.host == "good"} == {True} and not any(r.kept for r in got if r.host == "bad")
+    kept = {h: {r.kept for r in got if r.host == h and not r.base_failed} for h in {r.host for r in got}}
+    assert kept == {**{f"good{k}": {True} for k in range(5)}, "bad": {False}, "signs": {False}, "tiny": {True}, None: {True}}
+    for name, fails in (("short", lambda t: len(t.split()) < 20), ("symbols", lambda t: 5 * sum(c in "#*$%&|<>" for c in t) > len("".join(t.split())))):
+        by = {}
+        for _, h, t in d:
+            x = by.setdefault(h, [0, 0])
+            x[0] += 1
+            x[1] += fails(t)
+        n, m = sum(x[0] for x in by.values()), sum(x[1] for x in by.values()) / sum(x[0] for x in by.values())
+        spread = sum(x[0] * (x[1] / x[0] - m) ** 2 for x in by.values()) / n - len(by) * m * (1 - m) / n
+        strength = max(10.0, min(n, m * (1 - m) / spread - 1))
+        for r in got:
+            assert r[f"rate_{name}"] == pytest.approx((by[r.host][1] + m * strength) / (by[r.host][0] + strength))
+    assert quality.prior(10, 1000, 80, 6.4) == (0.08, 1000)  # no more spread than chance: each host has the corpus's rate
+
+
+def test_host_verdict_decides(spark, docs):
+    """With the documents of one host cut short, its others go; without, all hosts of the table stay."""
+    assert quality.quality(docs).where("NOT kept AND NOT base_failed").count() == 0
+    hot = docs.groupBy("source").count().orderBy(F.desc("count")).first()[0]
+    cut = docs.withColumn("text", F.when((F.col("source") == hot) & (F.crc32(F.col("doc_id").cast("string")) % 4 > 0), F.substring("text", 1, 40)).otherwise(F.col("text")))
+    out = quality.quality(cut)
+    assert out.where("NOT kept AND NOT base_failed").select("host").distinct().collect() == [(hot,)]
 
 
 def test_quality_odd(odd, none):
