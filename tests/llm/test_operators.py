@@ -631,8 +631,9 @@ def test_hosts(spark):
     assert quality.prior(10, 1000, 80, 6.4) == (0.08, 1000)  # no more spread than chance: each host has the corpus's rate
 
 
-def test_host_verdict_decides(spark, docs):
+def test_host_verdict_decides(spark):
     """With the documents of one host cut short, its others go; without, all hosts of the table stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert quality.quality(docs).where("NOT kept AND NOT base_failed").count() == 0
     hot = docs.groupBy("source").count().orderBy(F.desc("count")).first()[0]
     cut = docs.withColumn("text", F.when((F.col("source") == hot) & (F.crc32(F.col("doc_id").cast("string")) % 4 > 0), F.substring("text", 1, 40)).otherwise(F.col("text")))
