@@ -38,6 +38,23 @@ def nearest_owned(edges: DataFrame, owned: DataFrame, starts: DataFrame) -> Data
     return met.where("start").select(*key, "owner").distinct()
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """(run_id, event_id, ancestor_id, depth) of all ancestors, each with the length of the shortest way to it.
+
+    edges: run_id, event_id, parent_id. Ways double in each round, so a run of any depth needs as many rounds as its depth has bits. An event on
+    a cycle is its own ancestor.
+    """
+    key = ["run_id", "event_id", "ancestor_id"]
+    found = checkpointed(edges.where("parent_id IS NOT NULL").select("run_id", "event_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth")).distinct())
+    before = -1
+    while (now := found.agg(F.count("*"), F.sum("depth")).first()) != before:
+        before = now
+        up = found.select("run_id", F.col("event_id").alias("ancestor_id"), F.col("ancestor_id").alias("next"), F.col("depth").alias("more"))
+        longer = found.join(up, ["run_id", "ancestor_id"]).select("run_id", "event_id", F.col("next").alias("ancestor_id"), (F.col("depth") + F.col("more")).alias("depth"))
+        found = checkpointed(found.unionByName(longer).groupBy(*key).agg(F.min("depth").alias("depth")))
+    return found
+
+
 def dependencies(events: DataFrame, nodes: DataFrame) -> DataFrame:
     """(run_id, node_id, depends_on): the nodes of the calls that stand nearest above a node's requests.
 

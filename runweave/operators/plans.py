@@ -1,4 +1,4 @@
-"""The declarative operators: for each, the views it reads and its plan as SQL that both engines run.
+"""The declarative operators: for each, the views it reads and its plan as SQL. What they are held against is written apart (plans/oracles.py).
 
 `run(name, spark, **frames)` applies one to any frames of the views' columns.
 """
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.scalar import EVENT_TYPES, FOLD_KIND, STATUS
 from ..sources import adapters
+from . import ancestors
 
 KNOWN = ", ".join(f"'{t}'" for t in EVENT_TYPES)
 GROUPS = f"""
@@ -21,12 +22,14 @@ nodes AS (SELECT run_id, grp, CASE WHEN count(*) > 1 THEN concat('group:', min(C
    max(CASE WHEN pos = tail THEN timestamp END) AS last_timestamp,
    CASE WHEN min(actor) = max(actor) THEN min(actor) ELSE 'multiple' END AS actor,
    CASE WHEN max(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) = 1 THEN 'failed' WHEN max(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) = 1 THEN 'completed' ELSE min(CASE WHEN pos = head THEN status END) END AS status,
-   CASE WHEN count(*) > 1 THEN min(kind) ELSE min(type) END AS label FROM f GROUP BY run_id, grp),
+   CASE WHEN count(*) = 1 THEN min(type) WHEN min(kind) = 'model-stream' THEN concat('model stream (', cast(count(*) AS @text), ')') ELSE concat('low-level events (', cast(count(*) AS @text), ')') END AS label,
+   CASE WHEN min(type) = max(type) THEN min(type) ELSE 'multiple' END AS type, min(pos) AS first_pos FROM f GROUP BY run_id, grp),
 member AS (SELECT f.run_id, f.event_id, f.parent_id, nodes.node_id, nodes.first_timestamp, nodes.first_sequence FROM f JOIN nodes ON f.run_id = nodes.run_id AND f.grp = nodes.grp),
-edges AS (SELECT DISTINCT c.run_id, p.node_id AS from_id, c.node_id AS to_id, p.first_timestamp AS t, p.first_sequence AS q
-   FROM member c JOIN member p ON c.run_id = p.run_id AND c.parent_id = p.event_id WHERE p.node_id <> c.node_id)"""
+parents AS (SELECT DISTINCT c.run_id, p.node_id AS from_id, c.node_id AS to_id, p.first_timestamp AS t, p.first_sequence AS q
+   FROM member c JOIN member p ON c.run_id = p.run_id AND c.parent_id = p.event_id),
+edges AS (SELECT * FROM parents WHERE from_id <> to_id)"""
 CALLS = """
-c AS (SELECT *, CASE WHEN type LIKE 'model.%' THEN 'model' WHEN type LIKE 'tool.%' THEN 'tool' END AS kind, concat('key_', cast(n % 4 AS @text)) AS correlation_key FROM te),
+c AS (SELECT *, CASE WHEN type LIKE 'model.%' THEN 'model' WHEN type LIKE 'tool.%' THEN 'tool' END AS kind FROM te),
 req AS (SELECT *, row_number() OVER (PARTITION BY run_id, kind, correlation_key ORDER BY sequence) AS attempt FROM c WHERE type LIKE '%.requested'),
 fin AS (SELECT *, row_number() OVER (PARTITION BY run_id, correlation_key ORDER BY sequence DESC) AS back FROM c WHERE type LIKE '%.completed' OR type LIKE '%.failed')"""
 RULES = {
@@ -36,8 +39,9 @@ RULES = {
     "val_parent_missing": "SELECT c.run_id, 'BROKEN_PARENT_REFERENCE' AS code, 'error' AS severity, c.pos FROM tf c LEFT JOIN (SELECT DISTINCT run_id, event_id FROM tf) p ON c.run_id = p.run_id AND c.parent_id = p.event_id WHERE c.parent_id IS NOT NULL AND p.event_id IS NULL",
     "val_parent_not_earlier": "SELECT c.run_id, 'MISSING_PARENT_EVENT' AS code, 'error' AS severity, c.pos FROM tf c LEFT JOIN (SELECT run_id, event_id, min(pos) AS first_pos FROM tf GROUP BY run_id, event_id) p ON c.run_id = p.run_id AND c.parent_id = p.event_id WHERE c.parent_id IS NOT NULL AND (p.first_pos IS NULL OR p.first_pos >= c.pos)",
     "val_unknown_types": f"SELECT run_id, 'UNKNOWN_EVENT_TYPE' AS code, 'warning' AS severity, pos FROM tf WHERE type NOT IN ({KNOWN})",
-    "val_manifest_counts": """SELECT mf.run_id, 'EVENT_COUNT_MISMATCH' AS code, 'error' AS severity, cast(-1 AS bigint) AS pos FROM mf JOIN (SELECT run_id, count(*) AS n FROM te GROUP BY run_id) c ON mf.run_id = c.run_id WHERE event_count <> n
- UNION ALL SELECT mf.run_id, 'LAST_SEQUENCE_MISMATCH', 'error', -1 FROM mf JOIN (SELECT run_id, max(sequence) AS m FROM te GROUP BY run_id) c ON mf.run_id = c.run_id WHERE last_sequence <> m""",
+    "val_manifest_counts": """SELECT run_id, code, 'error' AS severity, cast(-1 AS bigint) AS pos FROM (
+  SELECT mf.run_id, CASE WHEN event_count <> coalesce(n, 0) THEN 'EVENT_COUNT_MISMATCH' END AS code FROM mf LEFT JOIN (SELECT run_id, count(DISTINCT pos) AS n FROM te GROUP BY run_id) c ON mf.run_id = c.run_id
+  UNION ALL SELECT mf.run_id, CASE WHEN last_sequence <> coalesce(m, 0) THEN 'LAST_SEQUENCE_MISMATCH' END FROM mf LEFT JOIN (SELECT run_id, max_by(sequence, pos) AS m FROM te GROUP BY run_id) c ON mf.run_id = c.run_id) x WHERE code IS NOT NULL""",
     "val_orphan_roots": """SELECT mf.run_id, 'MISSING_ROOT_EVENT' AS code, 'error' AS severity, cast(-1 AS bigint) AS pos FROM mf LEFT JOIN te ON mf.run_id = te.run_id AND mf.root_event_id = te.event_id WHERE te.event_id IS NULL
  UNION ALL SELECT te.run_id, 'ORPHAN_ROOT_EVENT', 'warning', pos FROM te JOIN mf ON mf.run_id = te.run_id WHERE te.parent_id IS NULL AND te.event_id <> mf.root_event_id""",
     "val_checkpoint_refs": "SELECT ck.run_id, 'MISSING_CHECKPOINT_EVENT' AS code, 'error' AS severity, ck.sequence - 1 AS pos FROM ck LEFT JOIN te ON ck.run_id = te.run_id AND ck.last_event_id = te.event_id WHERE te.event_id IS NULL",
@@ -51,28 +55,29 @@ SELECT run_id, count(*) AS event_count, cast(sum(CASE WHEN type = 'model.request
  min_by(timestamp, pos) AS first_timestamp, max_by(timestamp, pos) AS last_timestamp, greatest(0.0e0, max_by(offset_ms, pos) - min_by(offset_ms, pos)) AS duration_ms FROM te GROUP BY run_id"""),
     "inspect_event_types": (("te",), "SELECT run_id, type, count(*) AS n FROM te GROUP BY run_id, type"),
     "inspect_actors": (("te",), "SELECT run_id, actor, count(*) AS n, min(pos) AS first_pos FROM te GROUP BY run_id, actor"),
-    "inspect_errors": (("te",), "SELECT run_id, event_id, type, sequence, CASE WHEN value < 10 THEN concat('E', cast(n % 10 AS @text)) ELSE 'UNKNOWN_ERROR' END AS code FROM te WHERE type LIKE '%.failed'"),
+    "inspect_errors": (("te",), "SELECT run_id, event_id, type, sequence, coalesce(error_code, 'UNKNOWN_ERROR') AS code FROM te WHERE type LIKE '%.failed'"),
     "find_by_type": (("te",), "SELECT run_id, event_id, sequence FROM te WHERE type = 'tool.failed'"),
     "find_by_actor": (("te",), "SELECT run_id, event_id, sequence FROM te WHERE actor = 'actor_3'"),
     "find_seq_range": (("te",), "SELECT run_id, event_id, sequence FROM te WHERE sequence >= 5 AND sequence <= 9"),
     "find_time_range": (("te",), "SELECT run_id, event_id, timestamp FROM te WHERE timestamp > '2024-01-03T00:00:00.000000Z' AND timestamp < '2024-01-06T00:00:00.000000Z'"),
     "get_event": (("tf",), "SELECT run_id, event_id, pos, type FROM (SELECT *, row_number() OVER (PARTITION BY run_id, event_id ORDER BY pos) AS k FROM tf) x WHERE k = 1"),
-    "get_parents": (("dt",), "SELECT c.run_id, c.event_id, p.event_id AS parent_event_id, p.type AS parent_type FROM dt c JOIN (SELECT run_id, event_id, min(type) AS type FROM dt GROUP BY run_id, event_id) p ON c.run_id = p.run_id AND c.parent_id = p.event_id"),
+    "get_parents": (("dt",), "SELECT c.run_id, c.event_id, p.event_id AS parent_event_id, p.type AS parent_type FROM dt c JOIN (SELECT run_id, event_id, min_by(type, pos) AS type FROM dt GROUP BY run_id, event_id) p ON c.run_id = p.run_id AND c.parent_id = p.event_id"),
     "get_children": (("dt",), "SELECT p.run_id, p.event_id, c.event_id AS child_event_id FROM (SELECT DISTINCT run_id, event_id FROM dt) p JOIN dt c ON c.run_id = p.run_id AND c.parent_id = p.event_id"),
     "child_counts": (("dt",), "SELECT run_id, parent_id, count(DISTINCT event_id) AS n_children FROM dt WHERE parent_id IS NOT NULL GROUP BY run_id, parent_id"),
     "root_events": (("te", "mf"), """
 WITH r AS (SELECT te.run_id, te.event_id, te.pos, te.parent_id, CASE WHEN te.event_id = mf.root_event_id THEN 1 ELSE 0 END AS declared FROM te JOIN mf ON te.run_id = mf.run_id),
 m AS (SELECT *, max(declared) OVER (PARTITION BY run_id) AS has FROM r) SELECT run_id, event_id FROM m WHERE (has = 1 AND declared = 1) OR (has = 0 AND parent_id IS NULL)"""),
     "fold_groups": (("te",), f"WITH {GROUPS} SELECT run_id, node_id, n_events, first_sequence, last_sequence, label FROM nodes"),
-    "graph_nodes": (("te",), f"WITH {GROUPS} SELECT run_id, node_id, n_events, first_sequence, last_sequence, first_timestamp, last_timestamp, actor, status, label FROM nodes"),
+    "graph_nodes": (("te",), f"WITH {GROUPS} SELECT run_id, node_id, n_events, first_sequence, last_sequence, first_timestamp, last_timestamp, actor, type, status, label FROM nodes"),
     "graph_filtered_nodes": (("te",), f"WITH {GROUPS} SELECT run_id, node_id, status FROM nodes WHERE status IN ('failed', 'started') AND last_sequence >= 3 AND first_sequence <= 20 AND actor IN ('actor_1', 'actor_2', 'multiple')"),
     "dag_edges": (("te",), f"WITH {GROUPS} SELECT DISTINCT run_id, from_id, to_id FROM edges"),
     "graph_filtered_edges": (("te",), f"WITH {GROUPS}, v AS (SELECT run_id, node_id FROM nodes WHERE status <> 'started') SELECT DISTINCT edges.run_id, from_id, to_id FROM edges JOIN v a ON a.run_id = edges.run_id AND a.node_id = from_id JOIN v b ON b.run_id = edges.run_id AND b.node_id = to_id"),
-    "tree_edges": (("te",), f"WITH {GROUPS} SELECT run_id, from_id, to_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, to_id ORDER BY t, q, from_id) AS k FROM edges) x WHERE k = 1"),
+    "tree_edges": (("te",), f"WITH {GROUPS} SELECT run_id, from_id, to_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, to_id ORDER BY t, q, from_id) AS k FROM parents) x WHERE k = 1 AND from_id <> to_id"),
     "timeline_edges": (("te",), f"WITH {GROUPS} SELECT run_id, node_id AS from_id, to_id FROM (SELECT *, lead(node_id) OVER (PARTITION BY run_id ORDER BY first_timestamp, first_sequence, node_id) AS to_id FROM nodes) x WHERE to_id IS NOT NULL"),
-    "mermaid_lines": (("te",), f"""WITH {GROUPS}, k AS (SELECT run_id, node_id, label, status, row_number() OVER (PARTITION BY run_id ORDER BY first_timestamp, first_sequence, node_id) - 1 AS i FROM nodes)
-SELECT run_id, concat('  n', cast(i AS @text), '["', replace(replace(replace(label, '&', '&amp;'), '<', '&lt;'), '"', '&quot;'), '"]') AS line FROM k
-UNION ALL SELECT e.run_id, concat('  n', cast(a.i AS @text), ' --> n', cast(b.i AS @text)) FROM (SELECT DISTINCT run_id, from_id, to_id FROM edges) e JOIN k a ON a.run_id = e.run_id AND a.node_id = from_id JOIN k b ON b.run_id = e.run_id AND b.node_id = to_id"""),
+    "mermaid_lines": (("te",), f"""WITH {GROUPS}, own AS (SELECT run_id, grp, pos, event_id FROM f GROUP BY run_id, grp, pos, event_id),
+k AS (SELECT n.run_id, n.node_id, concat(n.label, ' [', o.ids, ']') AS label, row_number() OVER (PARTITION BY n.run_id ORDER BY n.first_pos) AS i FROM nodes n JOIN (SELECT run_id, grp, @joined(event_id, pos) AS ids FROM own GROUP BY run_id, grp) o ON o.run_id = n.run_id AND o.grp = n.grp)
+SELECT run_id, concat('  node_', cast(i AS @text), '["', replace(replace(replace(replace(replace(replace(label, '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;'), chr(13), ' '), chr(10), ' '), '"]') AS line FROM k
+UNION ALL SELECT e.run_id, concat('  node_', cast(a.i AS @text), ' -->|causal| node_', cast(b.i AS @text)) FROM (SELECT DISTINCT run_id, from_id, to_id FROM edges) e JOIN k a ON a.run_id = e.run_id AND a.node_id = from_id JOIN k b ON b.run_id = e.run_id AND b.node_id = to_id"""),
     "dag_fan_in": (("dt",), "SELECT run_id, event_id, count(*) AS n_parents, min(parent_id) AS primary_parent FROM dt WHERE parent_id IS NOT NULL GROUP BY run_id, event_id HAVING count(*) > 1"),
     **{k: (tuple(v for v in ("tf", "te", "mf", "ck") if f" {v}" in t), t) for k, t in RULES.items()},
     "val_all": (("tf", "te", "mf", "ck"), "SELECT code, severity, count(*) AS n, count(DISTINCT run_id) AS n_runs FROM (" + " UNION ALL ".join(f"SELECT * FROM ({t}) r{k}" for k, t in enumerate(RULES.values())) + ") x GROUP BY code, severity"),
@@ -85,14 +90,6 @@ SELECT r.run_id, r.correlation_key, r.start_sequence, r.n_requests, fin.sequence
     "retry_summary": (("te",), f"""WITH {CALLS}, a AS (SELECT run_id, correlation_key, count(*) AS attempts FROM req GROUP BY run_id, correlation_key),
 b AS (SELECT run_id, correlation_key, max(CASE WHEN type LIKE '%.completed' THEN 1 ELSE 0 END) AS completed, cast(sum(CASE WHEN type LIKE '%.failed' THEN 1 ELSE 0 END) AS bigint) AS failures FROM fin GROUP BY run_id, correlation_key)
 SELECT a.run_id, a.correlation_key, attempts, coalesce(failures, 0) AS failures, CASE WHEN coalesce(failures, 0) = 0 THEN 'none' WHEN completed = 1 THEN 'retry_merged' ELSE 'terminal_failure_merged' END AS merged FROM a LEFT JOIN b ON a.run_id = b.run_id AND a.correlation_key = b.correlation_key"""),
-    "nearest_call_ancestor": (("ct",), """WITH @recursive walk AS (
- SELECT run_id, event_id, parent_id AS at, 1 AS depth FROM ct WHERE type = 'model.requested' AND parent_id IS NOT NULL
- UNION ALL SELECT w.run_id, w.event_id, c.parent_id, w.depth + 1 FROM walk w JOIN ct c ON c.run_id = w.run_id AND c.event_id = w.at WHERE c.type <> 'model.completed' AND c.parent_id IS NOT NULL)
-SELECT w.run_id, w.event_id, w.at AS ancestor_id, w.depth FROM walk w JOIN ct c ON c.run_id = w.run_id AND c.event_id = w.at WHERE c.type = 'model.completed'"""),
-    "ancestor_closure": (("ct",), """WITH @recursive walk AS (
- SELECT run_id, event_id, parent_id AS ancestor_id, 1 AS depth FROM ct WHERE parent_id IS NOT NULL
- UNION ALL SELECT w.run_id, w.event_id, c.parent_id, w.depth + 1 FROM walk w JOIN ct c ON c.run_id = w.run_id AND c.event_id = w.ancestor_id WHERE c.parent_id IS NOT NULL)
-SELECT run_id, event_id, ancestor_id, depth FROM walk"""),
     "compile_nodes": (("te",), f"""WITH {CALLS}, t AS (SELECT run_id, kind, correlation_key, min(sequence) AS first_sequence, count(*) AS max_attempts FROM req GROUP BY run_id, kind, correlation_key),
 o AS (SELECT run_id, kind, correlation_key, max(CASE WHEN type LIKE '%.completed' THEN 1 ELSE 0 END) AS completed FROM fin GROUP BY run_id, kind, correlation_key)
 SELECT t.run_id, concat('node_', t.kind, '_', cast(row_number() OVER (PARTITION BY t.run_id ORDER BY first_sequence) AS @text)) AS node_id, t.correlation_key, max_attempts, CASE WHEN coalesce(completed, 0) = 1 THEN 'stop' ELSE 'continue' END AS on_failure
@@ -115,20 +112,18 @@ SELECT trace_id, CASE WHEN limited = 1 OR rooted = 0 THEN 'partial' ELSE 'unknow
     "artifact_digests": (("ar",), "SELECT doc_id, digest, byte_length FROM ar"),
     "artifact_dedup": (("ar",), "SELECT digest, count(*) AS refs, min(byte_length) AS byte_length FROM ar GROUP BY digest"),
     "artifact_metadata": (("ar",), "SELECT digest, count(DISTINCT media_type) AS n_media, CASE WHEN count(DISTINCT byte_length) = 1 THEN min(byte_length) END AS byte_length, min(media_type) AS first_media FROM ar GROUP BY digest"),
-    "artifact_join": (("ar",), """SELECT coalesce(r.digest, f.digest) AS digest, CASE WHEN f.digest IS NULL THEN 'MISSING_ARTIFACT' WHEN r.digest IS NULL THEN 'UNREFERENCED' WHEN r.byte_length <> f.byte_length THEN 'ARTIFACT_SIZE_MISMATCH' ELSE 'ok' END AS state
-FROM (SELECT DISTINCT digest, byte_length FROM ar WHERE doc_id % 3 <> 0) r FULL JOIN (SELECT digest, min(byte_length) + CASE WHEN min(doc_id) % 10 = 1 THEN 1 ELSE 0 END AS byte_length FROM ar WHERE doc_id % 5 <> 0 GROUP BY digest) f ON r.digest = f.digest"""),
+    "artifact_join": (("rf", "fl"), "SELECT coalesce(r.digest, f.digest) AS digest, CASE WHEN f.digest IS NULL THEN 'MISSING_ARTIFACT' WHEN r.digest IS NULL THEN 'UNREFERENCED' WHEN r.byte_length <> f.byte_length THEN 'ARTIFACT_SIZE_MISMATCH' ELSE 'ok' END AS state FROM rf r FULL JOIN fl f ON r.digest = f.digest"),
     "state_lww": (("te",), "SELECT run_id, type AS path, max_by(value, sequence) AS value, count(*) AS writes FROM te GROUP BY run_id, type"),
     "latest_valid_checkpoint": (("ck", "te"), "SELECT run_id, checkpoint_id, sequence FROM (SELECT ck.*, row_number() OVER (PARTITION BY ck.run_id ORDER BY ck.sequence DESC) AS k FROM ck JOIN te ON te.run_id = ck.run_id AND te.sequence = ck.sequence AND te.event_id = ck.last_event_id WHERE ck.hash_ok) x WHERE k = 1"),
-    "eligibility": (("mf",), "SELECT run_id, CASE WHEN schema_version = '0.1.0' THEN 'native' WHEN source IN ('native', 'otel-import') AND schema_version = '0.2.0' THEN source ELSE 'otel-import' END AS source, schema_version = '0.1.0' OR (schema_version = '0.2.0' AND source = 'native' AND completeness = 'complete') AS executable FROM mf"),
+    "eligibility": (("mf",), "SELECT run_id, CASE WHEN schema_version = '0.1.0' THEN 'native' WHEN source IN ('native', 'otel-import') AND schema_version = '0.2.0' THEN source ELSE 'otel-import' END AS source, schema_version = '0.1.0' OR (schema_version = '0.2.0' AND source = 'native' AND completeness = 'complete' AND coalesce(n_limitations, 0) = 0) AS executable FROM mf"),
     "migrated_manifest": (("mf",), "SELECT run_id, CASE WHEN schema_version IN ('0.0.0', '0.1.0') THEN '0.2.0' ELSE schema_version END AS schema_version, schema_version <> '0.2.0' AS migrated FROM mf"),
     "policy_decisions": (("te",), """SELECT run_id, event_id, CASE WHEN first_rule IN (2, 3) THEN 'allow' ELSE 'deny' END AS effect, first_rule
 FROM (SELECT run_id, event_id, CASE WHEN type = 'tool.requested' THEN 1 WHEN actor = 'actor_1' THEN 2 WHEN type = 'model.requested' THEN 3 END AS first_rule FROM te WHERE type LIKE '%.requested') x"""),
     "compatibility": (("mf",), "SELECT run_id, CASE schema_version WHEN '0.2.0' THEN 'executable' WHEN '0.1.0' THEN 'migratable' WHEN '0.0.0' THEN 'migratable' ELSE 'view_only' END AS status, schema_version IN ('0.1.0', '0.2.0') AS readable, schema_version = '0.2.0' AS can_execute FROM mf"),
-    "diff_outputs": (("te",), """SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.sequence, b.sequence) AS sequence, CASE WHEN a.run_id IS NULL THEN 'unexpected' WHEN b.run_id IS NULL THEN 'missing' ELSE 'changed' END AS kind
-FROM (SELECT run_id, sequence, value FROM te WHERE n % 19 <> 3) a FULL JOIN (SELECT run_id, sequence, CASE WHEN n % 23 = 4 THEN value + 1 ELSE value END AS value FROM te WHERE n % 29 <> 6) b ON a.run_id = b.run_id AND a.sequence = b.sequence
-WHERE a.run_id IS NULL OR b.run_id IS NULL OR a.value <> b.value"""),
-    "plan_comparison": (("te",), f"""WITH {CALLS}, a AS (SELECT run_id, type, correlation_key, row_number() OVER (PARTITION BY run_id ORDER BY sequence) AS k FROM req), b AS (SELECT run_id, type, CASE WHEN n % 31 = 2 THEN 'other' ELSE correlation_key END AS correlation_key, row_number() OVER (PARTITION BY run_id ORDER BY sequence) AS k FROM req WHERE n % 37 <> 1)
-SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.k, b.k) AS k, CASE WHEN b.run_id IS NULL THEN 'missing_call' WHEN a.run_id IS NULL THEN 'unexpected_call' ELSE 'different_call' END AS code FROM a FULL JOIN b ON a.run_id = b.run_id AND a.k = b.k WHERE a.run_id IS NULL OR b.run_id IS NULL OR a.type <> b.type OR a.correlation_key <> b.correlation_key"""),
+    "diff_outputs": (("oa", "ob"), """SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.sequence, b.sequence) AS sequence, CASE WHEN a.run_id IS NULL THEN 'unexpected' WHEN b.run_id IS NULL THEN 'missing' ELSE 'changed' END AS kind
+FROM oa a FULL JOIN ob b ON a.run_id = b.run_id AND a.sequence = b.sequence WHERE a.run_id IS NULL OR b.run_id IS NULL OR a.value <> b.value"""),
+    "plan_comparison": (("pa", "pb"), """SELECT coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.k, b.k) AS k, CASE WHEN b.run_id IS NULL THEN 'missing_call' WHEN a.run_id IS NULL THEN 'unexpected_call' ELSE 'different_call' END AS code
+FROM pa a FULL JOIN pb b ON a.run_id = b.run_id AND a.k = b.k WHERE a.run_id IS NULL OR b.run_id IS NULL OR a.type <> b.type OR a.correlation_key <> b.correlation_key"""),
     "unfinished_runs": (("mf", "te"), "SELECT mf.run_id, 'UNFINISHED_RUN' AS code FROM mf LEFT JOIN (SELECT run_id, count(*) AS n FROM te GROUP BY run_id) c ON c.run_id = mf.run_id WHERE mf.run_state <> 'finished' OR coalesce(c.n, 0) < mf.event_count"),
     "writer_rejects": (("tf",), "SELECT run_id, pos, sequence FROM (SELECT *, max(sequence) OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM tf) x WHERE sequence <= coalesce(top, 0)"),
 }
@@ -145,5 +140,14 @@ def query(name: str):
     return made
 
 
-QUERIES = {name: query(name) for name in PLANS}
-ORACLES = {name: adapters.duck(text, views) for name, (views, text) in PLANS.items()}
+def nearest_call_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ct = adapters.views(spark, sf_dir, ("ct",))["ct"]
+    owned = ct.where("type = 'model.completed'").selectExpr("run_id", "event_id", "event_id AS owner")
+    return ancestors.nearest_owned(ct, owned, ct.where("type = 'model.requested'")).withColumnRenamed("owner", "ancestor_id")
+
+
+def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ancestors.closure(adapters.views(spark, sf_dir, ("ct",))["ct"])
+
+
+QUERIES = {**{name: query(name) for name in PLANS}, "nearest_call_ancestor": nearest_call_ancestor, "ancestor_closure": ancestor_closure}

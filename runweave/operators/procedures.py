@@ -33,9 +33,25 @@ def _keys(path: str) -> list[str]:
     return keys
 
 
+def _clean(value) -> bool:
+    """Whether no object inside a value has a forbidden name."""
+    todo = [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            if any(k in FORBIDDEN for k in v):
+                return False
+            todo += v.values()
+        elif isinstance(v, list):
+            todo += v
+    return True
+
+
 def apply_change(state: dict, path: str, operation: str, value=None) -> None:
     """Changes state in place: set, merge (shallow), delete or append at a JSON pointer."""
     *up, last = _keys(path)
+    if not _clean(value):
+        raise StateError("STATE_VALUE_INVALID")
     at = state
     for k in up:
         if isinstance(at, list) and k.isdigit() and int(k) < len(at):
@@ -104,10 +120,15 @@ def state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names; a temporary one only where none is named, as in tests."""
+    """A reliable checkpoint in the folder that the cluster names; on one machine, where none is named, in a temporary one."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="shared-")
+        spark.sparkContext.setCheckpointDir(shared)
     return df.checkpoint()
 
 
@@ -156,34 +177,13 @@ def event_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cyclic_events_by_run(adapters.views(spark, sf_dir, ("tf",))["tf"])
 
 
-def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pre-order of the span forest; the greatest id of each cycle loses its parent."""
-    pdf = pdf.sort_values(["start_ns", "span_id"]).drop_duplicates("span_id")
-    parent = {s: p for s, p in zip(pdf.span_id, pdf.parent_span_id, strict=True)}
-    detached = set()
-    for s in parent:
-        seen, at = [], s
-        while at in parent and at not in seen:
-            seen.append(at)
-            at = parent[at]
-        if at in seen:
-            top = max(seen[seen.index(at) :])
-            parent[top] = None
-            detached.add(top)
-    children: dict = {}
-    for s in pdf.span_id:
-        p = parent[s]
-        children.setdefault(p if p in parent else None, []).append(s)
-    out, stack = [], [(s, 0) for s in reversed(children.get(None, []))]
-    while stack:
-        s, depth = stack.pop()
-        out.append((pdf.trace_id.iloc[0], s, len(out) + 2, depth, s in detached))
-        stack += [(c, depth + 1) for c in reversed(children.get(s, []))]
-    return pd.DataFrame(out, columns=["trace_id", "span_id", "sequence", "depth", "detached"])
-
-
 def span_forest(spans: DataFrame) -> DataFrame:
-    return spans.select("trace_id", "span_id", "parent_span_id", "start_ns").groupBy("trace_id").applyInPandas(_forest, "trace_id string, span_id string, sequence long, depth long, detached boolean")
+    """Pre-order of the span forest; of spans with one id the first counts, and the greatest id of each cycle loses its parent (otlp.forest)."""
+    from . import otlp
+
+    first = spans.groupBy("trace_id", "span_id").agg(F.min(F.struct("start_ns", "parent_span_id")).alias("x")).select("trace_id", "span_id", "x.start_ns", "x.parent_span_id")
+    known = first.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("span_id").alias("parent"))
+    return otlp.forest(first.join(known, ["trace_id", "parent_span_id"], "left")).drop("parent")
 
 
 def otlp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

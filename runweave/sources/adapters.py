@@ -15,6 +15,7 @@ DIALECT = {
     "@iso(ts)": ("date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")", "strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')"),
     "@sha256(text)": ("sha2(text, 256)", "sha256(text)"),
     "@bytes(text)": ("octet_length(text)", "octet_length(encode(text))"),
+    "@joined(event_id, pos)": ("array_join(transform(array_sort(collect_list(struct(pos, event_id))), x -> x.event_id), ', ')", "string_agg(event_id, ', ' ORDER BY pos)"),
     "@text": ("string", "varchar"),
     "@recursive": ("recursive", "recursive"),
 }
@@ -24,7 +25,8 @@ VIEWS = {
     # a linear trace for each user; event types by what the user did
     "te": """
 SELECT run_id, sequence - 1 AS pos, event_id, parent_id, sequence, type, ts_text AS timestamp,
-       (us - min(us) OVER (PARTITION BY run_id)) / 1000.0e0 AS offset_ms, actor, value, n
+       (us - min(us) OVER (PARTITION BY run_id)) / 1000.0e0 AS offset_ms, actor, value, n,
+       concat('key_', cast(n % 4 AS @text)) AS correlation_key, CASE WHEN value < 10 THEN concat('E', cast(n % 10 AS @text)) END AS error_code
 FROM (SELECT concat('run_', lpad(cast(user_id AS @text), 6, '0')) AS run_id,
        row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence,
        concat('evt_', lpad(cast(event_id AS @text), 9, '0')) AS event_id,
@@ -58,7 +60,7 @@ SELECT run_id, 'finished' AS run_state, count(*) + CASE WHEN min(n) % 7 = 1 THEN
        max(sequence) + CASE WHEN min(n) % 5 = 2 THEN 1 ELSE 0 END AS last_sequence,
        CASE WHEN min(n) % 3 = 0 THEN '0.1.0' WHEN min(n) % 3 = 1 THEN '0.2.0' ELSE '0.0.0' END AS schema_version,
        CASE WHEN min(n) % 4 = 0 THEN 'native' WHEN min(n) % 4 = 1 THEN 'otel-import' ELSE 'other' END AS source,
-       CASE WHEN min(n) % 2 = 0 THEN 'complete' ELSE 'partial' END AS completeness,
+       CASE WHEN min(n) % 2 = 0 THEN 'complete' ELSE 'partial' END AS completeness, CASE WHEN min(n) % 16 = 4 THEN 1 ELSE 0 END AS n_limitations,
        CASE WHEN min(n) % 11 = 3 THEN 'evt_gone' ELSE min(CASE WHEN parent_id IS NULL THEN event_id END) END AS root_event_id FROM te GROUP BY run_id""",
     "ck": """
 SELECT run_id, sequence, CASE WHEN n % 13 = 5 THEN 'evt_gone' ELSE event_id END AS last_event_id, value AS state, n % 17 <> 4 AS hash_ok,
@@ -67,9 +69,16 @@ SELECT run_id, sequence, CASE WHEN n % 13 = 5 THEN 'evt_gone' ELSE event_id END
 SELECT md5(concat('t|', run_id)) AS trace_id, substr(md5(concat('s|', CASE WHEN n % 71 = 8 AND parent_id IS NOT NULL THEN parent_id ELSE event_id END)), 1, 16) AS span_id,
        CASE WHEN n % 67 = 6 THEN 'ffffffffffffffff' WHEN n % 61 = 5 THEN substr(md5(concat('s|', event_id)), 1, 16) WHEN parent_id IS NULL THEN NULL ELSE substr(md5(concat('s|', parent_id)), 1, 16) END AS parent_span_id,
        type AS name, n * 1000000 + 5 AS start_ns, n * 1000000 + 9 AS end_ns, pos, n FROM te""",
+    # artifacts that are referred to and files that are there, with faults; outputs of a run and of its replay; calls planned and made
+    "rf": "SELECT DISTINCT digest, byte_length FROM ar WHERE doc_id % 3 <> 0",
+    "fl": "SELECT digest, min(byte_length) + CASE WHEN min(doc_id) % 10 = 1 THEN 1 ELSE 0 END AS byte_length FROM ar WHERE doc_id % 5 <> 0 GROUP BY digest",
+    "oa": "SELECT run_id, sequence, value FROM te WHERE n % 19 <> 3",
+    "ob": "SELECT run_id, sequence, CASE WHEN n % 23 = 4 THEN value + 1 ELSE value END AS value FROM te WHERE n % 29 <> 6",
+    "pa": "SELECT run_id, type, correlation_key, row_number() OVER (PARTITION BY run_id ORDER BY sequence) AS k FROM te WHERE type LIKE '%.requested'",
+    "pb": "SELECT run_id, type, CASE WHEN n % 31 = 2 THEN 'other' ELSE correlation_key END AS correlation_key, row_number() OVER (PARTITION BY run_id ORDER BY sequence) AS k FROM te WHERE type LIKE '%.requested' AND n % 37 <> 1",
     "ar": "SELECT doc_id, @sha256(text) AS digest, @bytes(text) AS byte_length, lang AS media_type FROM documents WHERE text IS NOT NULL",
 }
-NEEDS = {"tf": ("te",), "mf": ("te",), "ck": ("te",), "sp": ("te",)}
+NEEDS = {"tf": ("te",), "mf": ("te",), "ck": ("te",), "sp": ("te",), "rf": ("ar",), "fl": ("ar",), "oa": ("te",), "ob": ("te",), "pa": ("te",), "pb": ("te",)}
 
 
 def render(text: str, engine: int) -> str:

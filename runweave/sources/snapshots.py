@@ -22,10 +22,11 @@ EVENT = T.StructType(
         T.StructField("actor", T.StringType()),
     ]
 )
-MANIFEST = "schema_version string, run_id string, run_state string, terminal_status string, source string, completeness string, last_sequence long, event_count long, root_event_id string, created_at string, completed_at string"
+MANIFEST = "schema_version string, run_id string, run_state string, terminal_status string, source string, completeness string, last_sequence long, event_count long, root_event_id string, created_at string, completed_at string, limitations array<struct<code:string,message:string>>"
 
 
 def _files(spark: SparkSession, folder: str, pattern: str, binary: bool = False) -> DataFrame:
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # of repeated keys of an object, the last counts
     r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     if binary:
         return r.format("binaryFile").load(folder)
@@ -41,7 +42,7 @@ def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
     f = _files(spark, folder, "manifest.json*").withColumn("folder", _run_folder(F.col("path"), "manifest\\.json(?:\\.tmp)?"))
     ok = F.try_parse_json("value").isNotNull()
     best = f.groupBy("folder").agg(F.min_by("value", F.when(ok, F.when(F.col("path").endswith(".tmp"), 0).otherwise(1))).alias("value"), F.max(ok).alias("ok"))
-    return best.select("folder", F.when(F.col("ok"), F.from_json("value", MANIFEST)).alias("m"), F.when(~F.col("ok"), "MISSING_MANIFEST").alias("error")).select("folder", "m.*", "error")
+    return best.select("folder", F.when(F.col("ok"), F.from_json("value", MANIFEST)).alias("m"), F.when(~F.col("ok"), "MISSING_MANIFEST").alias("error")).select("folder", "m.*", "error", F.coalesce(F.array_size("m.limitations"), F.lit(0)).alias("n_limitations"))
 
 
 def read_lines(spark: SparkSession, folder: str, name: str = "events.jsonl") -> DataFrame:

@@ -31,7 +31,11 @@ def _streamed(spark: SparkSession, sf_dir: str, accepted: bool) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = source.selectExpr("user_id AS run_id", "cast(ts AS timestamp) AS ts", "event_id", "cast(round(value * 100) AS bigint) AS number")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="stream-")
     out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     q = accept(rows).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()

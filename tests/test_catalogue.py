@@ -6,7 +6,7 @@ import json
 import duckdb
 import pytest
 
-from runweave.operators import procedures
+from runweave.operators import ancestors, plans, procedures
 from runweave.plans import catalogue
 from runweave.sources import snapshots
 
@@ -44,6 +44,68 @@ def test_changes():
             procedures.apply_change(s, path, op, v)
 
 
+def test_forbidden_names_in_values():
+    for v in ({"__proto__": 1}, [{"a": {"constructor": 2}}]):
+        for op in ("set", "merge", "append"):
+            with pytest.raises(procedures.StateError, match="STATE_VALUE_INVALID"):
+                procedures.apply_change({"a": {}}, "/a", op, v)
+
+
+def trace(spark, rows):
+    """(event_id, type, parent_id) in order, as a run."""
+    made = [("r", k, e, p, k + 1, t, f"2024-01-01T00:00:{k:02d}Z", float(k), "ann" if k % 2 else "bob") for k, (e, t, p) in enumerate(rows)]
+    return spark.createDataFrame(made, "run_id string, pos long, event_id string, parent_id string, sequence long, type string, timestamp string, offset_ms double, actor string")
+
+
+def test_graph_of_a_run(spark):
+    te = trace(spark, [("a", "run.started", None), ("b", "model.requested", "a"), ("c", "model.delta", "b"), ("d", "model.token.delta", "c"), ("e", "log.written", "d"), ('f<"&>', "tool.failed", "e")])
+    nodes = {r.node_id: r for r in plans.run("graph_nodes", spark, te=te).collect()}
+    assert {k: (n.label, n.type, n.actor, n.status, n.n_events) for k, n in nodes.items()} == {
+        "a": ("run.started", "run.started", "bob", "started", 1),
+        "b": ("model.requested", "model.requested", "ann", "started", 1),
+        "group:c": ("model stream (2)", "multiple", "multiple", "unknown", 2),
+        "e": ("log.written", "log.written", "bob", "unknown", 1),
+        'f<"&>': ("tool.failed", "tool.failed", "ann", "failed", 1),
+    }
+    assert {r.line for r in plans.run("mermaid_lines", spark, te=te).collect()} == {
+        '  node_1["run.started [a]"]', '  node_2["model.requested [b]"]', '  node_3["model stream (2) [c, d]"]', '  node_4["log.written [e]"]', '  node_5["tool.failed [f&lt;&quot;&amp;&gt;]"]',
+        "  node_1 -->|causal| node_2", "  node_2 -->|causal| node_3", "  node_3 -->|causal| node_4", "  node_4 -->|causal| node_5",
+    }
+
+
+def test_first_occurrence_of_a_parent(spark):
+    rows = [("r", "p", None, 0, "z.first"), ("r", "p", None, 1, "a.second"), ("r", "c", "p", 2, "x")]
+    dt = spark.createDataFrame(rows, "run_id string, event_id string, parent_id string, pos long, type string")
+    assert [tuple(r) for r in plans.run("get_parents", spark, dt=dt).collect()] == [("r", "c", "p", "z.first")]
+
+
+def test_deep_runs(spark):
+    """A chain of 8,000 events: nearest owned ancestor and cycles; all ancestors of one of 300."""
+    chain = spark.range(8000).selectExpr("'r' AS run_id", "concat('e', id) AS event_id", "if(id > 0, concat('e', id - 1), NULL) AS parent_id")
+    owned = chain.where("event_id = 'e0'").selectExpr("run_id", "event_id", "'root' AS owner")
+    assert [tuple(r) for r in ancestors.nearest_owned(chain, owned, chain.where("event_id = 'e7999'")).collect()] == [("r", "e7999", "root")]
+    assert procedures.cyclic_events_by_run(chain).count() == 0
+    short = chain.where("cast(substr(event_id, 2) AS int) < 300")
+    got = ancestors.closure(short)
+    assert got.count() == 300 * 299 // 2 and got.where("event_id = 'e299' AND ancestor_id = 'e0'").first().depth == 299
+    loop = spark.createDataFrame([("r", "a", "b"), ("r", "b", "a"), ("r", "c", "a"), ("r", "c", "b")], "run_id string, event_id string, parent_id string")
+    assert {(r.event_id, r.ancestor_id, r.depth) for r in ancestors.closure(loop).collect()} == {("a", "b", 1), ("b", "a", 1), ("a", "a", 2), ("b", "b", 2), ("c", "a", 1), ("c", "b", 1)}
+
+
+def test_manifest_counts_and_eligibility(spark):
+    te = trace(spark, [("a", "run.started", None), ("b", "x", "a")])
+    mf = spark.createDataFrame([("r", 2, 2, "0.2.0", "native", "complete", 0), ("s", 1, 0, "0.2.0", "native", "complete", 1), ("t", 0, 0, "0.1.0", "x", "partial", 0)], "run_id string, event_count long, last_sequence long, schema_version string, source string, completeness string, n_limitations int")
+    assert [tuple(r)[:2] for r in plans.run("val_manifest_counts", spark, mf=mf, te=te).collect()] == [("s", "EVENT_COUNT_MISMATCH")]
+    assert {r.run_id: r.executable for r in plans.run("eligibility", spark, mf=mf).collect()} == {"r": True, "s": False, "t": True}
+
+
+def test_repeated_keys_of_an_object(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "events.jsonl").write_text('{"run_id": "r", "event_id": "old", "event_id": "new", "sequence": 1, "type": "x", "payload": {"k": 1, "k": 2}}\n')
+    got = snapshots.read_events(spark, str(tmp_path)).selectExpr("event_id", "to_json(payload) AS payload").collect()
+    assert [tuple(r) for r in got] == [("new", '{"k":2}')] and snapshots.line_diagnostics(spark, str(tmp_path)).count() == 0
+
+
 def test_cycles(spark):
     rows = [("r", "a", None), ("r", "b", "a"), ("r", "c", "e"), ("r", "d", "c"), ("r", "e", "d"), ("r", "f", "e"), ("r", "g", "gone"), ("s", "x", "x")]
     e = spark.createDataFrame(rows, "run_id string, event_id string, parent_id string")
