@@ -232,3 +232,14 @@ def deduplicated(docs: DataFrame, exact: bool = False) -> DataFrame:
     groups = similar_groups(d.select(F.col("__row").alias("doc_id"), "text"), exact=exact)
     first = checkpoint(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct())
     return d.join(first, F.col("__row") == F.col("__keep"), "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+
+
+#: All pairs that share a shingle, compared as words; for small tables.
+ORACLE = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce((SELECT min(y) FROM r WHERE r.x = d.doc_id), d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id"""

@@ -131,3 +131,21 @@ def quality(docs: DataFrame, host: str = "source") -> DataFrame:
     rates = [f"rate_{k}" for k in rules()]
     v = host_verdicts(counts).select(F.col("host").alias("of"), *rates, "host_kept")
     return d.join(v, d["host"].eqNullSafe(F.col("of")), "left").drop("of").withColumn("kept", ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True)))
+
+
+_RULES_SQL = {"short": "n_words < 20", "repeats": "100 * n_repeat_words > 30 * n_words", "symbols": "100 * n_symbols > 20 * word_chars"}
+_RATES = ", ".join(f"({k} + (SELECT m * s FROM p_{k})) / (n + (SELECT s FROM p_{k})) AS rate_{k}" for k in _RULES_SQL)
+_BAD = " OR ".join(f"rate_{k} - 2 * sqrt(rate_{k} * (1 - rate_{k}) / (n + (SELECT s FROM p_{k}) + 1)) > greatest(0.25, 3 * (SELECT m FROM p_{k}))" for k in _RULES_SQL)
+_PRIORS = ", ".join(f"p_{k} AS (SELECT m, greatest(10, CASE WHEN v > 0 THEN least(n, m * (1 - m) / v - 1) ELSE n END) AS s FROM (SELECT n, m, q / n - m * m - h * m * (1 - m) / n AS v FROM (SELECT count(*) AS h, sum(n)::DOUBLE AS n, sum({k}) / sum(n) AS m, sum({k} * {k} / n) AS q FROM hosts)))" for k in _RULES_SQL)
+ORACLE = rf"""WITH m AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM m WHERE len(ws) >= 8)),
+twice AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, range(8) x(j) GROUP BY doc_id),
+dup AS (SELECT doc_id, sum(c - 1) AS n FROM (SELECT doc_id, line, count(*) AS c FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM m) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line) GROUP BY doc_id),
+d AS (SELECT m.doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM m LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id)),
+hosts AS (SELECT source, count(*) AS n, {", ".join(f"count(*) FILTER (WHERE {c}) AS {k}" for k, c in _RULES_SQL.items())} FROM d GROUP BY source),
+{_PRIORS},
+rated AS (SELECT source, n, {_RATES} FROM hosts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+ NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT ({_BAD}) AS kept, {", ".join(f"round(rate_{k}, 9) AS rate_{k}" for k in _RULES_SQL)} FROM d JOIN rated ON rated.source IS NOT DISTINCT FROM d.source"""

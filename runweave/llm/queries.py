@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from . import embeddings, html, jaccard, lm, mixing, packing, pii, quality, toxicity, warc
 from .common import table
 
@@ -36,7 +38,7 @@ def op7_pii(spark, sf_dir):
 
 def op8_quality_rules(spark, sf_dir):
     d = quality.quality(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", *quality.NAMES, "base_failed", "kept", *(f"rate_{k}" for k in quality.rules()))
+    return d.select("doc_id", *quality.NAMES, "base_failed", "kept", *(F.round(f"rate_{k}", 9).alias(f"rate_{k}") for k in quality.rules()))
 
 
 def op9_mixing(spark, sf_dir):
@@ -48,4 +50,4 @@ def op10_warc(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_lm_scoring, op3_toxicity, op4_html_extraction, op5_embedding_near_dedup, op6_ngram_jaccard_join, op7_pii, op8_quality_rules, op9_mixing, op10_warc)}
-ORACLES = {"op9_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE}
+ORACLES = {"op6_ngram_jaccard_join": jaccard.ORACLE, "op8_quality_rules": quality.ORACLE, "op9_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE}

@@ -719,6 +719,19 @@ def test_warc_of_others(spark, tmp_path):
     assert warc.read(spark, str(tmp_path)).count() == 8
 
 
+@pytest.mark.parametrize("name", ["op6_ngram_jaccard_join", "op8_quality_rules"])
+def test_against_sql(spark, name):
+    import duckdb
+
+    from runweave.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    cur = con.execute(ORACLES[name])
+    want = sorted(map(str, cur.fetchall()))
+    assert sorted(str(tuple(r)) for r in QUERIES[name](spark, SF).select(*[d[0] for d in cur.description]).collect()) == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
