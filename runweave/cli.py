@@ -9,9 +9,19 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .corpus import KINDS, Corpus
-from .operators import otlp, plans, recovery
+from .operators import otlp, recovery
 from .sources import queue, snapshots
 
+#: States of nodes.
+STATUSES = ("started", "completed", "failed", "changed", "recorded", "checkpointed", "verified", "unknown")
+
+
+def sequence(text: str) -> int:
+    """A whole number of 0 or more."""
+    if not text.isascii() or not text.isdigit():
+        raise argparse.ArgumentTypeError("must be a whole number of 0 or more")
+    return int(text)
+
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("runweave")
@@ -22,6 +32,16 @@ def parser() -> argparse.ArgumentParser:
         if name == "graph":
             c.add_argument("--kind", choices=sorted(KINDS), default="causal-dag")
             c.add_argument("--format", choices=("json", "mermaid"), default="json")
+            for option in ("--actor", "--type"):
+                c.add_argument(option)
+            c.add_argument("--status", choices=STATUSES)
+            c.add_argument("--min-sequence", type=sequence)
+            c.add_argument("--max-sequence", type=sequence)
+            c.add_argument("--no-fold-noise", dest="fold", action="store_false")
+        if name == "validate":
+            c.add_argument("--schemas", action="store_true", help="hold documents against their JSON schemas")
+            c.add_argument("--contents", action="store_true", help="read artifacts and compare their digests")
+        c.add_argument("--json", action="store_true", help="rows are JSON lines in any case; graphs too, instead of Mermaid")
         if name == "replay":
             c.add_argument("--mode", choices=("mock",), default="mock")
         if name == "export-otel":
@@ -55,6 +75,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         a = parser().parse_args(argv)
     except SystemExit as e:
         return 2 if e.code else 0
+    if a.command == "graph" and a.min_sequence is not None and a.max_sequence is not None and a.min_sequence > a.max_sequence:
+        print("--min-sequence can't be greater than --max-sequence", file=sys.stderr)
+        return 2
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "import-otel":
         spans, found = otlp.import_files(spark, a.files)
@@ -63,18 +86,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         return int(show(found, out) > 0)
     c = Corpus(spark, a.folder)
     if a.command == "validate":
-        d = c.validate()
+        d = c.validate(a.schemas, a.contents)
         show(d, out)
         return int(bool(d.where("severity = 'error'").head(1)))
     if a.command == "inspect":
         show(c.inspect(), out)
-    elif a.command == "graph" and a.format == "mermaid":
+    elif a.command == "graph":
+        only = {"actor": a.actor, "type": a.type, "status": a.status, "min_sequence": a.min_sequence, "max_sequence": a.max_sequence}
+        if a.format == "json" or a.json:
+            for d in c.graph(a.kind, fold=a.fold, **only):
+                show(d, out)
+            return 0
         print("flowchart TD", file=out)
-        for r in plans.run("mermaid_lines", spark, te=c.flat()).orderBy("run_id", "line").toLocalIterator():
+        for r in c.mermaid(a.kind, fold=a.fold, **only).orderBy("run_id", "part", "a", "b").toLocalIterator():
             print(r.line, file=out)
-    elif a.command == "graph":
-        for d in c.graph(a.kind):
-            show(d, out)
     elif a.command == "replay":
         done, bad = c.replay()
         show(done, out)

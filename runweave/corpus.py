@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .operators import ancestors, export, live, plans, recovery, replay, workflow
-from .sources import snapshots
+from .operators import ancestors, export, live, plans, procedures, recovery, replay, schema, workflow
+from .sources import paths, snapshots
 
 KINDS = {"causal-dag": "dag_edges", "call-tree": "tree_edges", "timeline": "timeline_edges"}
+#: Fixed value: largest files of events and artifacts that are read.
+MAX_BYTES = 64 * 1024 * 1024
 
 
 @dataclass
@@ -50,12 +52,49 @@ class Corpus:
     def inspect(self) -> DataFrame:
         return plans.run("inspect_summary", self.spark, te=self.single())
 
-    def graph(self, kind: str = "causal-dag") -> tuple[DataFrame, DataFrame]:
-        """(nodes, edges)."""
-        return plans.run("graph_nodes", self.spark, te=self.single()), plans.run(KINDS[kind], self.spark, te=self.flat() if kind != "timeline" else self.single())
-
-    def validate(self) -> DataFrame:
-        """folder or run, code, severity, at (line or position)."""
+    def graph(self, kind: str = "causal-dag", actor: str | None = None, type: str | None = None, status: str | None = None, min_sequence: int | None = None, max_sequence: int | None = None, fold: bool = True) -> tuple[DataFrame, DataFrame]:
+        """(nodes, edges). The filters choose nodes: by their one actor (`multiple` where there are several), a type among their events, their status, and ranges that overlap the bounds; edges stand between nodes that stay. Without fold, each event is a node."""
+        te = self.flat() if kind != "timeline" else self.single()
+        nodes = plans.run("graph_nodes", self.spark, fold=fold, te=self.single())
+        if (actor, type, status, min_sequence, max_sequence) == (None,) * 5:
+            return nodes, plans.run(KINDS[kind], self.spark, fold=fold, te=te)
+        keep = [None if actor is None else F.col("actor") == actor, None if status is None else F.col("status") == status, None if min_sequence is None else F.col("last_sequence") >= min_sequence, None if max_sequence is None else F.col("first_sequence") <= max_sequence]
+        for c in keep:
+            nodes = nodes if c is None else nodes.where(c)
+        if type is not None:
+            has = plans.run("node_members", self.spark, fold=fold, te=self.single()).where(F.col("type") == type)
+            nodes = nodes.join(has.select("run_id", "node_id"), ["run_id", "node_id"], "left_semi")
+        if kind == "timeline":
+            order = W.partitionBy("run_id").orderBy("first_timestamp", "first_sequence", "node_id")
+            return nodes, nodes.select("run_id", F.col("node_id").alias("from_id"), F.lead("node_id").over(order).alias("to_id")).where("to_id IS NOT NULL")
+        edges = plans.run("dag_edges", self.spark, fold=fold, te=te)
+        edges = edges.join(nodes.select("run_id", F.col("node_id").alias("to_id")), ["run_id", "to_id"], "left_semi")
+        edges = edges.join(nodes.select("run_id", F.col("node_id").alias("from_id"), "first_timestamp", "first_sequence"), ["run_id", "from_id"])
+        if kind == "call-tree":
+            edges = edges.groupBy("run_id", "to_id").agg(F.min_by("from_id", F.struct("first_timestamp", "first_sequence", "from_id")).alias("from_id"))
+        return nodes, edges.select("run_id", "from_id", "to_id")
+
+    def mermaid(self, kind: str = "causal-dag", **only) -> DataFrame:
+        """run_id, part (1: nodes, 2: edges), a, b (numbers of nodes, in order of their first events), line of the graph's flow chart."""
+        nodes, edges = self.graph(kind, **only)
+        own = plans.run("node_members", self.spark, fold=only.get("fold", True), te=self.single())
+        ids = own.groupBy("run_id", "node_id").agg(F.min("pos").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "event_id"))), lambda x: x.event_id), ", ").alias("ids"))
+        n = nodes.join(ids, ["run_id", "node_id"]).withColumn("i", F.row_number().over(W.partitionBy("run_id").orderBy("first")))
+        label = F.concat("label", F.lit(" ["), "ids", F.lit("]"))
+        for raw, mark in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;"), ("\r", " "), ("\n", " ")):
+            label = F.replace(label, F.lit(raw), F.lit(mark))
+        first = n.select("run_id", F.lit(1).alias("part"), F.col("i").alias("a"), F.lit(0).alias("b"), F.format_string('  node_%d["%s"]', "i", label).alias("line"))
+        number = lambda c, to: n.select("run_id", F.col("node_id").alias(c), F.col("i").alias(to))
+        e = edges.join(number("from_id", "a"), ["run_id", "from_id"]).join(number("to_id", "b"), ["run_id", "to_id"])
+        word = "timeline" if kind == "timeline" else "causal"
+        return first.unionByName(e.select("run_id", F.lit(2).alias("part"), "a", "b", F.format_string(f"  node_%d -->|{word}| node_%d", "a", "b").alias("line")))
+
+    def validate(self, schemas: bool = False, contents: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
+        """run (folder or run id), code, severity, at (line or position), path (pointer or file) of every rule that a snapshot breaks.
+
+        schemas: documents are held against their JSON schemas too (ids must then have the format's own shape); contents: artifacts are read and
+        their digests compared.
+        """
         lines = snapshots.line_diagnostics(self.spark, self.folder).select(F.col("folder").alias("run"), "code", F.lit("error").alias("severity"), F.col("line").cast("long").alias("at"))
         missing = self.manifests.where("error IS NOT NULL").select(F.col("folder").alias("run"), F.col("error").alias("code"), F.lit("error").alias("severity"), F.lit(None).cast("long").alias("at"))
         out = lines.unionByName(missing)
@@ -65,8 +104,76 @@ class Corpus:
         for name in ("val_parent_missing", "val_parent_not_earlier", "val_unknown_types", "val_manifest_counts", "val_orphan_roots", "val_completeness"):
             needs = plans.PLANS[name][0]
             out = out.unionByName(plans.run(name, self.spark, **{k: frames[k] for k in needs}).selectExpr("run_id AS run", "code", "severity", "cast(pos AS bigint) AS at"))
+        out = out.unionByName(self._cycles()).withColumn("path", F.lit(None).cast("string"))
+        for rows in (self._mismatches(), self._file_faults(max_bytes), self._artifact_faults(contents, max_bytes)):
+            out = out.unionByName(rows)
+        if schemas:
+            out = out.unionByName(schema.diagnostics(self.documents()).select(F.col("folder").alias("run"), "code", F.lit("error").alias("severity"), "at", "path"))
         return out.distinct()
 
+    def documents(self) -> DataFrame:
+        return snapshots.read_documents(self.spark, self.folder)
+
+    def _cycles(self) -> DataFrame:
+        """EVENT_CYCLE for each event on a cycle or after one. Only runs in which a parent doesn't stand before its child are looked into: in all others, positions rise along every edge."""
+        e = self.flat()
+        last = e.groupBy("run_id", F.col("event_id").alias("parent_id")).agg(F.max("pos").alias("last"))
+        risen = e.join(last, ["run_id", "parent_id"]).where("last >= pos").select("run_id").distinct()
+        where = e.groupBy("run_id", "event_id").agg(F.min("pos").cast("long").alias("at"))
+        held = procedures.cyclic_events_by_run(e.join(risen, "run_id", "left_semi"))
+        return held.join(where, ["run_id", "event_id"]).select(F.col("run_id").alias("run"), F.lit("EVENT_CYCLE").alias("code"), F.lit("error").alias("severity"), "at")
+
+    def _mismatches(self) -> DataFrame:
+        """Ids and versions of events and checkpoints that differ from their manifest's, and checkpoints of unknown events."""
+        get = lambda k: F.expr(f"try_variant_get(try_parse_json(raw), '$.{k}', 'string')").alias(k)
+        record = F.ltrim("raw").startswith("{")
+        d = self.documents().where(record & (F.col("part") != "manifest")).select("folder", "part", "prefix", "at", get("run_id"), get("schema_version"), get("last_event_id"))
+        m = self.manifests.where("error IS NULL").select("folder", F.col("run_id").alias("own_run"), F.col("schema_version").alias("own_version"), F.lit(True).alias("managed"))
+        d = d.join(m, "folder", "left")
+        saved = F.col("part") == "checkpoints"
+        other_run = F.col("managed") & ~F.col("run_id").eqNullSafe(F.col("own_run")) & (~saved | F.col("run_id").isNotNull())
+        other_version = F.when(saved, F.col("managed") & F.col("schema_version").isNotNull()).otherwise(F.col("own_version").isNotNull()) & ~F.col("schema_version").eqNullSafe(F.col("own_version"))
+        known = self.events.select("folder", F.col("event_id").alias("last_event_id")).distinct().withColumn("known", F.lit(True))
+        d = d.join(known, ["folder", "last_event_id"], "left")
+        lost = saved & F.col("last_event_id").isNotNull() & F.col("known").isNull()
+        codes = F.array(
+            F.when(other_run, F.struct(F.when(saved, "CHECKPOINT_RUN_ID_MISMATCH").otherwise("RUN_ID_MISMATCH").alias("code"), F.lit("/run_id").alias("field"))),
+            F.when(other_version, F.struct(F.lit("SCHEMA_VERSION_MISMATCH").alias("code"), F.lit("/schema_version").alias("field"))),
+            F.when(lost, F.struct(F.lit("MISSING_CHECKPOINT_EVENT").alias("code"), F.lit("/last_event_id").alias("field"))),
+        )
+        found = d.select("folder", "prefix", "at", F.explode(F.array_compact(codes)).alias("x"))
+        return found.select(F.col("folder").alias("run"), "x.code", F.lit("error").alias("severity"), "at", F.concat("prefix", "x.field").alias("path"))
+
+    def _file_faults(self, max_bytes: int) -> DataFrame:
+        """Files that are absent, too large, or (in folders of a file system) must not be read."""
+        f = self.manifests.select("folder", F.lit(True).alias("managed")).join(snapshots.event_files(self.spark, self.folder), "folder", "full")
+        codes = F.array(F.when(F.col("byte_length").isNull(), "MISSING_EVENTS_FILE"), F.when(F.col("managed").isNull(), "MISSING_MANIFEST"), F.when(F.col("byte_length") > max_bytes, "EVENT_FILE_TOO_LARGE"))
+        named = f.select("folder", F.explode(F.array_compact(codes)).alias("code"), F.lit(None).cast("string").alias("path"))
+        local = f.where(F.col("folder").startswith("file:")).select("folder").repartition("folder")
+        barred = local.select("folder", F.explode(paths.barred("folder")).alias("x")).select("folder", "x.code", "x.path")
+        return named.unionByName(barred).select(F.col("folder").alias("run"), "code", F.lit("error").alias("severity"), F.lit(None).cast("long").alias("at"), "path")
+
+    def artifacts(self, verify: bool = False, max_bytes: int = MAX_BYTES) -> DataFrame:
+        """folder, digest, exists, byte_length (declared; null unless all references agree), actual_byte_length, media_types, previews, n_references, and valid with verify."""
+        refs = schema.references(self.documents()).groupBy("folder", "digest").agg(
+            F.when(F.countDistinct("byte_length") == 1, F.first("byte_length")).alias("byte_length"), F.sort_array(F.collect_set("media_type")).alias("media_types"), F.sort_array(F.collect_set("preview")).alias("previews"), F.count("*").alias("n_references")
+        )
+        files = snapshots.read_artifacts(self.spark, self.folder, verify, max_bytes).withColumnRenamed("byte_length", "actual_byte_length").drop("path")
+        both = refs.join(files, ["folder", "digest"], "full")
+        none = F.array().cast("array<string>")
+        return both.select("folder", "digest", F.col("actual_byte_length").isNotNull().alias("exists"), "byte_length", "actual_byte_length", F.coalesce("media_types", none).alias("media_types"), F.coalesce("previews", none).alias("previews"), F.coalesce("n_references", F.lit(0)).alias("n_references"), *(["valid"] if verify else []))
+
+    def _artifact_faults(self, contents: bool, max_bytes: int) -> DataFrame:
+        refs = schema.references(self.documents())
+        files = snapshots.read_artifacts(self.spark, self.folder, contents, max_bytes).withColumnRenamed("byte_length", "actual")
+        met = refs.join(files.select("folder", "digest", "actual"), ["folder", "digest"], "left")
+        code = F.when(F.col("actual").isNull(), "MISSING_ARTIFACT").when(F.col("actual") != F.col("byte_length"), "ARTIFACT_SIZE_MISMATCH")
+        out = met.select(F.col("folder").alias("run"), code.alias("code"), F.lit("error").alias("severity"), "at", "path")
+        own = F.when(F.col("actual") > max_bytes, "ARTIFACT_TOO_LARGE")
+        own = own.when(~F.col("valid"), "ARTIFACT_DIGEST_MISMATCH") if contents else own
+        out = out.unionByName(files.select(F.col("folder").alias("run"), own.alias("code"), F.lit("error").alias("severity"), F.lit(None).cast("long").alias("at"), F.concat(F.lit("/artifacts/"), "digest").alias("path")))
+        return out.where("code IS NOT NULL")
+
     def state(self) -> DataFrame:
         """run_id, base_sequence, state_json, state_hash, error."""
         get = lambda k: F.expr(f"try_variant_get(payload, '$.{k}', 'string')")

@@ -69,6 +69,7 @@ WITH r AS (SELECT te.run_id, te.event_id, te.pos, te.parent_id, CASE WHEN te.eve
 m AS (SELECT *, max(declared) OVER (PARTITION BY run_id) AS has FROM r) SELECT run_id, event_id FROM m WHERE (has = 1 AND declared = 1) OR (has = 0 AND parent_id IS NULL)"""),
     "fold_groups": (("te",), f"WITH {GROUPS} SELECT run_id, node_id, n_events, first_sequence, last_sequence, label FROM nodes"),
     "graph_nodes": (("te",), f"WITH {GROUPS} SELECT run_id, node_id, n_events, first_sequence, last_sequence, first_timestamp, last_timestamp, actor, type, status, label FROM nodes"),
+    "node_members": (("te",), f"WITH {GROUPS} SELECT DISTINCT nodes.run_id, nodes.node_id, f.event_id, f.pos, f.type, f.actor FROM f JOIN nodes ON nodes.run_id = f.run_id AND nodes.grp = f.grp"),
     "graph_filtered_nodes": (("te",), f"WITH {GROUPS} SELECT run_id, node_id, status FROM nodes WHERE status IN ('failed', 'started') AND last_sequence >= 3 AND first_sequence <= 20 AND actor IN ('actor_1', 'actor_2', 'multiple')"),
     "dag_edges": (("te",), f"WITH {GROUPS} SELECT DISTINCT run_id, from_id, to_id FROM edges"),
     "graph_filtered_edges": (("te",), f"WITH {GROUPS}, v AS (SELECT run_id, node_id FROM nodes WHERE status <> 'started') SELECT DISTINCT edges.run_id, from_id, to_id FROM edges JOIN v a ON a.run_id = edges.run_id AND a.node_id = from_id JOIN v b ON b.run_id = edges.run_id AND b.node_id = to_id"),
@@ -129,8 +130,10 @@ FROM pa a FULL JOIN pb b ON a.run_id = b.run_id AND a.k = b.k WHERE a.run_id IS
 }
 
 
-def run(name: str, spark: SparkSession, **frames: DataFrame) -> DataFrame:
-    return adapters.sql(spark, adapters.render(PLANS[name][1], 0), **frames)
+def run(name: str, spark: SparkSession, fold: bool = True, **frames: DataFrame) -> DataFrame:
+    """fold=False: in plans of the projection, each event is a node of its own."""
+    text = PLANS[name][1] if fold else PLANS[name][1].replace(FOLD_KIND, "cast(NULL AS @text)")
+    return adapters.sql(spark, adapters.render(text, 0), **frames)
 
 
 def query(name: str):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..sources import adapters
-from . import plans
+from . import plans, schema
 from .ancestors import dependencies
 
 MISSING = object()
@@ -177,28 +177,8 @@ def readiness(node: dict, results: dict) -> str:
     return "ready"
 
 
-def schema_accepts(schema: dict | bool | None, value) -> bool:
-    """The subset of JSON Schema that workflows use: type, enum, const, required, properties, items, bounds."""
-    if schema is None or isinstance(schema, bool):
-        return schema is not False
-    kinds = {"null": lambda v: v is None, "boolean": lambda v: isinstance(v, bool), "integer": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and float(v).is_integer(), "number": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool), "string": lambda v: isinstance(v, str), "array": lambda v: isinstance(v, list), "object": lambda v: isinstance(v, dict)}
-    types = schema.get("type", [])
-    types = [types] if isinstance(types, str) else types
-    if types and not any(kinds[t](value) for t in types):
-        return False
-    if "enum" in schema and not any(same(value, e) for e in schema["enum"]) or "const" in schema and not same(value, schema["const"]):
-        return False
-    if kinds["number"](value) and not (schema.get("minimum", value) <= value <= schema.get("maximum", value)):
-        return False
-    if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
-        return False
-    if isinstance(value, list):
-        return all(schema_accepts(schema.get("items"), v) for v in value)
-    if isinstance(value, dict):
-        own = schema.get("properties", {})
-        closed = schema.get("additionalProperties") is False
-        return set(schema.get("required", ())) <= set(value) and all(schema_accepts(own[k], v) if k in own else not closed for k, v in value.items())
-    return True
+#: schema_accepts(schema, value): whether a value meets a JSON schema; no schema accepts all.
+schema_accepts = schema.accepts
 
 
 class Semantic:

@@ -53,6 +53,7 @@ TEXTS: dict[str, tuple[tuple[str, ...], str]] = {
     "root_events": (("te", "mf"), """SELECT run_id, event_id FROM te WHERE event_id = (SELECT root_event_id FROM mf WHERE mf.run_id = te.run_id)
  OR parent_id IS NULL AND NOT EXISTS (SELECT 1 FROM te t JOIN mf ON mf.run_id = t.run_id AND mf.root_event_id = t.event_id WHERE t.run_id = te.run_id)"""),
     "fold_groups": (("te",), f"WITH {NODES} SELECT run_id, node_id, n_events, first_sequence, last_sequence, label FROM nn"),
+    "node_members": (("te",), f"WITH {NODES} SELECT mm.run_id, mm.node_id, mm.event_id, te.pos, te.type, te.actor FROM mm JOIN te USING (run_id, event_id)"),
     "graph_nodes": (("te",), f"WITH {NODES} SELECT run_id, node_id, n_events, first_sequence, last_sequence, first_timestamp, last_timestamp, actor, type, status, label FROM nn"),
     "graph_filtered_nodes": (("te",), f"WITH {NODES} SELECT run_id, node_id, status FROM nn WHERE list_contains(['failed', 'started'], status) AND NOT (last_sequence < 3 OR first_sequence > 20) AND list_contains(['actor_1', 'actor_2', 'multiple'], actor)"),
     "dag_edges": (("te",), f"WITH {NODES} SELECT run_id, from_id, to_id FROM ee WHERE from_id <> to_id GROUP BY ALL"),

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import stat
 from pathlib import Path
+from urllib.parse import unquote
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 #: The code of each untrusted part.
 CODES = {"manifest.json": "UNTRUSTED_MANIFEST_FILE", "manifest.json.tmp": "UNTRUSTED_MANIFEST_FILE", "events.jsonl": "UNTRUSTED_EVENTS_FILE", "checkpoints": "UNTRUSTED_CHECKPOINT_DIRECTORY", "artifacts": "UNTRUSTED_ARTIFACT_DIRECTORY"}
@@ -53,3 +59,13 @@ def faults(folder: str | Path) -> list[tuple[str, str]]:
             for entry in sorted(os.listdir(top / name)):
                 check(f"{name}/{entry}", one)
     return out
+
+
+def barred(folder: str) -> Column:
+    """array<struct<code, path>> of the faults of the folders (file: addresses) in a column. Looked up in tasks, so the file system must be one that executors share."""
+
+    def each(folders: pd.Series) -> pd.Series:
+        local = (unquote(re.sub("^file:/+", "/", f)) for f in folders)
+        return pd.Series([[{"code": c, "path": p} for c, p in (faults(f) if os.path.isdir(f) else [])] for f in local], dtype=object)
+
+    return F.pandas_udf(each, "array<struct<code string, path string>>")(folder)

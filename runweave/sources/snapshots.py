@@ -6,6 +6,7 @@ import uuid
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,14 +38,38 @@ def _run_folder(path: F.Column, below: str) -> F.Column:
     return F.regexp_extract(path, f"^(.*)/{below}$", 1)
 
 
-def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a run folder: of manifest.json.tmp and manifest.json the first that parses; error MISSING_MANIFEST where neither does."""
+def _raw_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """folder, value, ok: of manifest.json.tmp and manifest.json the first that parses."""
     f = _files(spark, folder, "manifest.json*").withColumn("folder", _run_folder(F.col("path"), "manifest\\.json(?:\\.tmp)?"))
     ok = F.try_parse_json("value").isNotNull()
-    best = f.groupBy("folder").agg(F.min_by("value", F.when(ok, F.when(F.col("path").endswith(".tmp"), 0).otherwise(1))).alias("value"), F.max(ok).alias("ok"))
+    return f.groupBy("folder").agg(F.min_by("value", F.when(ok, F.when(F.col("path").endswith(".tmp"), 0).otherwise(1))).alias("value"), F.max(ok).alias("ok"))
+
+
+def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
+    """One row a run folder: of manifest.json.tmp and manifest.json the first that parses; error MISSING_MANIFEST where neither does."""
+    best = _raw_manifests(spark, folder)
     return best.select("folder", F.when(F.col("ok"), F.from_json("value", MANIFEST)).alias("m"), F.when(~F.col("ok"), "MISSING_MANIFEST").alias("error")).select("folder", "m.*", "error", F.coalesce(F.array_size("m.limitations"), F.lit(0)).alias("n_limitations"))
 
 
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """folder, part (manifest, events, checkpoints), prefix (pointer of the document in its snapshot), at (position among its like), raw: every document that parses."""
+    manifests = _raw_manifests(spark, folder).where("ok").selectExpr("folder", "'manifest' AS part", "'/manifest' AS prefix", "0L AS at", "value AS raw")
+    lines = read_lines(spark, folder).where(F.try_parse_json("raw").isNotNull()).select("folder", F.col("line").cast("long").alias("order"), "raw")
+    saved = _checkpoint_files(spark, folder).where(F.try_parse_json("value").isNotNull()).select(_run_folder(F.col("path"), "checkpoints/[^/]+").alias("folder"), F.col("path").alias("order"), F.col("value").alias("raw"))
+    out = manifests
+    for part, rows in (("events", lines), ("checkpoints", saved)):
+        at = (F.row_number().over(W.partitionBy("folder").orderBy("order")) - 1).cast("long")
+        rows = rows.select("folder", F.lit(part).alias("part"), at.alias("at"), "raw")
+        out = out.unionByName(rows.withColumn("prefix", F.concat(F.lit(f"/{part}/"), F.col("at").cast("string"))))
+    return out
+
+
+def event_files(spark: SparkSession, folder: str) -> DataFrame:
+    """folder, byte_length of each file of events; contents aren't read."""
+    f = _files(spark, folder, "events.jsonl", binary=True)
+    return f.select(_run_folder(F.col("path"), "events\\.jsonl").alias("folder"), F.col("length").alias("byte_length"))
+
+
 def read_lines(spark: SparkSession, folder: str, name: str = "events.jsonl") -> DataFrame:
     """folder, line (physical, from 1), raw, last (unterminated last line) of every line that isn't blank."""
     f = _files(spark, folder, name).withColumn("folder", _run_folder(F.col("path"), name.replace(".", "\\.")))
@@ -55,8 +80,6 @@ def read_lines(spark: SparkSession, folder: str, name: str = "events.jsonl") ->
 
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     """The envelope columns, with pos (order of the parsed lines), line and raw."""
-    from pyspark.sql import Window as W
-
     good = read_lines(spark, folder).where(F.try_parse_json("raw").isNotNull())
     good = good.withColumn("pos", F.row_number().over(W.partitionBy("folder").orderBy("line")) - 1)
     return good.select("folder", "pos", "line", F.from_json("raw", EVENT).alias("e"), F.try_parse_json("raw").alias("v"), "raw").select("folder", "pos", "line", "e.*", F.expr("try_variant_get(v, '$.payload')").alias("payload"), F.expr("try_variant_get(v, '$.security.side_effect', 'string')").alias("side_effect"), "raw")
@@ -68,18 +91,26 @@ def line_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
     return bad.select("folder", "line", F.when(F.col("last"), "PARTIAL_JSONL_TAIL").otherwise("INVALID_JSONL_LINE").alias("code"))
 
 
+def _checkpoint_files(spark: SparkSession, folder: str) -> DataFrame:
+    return _files(spark, folder, "*.json").where(F.col("path").rlike("/checkpoints/[^/]+$"))
+
+
 def read_checkpoints(spark: SparkSession, folder: str) -> DataFrame:
-    f = _files(spark, f"{folder}/*/checkpoints", "*.json")
+    f = _checkpoint_files(spark, folder)
     v = F.try_parse_json("value")
     get = lambda k, t: F.expr(f"try_variant_get(v, '$.{k}', '{t}')").alias(k)
     return f.select("path", v.alias("v")).select("path", get("checkpoint_id", "string"), get("run_id", "string"), get("last_event_id", "string"), get("sequence", "long"), get("state_hash", "string"), F.to_json(F.expr("try_variant_get(v, '$.state')")).alias("state_json"), F.when(F.col("v").isNull(), "CHECKPOINT_FILE_INVALID_JSON").alias("error"))
 
 
-def read_artifacts(spark: SparkSession, folder: str, verify: bool = False) -> DataFrame:
-    """digest, byte_length, and with verify whether the content has that digest; contents aren't read otherwise."""
-    f = _files(spark, folder, "sha256-*", binary=True).withColumn("digest", F.regexp_extract("path", "sha256-([0-9a-f]{64})$", 1))
-    out = [F.col("path"), F.col("digest"), F.col("length").alias("byte_length")]
-    return f.select(*out, *([(F.sha2("content", 256) == F.col("digest")).alias("valid")] if verify else []))
+def read_artifacts(spark: SparkSession, folder: str, verify: bool = False, max_bytes: int | None = None) -> DataFrame:
+    """folder, path, digest, byte_length, and with verify whether the content has that digest; contents aren't read otherwise, nor those above max_bytes (valid is null)."""
+    f = _files(spark, folder, "sha256-*", binary=True)
+    named = [_run_folder(F.col("path"), "artifacts/sha256-[^/]*").alias("folder"), F.col("path"), F.regexp_extract("path", "sha256-([^/]*)$", 1).alias("digest"), F.col("length").alias("byte_length")]
+    if not verify:
+        return f.select(*named)
+    small = f if max_bytes is None else f.where(F.col("length") <= max_bytes)
+    out = small.select(*named, (F.sha2("content", 256) == F.regexp_extract("path", "sha256-([^/]*)$", 1)).alias("valid"))
+    return out if max_bytes is None else out.unionByName(f.where(F.col("length") > max_bytes).select(*named, F.lit(None).cast("boolean").alias("valid")))
 
 
 def write_events(events: DataFrame, folder: str) -> None:
