@@ -44,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--json", action="store_true", help="rows are JSON lines in any case; graphs too, instead of Mermaid")
         if name == "replay":
             c.add_argument("--mode", choices=("mock",), default="mock")
+            c.add_argument("--output", help="folder for the replays, written as runs of their own")
         if name == "export-otel":
             c.add_argument("--dry-run", action="store_true", required=True)
     c = sub.add_parser("import-otel")
@@ -100,6 +101,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         print("flowchart TD", file=out)
         for r in c.mermaid(a.kind, fold=a.fold, **only).orderBy("run_id", "part", "a", "b").toLocalIterator():
             print(r.line, file=out)
+    elif a.command == "replay" and a.output:
+        ended = c.replay_runs(a.output)
+        show(ended, out)
+        return int(bool(ended.where("size(codes) > 0").head(1)))
     elif a.command == "replay":
         done, bad = c.replay()
         show(done, out)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .operators import ancestors, export, live, plans, procedures, recovery, replay, schema, workflow
+from .operators import ancestors, export, live, plans, procedures, recovery, replay, rerun, schema, workflow
 from .sources import paths, snapshots
 
 KINDS = {"causal-dag": "dag_edges", "call-tree": "tree_edges", "timeline": "timeline_edges"}
@@ -194,17 +194,29 @@ class Corpus:
     def replay(self) -> tuple[DataFrame, DataFrame]:
         return replay.mock(self.calls(), self.parents())
 
+    def _barred(self) -> DataFrame:
+        """run_id, code of the runs that may not be replayed."""
+        # faults of files stand under their folder
+        own = self.manifests.select(F.col("folder").alias("run"), F.col("run_id").alias("named"))
+        wrong = self.validate().where("severity = 'error'").join(own, "run", "left").select(F.coalesce("named", "run").alias("run_id"), F.lit("SOURCE_TRACE_INVALID").alias("code"))
+        seen = plans.run("eligibility", self.spark, mf=self.manifests.where("error IS NULL")).where("NOT executable").select("run_id", F.lit("SOURCE_TRACE_OBSERVATION_ONLY").alias("code"))
+        return wrong.unionByName(seen).distinct()
+
+    def replay_runs(self, output: str | None = None) -> DataFrame:
+        """run_id, replay_id, codes (empty: ended in the source's state), state_hash of a mock replay of each run; with output, the replays are written there as snapshots."""
+        saved = snapshots.read_checkpoints(self.spark, self.folder).where("error IS NULL")
+        made, manifests, results = rerun.runs_of(self.events.where("event_id IS NOT NULL AND sequence IS NOT NULL"), self.calls(), self.parents(), self.state(), saved, self._barred())
+        if output is not None:
+            snapshots.write_snapshots(made, manifests, output)
+        return results
+
     def verify(self, registry: live.Registry, checkpoints: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(calls, differences, diagnostics) of live.verify; invalid runs and runs that may only be observed make no call.
 
         checkpoints: run_id, checkpoint_id to resume from.
         """
-        # faults of files stand under their folder
-        own = self.manifests.select(F.col("folder").alias("run"), F.col("run_id").alias("named"))
-        wrong = self.validate().where("severity = 'error'").join(own, "run", "left").select(F.coalesce("named", "run").alias("run_id"), F.lit("SOURCE_TRACE_INVALID").alias("code"))
-        seen = plans.run("eligibility", self.spark, mf=self.manifests.where("error IS NULL")).where("NOT executable").select("run_id", F.lit("SOURCE_TRACE_OBSERVATION_ONLY").alias("code"))
         point = None if checkpoints is None else live.resume_points(checkpoints, snapshots.read_checkpoints(self.spark, self.folder).where("error IS NULL"), self.events)
-        return live.verify(self.calls(), self.parents(), registry, resume=point, barred=wrong.unionByName(seen).distinct(), **options)
+        return live.verify(self.calls(), self.parents(), registry, resume=point, barred=self._barred(), **options)
 
     def compile(self) -> DataFrame:
         """workflow_id, doc."""
