@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .corpus import KINDS, Corpus
-from .operators import otlp, recovery
+from .operators import otlp, redaction
 from .sources import queue, snapshots
 
 #: States of nodes.
@@ -82,7 +82,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "import-otel":
         spans, found = otlp.import_files(spark, a.files)
-        pipeline = recovery.Pipeline(fields=recovery.IMPORT_RULES)
+        pipeline = redaction.Pipeline(fields=redaction.IMPORT_RULES)
         snapshots.write_snapshots(*otlp.snapshot(spans, found, pipeline.column), a.output)
         return int(show(found, out) > 0)
     c = Corpus(spark, a.folder)

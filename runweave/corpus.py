@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .operators import ancestors, export, live, plans, procedures, recovery, replay, rerun, schema, workflow
+from .operators import ancestors, export, live, plans, procedures, recorder, recovery, redaction, replay, rerun, schema, workflow
 from .sources import paths, snapshots
 
 KINDS = {"causal-dag": "dag_edges", "call-tree": "tree_edges", "timeline": "timeline_edges"}
@@ -52,6 +52,17 @@ class Corpus:
     def inspect(self) -> DataFrame:
         return plans.run("inspect_summary", self.spark, te=self.single())
 
+    def errors(self) -> DataFrame:
+        """run_id, event_id, type, sequence, code, retryable, kind of failed events."""
+        return recorder.event_errors(self.events)
+
+    def metadata(self) -> DataFrame:
+        """folder, schema_version, snapshot_type, run_id, run_state, runtime_name of snapshots of any version."""
+        return recorder.metadata(snapshots.read_metadata(self.spark, self.folder)).drop("value")
+
+    def tails(self) -> DataFrame:
+        return snapshots.tails(self.spark, self.folder)
+
     def graph(self, kind: str = "causal-dag", actor: str | None = None, type: str | None = None, status: str | None = None, min_sequence: int | None = None, max_sequence: int | None = None, fold: bool = True) -> tuple[DataFrame, DataFrame]:
         """(nodes, edges). The filters choose nodes: by their one actor (`multiple` where there are several), a type among their events, their status, and ranges that overlap the bounds; edges stand between nodes that stay. Without fold, each event is a node."""
         te = self.flat() if kind != "timeline" else self.single()
@@ -240,7 +251,15 @@ class Corpus:
         again, lost = export.imported(e.join(foreign, "run_id", "left_semi"), policy, redact)
         return spans.unionByName(again), losses.unionByName(lost)
 
-    def redact(self, pipeline: recovery.Pipeline) -> DataFrame:
-        """run_id, event_id, json, entries, error of each event's payload."""
-        e = self.events.select("run_id", "event_id", pipeline.column(F.to_json("payload"), recovery.CONTROLS).alias("r"))
+    def redact(self, pipeline: redaction.Pipeline) -> DataFrame:
+        """run_id, event_id, json, entries, error of each event's payload, by the event's type."""
+        e = self.events.select("run_id", "event_id", pipeline.events(F.col("type"), F.to_json("payload")).alias("r"))
         return e.select("run_id", "event_id", "r.*")
+
+    def redact_checkpoints(self, pipeline: redaction.Pipeline) -> DataFrame:
+        return pipeline.checkpoints(snapshots.read_checkpoints(self.spark, self.folder).where("error IS NULL").drop("error"))
+
+    def redact_artifacts(self, pipeline: redaction.Pipeline, max_bytes: int = MAX_BYTES) -> DataFrame:
+        """folder, old_digest, digest, byte_length, media_type, content, preview, entries, error of each artifact that is there and not above max_bytes, once for each type and preview it is referred to with."""
+        refs = schema.references(self.documents()).select("folder", F.col("digest").alias("old_digest"), "media_type", "preview").distinct()
+        return pipeline.artifacts(snapshots.read_contents(self.spark, self.folder, max_bytes).join(refs, ["folder", "old_digest"]))

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from ..sources import adapters
 from .procedures import checkpointed
-from .recovery import canonical, judged_checkpoints
+from .recovery import judged_checkpoints
+from .redaction import canonical
 from .replay import decided, differences, recorded, schedule
 
 #: What an adapter of each kind must be able to do.

@@ -194,7 +194,7 @@ def otlp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted(text: F.Column, rules=REDACTION_RULES, strategy: str = "mask") -> F.Column:
-    """Applies regex rules in order: mask leaves the category's mark, remove leaves nothing. References are made by recovery.Pipeline."""
+    """Applies regex rules in order: mask leaves the category's mark, remove leaves nothing. References are made by redaction.Pipeline."""
     for name, pattern in rules:
         text = F.regexp_replace(text, pattern, "" if strategy == "remove" else f"[REDACTED:{name}]")
     return text

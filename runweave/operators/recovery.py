@@ -1,11 +1,8 @@
-"""State from checkpoints and events, redaction pipelines, and migration of snapshots between schema versions."""
+"""State from checkpoints and events, and migration of snapshots between schema versions."""
 
 from __future__ import annotations
 
-import hashlib
 import json
-import re
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,38 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..sources import adapters
 from .procedures import StateError, apply_change
+from .redaction import canonical
 
 CURRENT = "0.2.0"
 #: Each version with a way forward, and the next one.
 STEPS = {"0.0.0": "0.1.0", "0.1.0": "0.2.0"}
-#: Field rules and patterns of secrets that a pipeline starts with.
-FIELD_RULES = (
-    ("/authorization", "authorization"),
-    ("/Authorization", "authorization"),
-    ("/headers/authorization", "authorization"),
-    ("/headers/Authorization", "authorization"),
-    ("/api_key", "api_key"),
-    ("/apiKey", "api_key"),
-    ("/password", "password"),
-    ("/secret", "secret"),
-    ("/token", "token"),
-)
-PATTERNS = (
-    (r"(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}", "authorization"),
-    (r"\bAKIA[0-9A-Z]{16}\b", "api_key"),
-    (r"\b(?:sk|pk|rk)-[A-Za-z0-9_-]{12,}\b", "api_key"),
-    (r"\bxox[baprs]-[A-Za-z0-9-]{10,}\b", "api_key"),
-)
-#: Where imported spans hold attributes, and names that are secret there.
-IMPORT_PREFIXES = ("/attributes", "/resource/attributes", "/scope/attributes", "/events/*/attributes", "/links/*/attributes")
-IMPORT_NAMES = ("authorization", "Authorization", "api_key", "apiKey", "password", "secret", "token")
-IMPORT_RULES = tuple((f"{p}/{n}", "authorization" if n.lower() == "authorization" else "secret") for p in IMPORT_PREFIXES for n in IMPORT_NAMES)
-#: Payload fields that steer replay and are never rewritten.
-CONTROLS = ("correlation_key", "model", "tool", "state_hash", "final_state_hash", "checkpoint_id")
-
-
-def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
 # --- checkpoints -----------------------------------------------------------------------------
@@ -110,116 +80,6 @@ def reconstructed(changes: DataFrame, checkpoints: DataFrame, events: DataFrame
     return out.unionByName(broken).withColumn("state_hash", F.sha2("state_json", 256))
 
 
-# --- redaction -------------------------------------------------------------------------------
-
-
-class Refused(ValueError):
-    """A redaction that would change what replay depends on."""
-
-
-class Pipeline:
-    """Field rules, then own redactors, then patterns, over every part of a JSON value.
-
-    A rule is (pointer or pattern, category[, strategy]); strategies: reference (the default), mask, remove. A reference is derived from a
-    key and the value, so equal values get equal references in all runs of one key.
-    """
-
-    def __init__(self, fields=(), patterns=(), custom: dict[str, Callable] | None = None, key: str = "", defaults: bool = True):
-        full = lambda rules: [(*r, "reference")[:3] for r in rules]
-        self.fields = [(p.split("/")[1:], c, s) for p, c, s in full((FIELD_RULES if defaults else ()) + tuple(fields))]
-        self.patterns = [(re.compile(p), c, s) for p, c, s in full((PATTERNS if defaults else ()) + tuple(patterns))]
-        self.custom, self.key = custom or {}, key
-
-    def placeholder(self, value, category: str, strategy: str) -> str:
-        name = re.sub(r"[^A-Za-z0-9_.-]", "_", category) or "secret"
-        if strategy == "mask":
-            return f"[REDACTED:{name}]"
-        h = hashlib.sha256(f"{self.key}\0{canonical(value)}".encode("utf-8", "surrogatepass")).hexdigest()
-        return f"[REDACTED:{name}:ref_{h[:8]}-{h[8:12]}-4{h[13:16]}-a{h[17:20]}-{h[20:32]}]"
-
-    def text(self, s: str) -> tuple[str, list[tuple[str, str]]]:
-        used = []
-        for pattern, category, strategy in self.patterns:
-            s, n = pattern.subn(lambda m: "" if strategy == "remove" else self.placeholder(m[0], category, strategy), s)  # noqa: B023
-            used += [(category, strategy)] * bool(n)
-        return s, used
-
-    def value(self, value, guarded: tuple[str, ...] = ()) -> tuple[object, list[dict]]:
-        """(redacted value, entries {category, path, strategy}). guarded: top-level keys that stay; a secret there raises Refused."""
-        entries: list[dict] = []
-        note = lambda path, category, strategy: entries.append({"category": category, "path": "".join("/" + k.replace("~", "~0").replace("/", "~1") for k in path), "strategy": strategy})
-        gone = object()
-
-        def rule_for(path):
-            return next(((c, s) for p, c, s in self.fields if len(p) == len(path) and all(a in ("*", b) for a, b in zip(p, path, strict=True))), None)
-
-        def walk(v, path):
-            if len(path) == 1 and path[0] in guarded:
-                if isinstance(v, str) and self.text(v)[1]:
-                    raise Refused(path[0])
-                return v
-            if path and (hit := rule_for(path)):
-                note(path, *hit)
-                return gone if hit[1] == "remove" else self.placeholder(v, *hit)
-            for name, redactor in self.custom.items():
-                verdict = redactor(v, path)
-                if verdict is not None:
-                    note(path, name, "mask")
-                    return verdict
-            if isinstance(v, str):
-                v, used = self.text(v)
-                for u in used:
-                    note(path, *u)
-                return v
-            if isinstance(v, dict):
-                return {k: x for k, y in v.items() if (x := walk(y, [*path, k])) is not gone}
-            if isinstance(v, list):
-                return [x for k, y in enumerate(v) if (x := walk(y, [*path, str(k)])) is not gone]
-            return v
-
-        return walk(value, []), entries
-
-    def column(self, c, guarded: tuple[str, ...] = ()):
-        """JSON text -> struct(json, entries, error); text that isn't JSON is redacted as text."""
-
-        @F.pandas_udf("json string, entries array<struct<category:string,path:string,strategy:string>>, error string")
-        def run(s: pd.Series) -> pd.DataFrame:
-            out = []
-            for t in s:
-                if not isinstance(t, str):
-                    out.append((None, [], None))
-                    continue
-                try:
-                    v, entries = self.value(json.loads(t), guarded)
-                    out.append((canonical(v), entries, None))
-                except Refused as e:
-                    out.append((None, [], f"REDACTION_PROTECTED_FIELD:{e}"))
-                except ValueError:
-                    v, used = self.text(t)
-                    out.append((v, [{"category": a, "path": "", "strategy": b} for a, b in used], None))
-            return pd.DataFrame(out, columns=["json", "entries", "error"])
-
-        return run(c)
-
-    def change(self, path: str, operation: str, value) -> tuple[object, list[dict]]:
-        """A state change's value, redacted as it will stand in the state. Refused where a rule reaches above the changed place."""
-        at = path.split("/")[1:]
-        above = [p for p, _, _ in self.fields if len(p) <= len(at) and all(a in ("*", b) for a, b in zip(p, at, strict=False))]
-        if any(len(p) < len(at) for p in above):
-            raise Refused("STATE_REDACTION_CONTEXT_REQUIRED")
-        if above and operation in ("merge", "append"):
-            raise Refused("STATE_REDACTION_UNREPRESENTABLE")
-        wrapped = value
-        for k in reversed([*at, "0"] if operation == "append" else at):
-            wrapped = {k: wrapped}
-        out, entries = self.value(wrapped)
-        for k in [*at, "0"] if operation == "append" else at:
-            if k not in out:
-                raise Refused("STATE_REDACTION_UNREPRESENTABLE")
-            out = out[k]
-        return out, entries
-
-
 # --- migration -------------------------------------------------------------------------------
 
 
@@ -295,12 +155,6 @@ def checkpoint_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_checkpoints(ck, ch).where("code IS NOT NULL").select("run_id", "checkpoint_id", "code")
 
 
-def redact_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = Pipeline(fields=(("/k", "key", "mask"),))
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", p.column(F.col("props")).alias("r"))
-    return e.select("event_id", F.col("r.json").alias("props"), F.size("r.entries").cast("long").alias("n_entries"))
-
-
 def migrated_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     mf = adapters.views(spark, sf_dir, ("mf",))["mf"]
     d = mf.select("run_id", F.col("schema_version").alias("version"), F.to_json(F.struct("schema_version", "run_id", F.struct("schema_version").alias("inner"))).alias("doc"))
@@ -308,7 +162,7 @@ def migrated_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("run_id", F.get_json_object("doc", "$.schema_version").alias("version"), F.get_json_object("doc", "$.inner.schema_version").alias("inner_version"), F.get_json_object("doc", "$.completeness").alias("completeness"), F.col("steps").cast("long").alias("steps"))
 
 
-QUERIES = {f.__name__: f for f in (state_reconstruction, checkpoint_faults, redact_pipeline, migrated_manifests)}
+QUERIES = {f.__name__: f for f in (state_reconstruction, checkpoint_faults, migrated_manifests)}
 ORACLES = {
     # a fold of sets from any valid base is the last write of each key; the base is the latest checkpoint without a fault
     "state_reconstruction": adapters.duck(
@@ -317,6 +171,5 @@ FROM te t LEFT JOIN (SELECT run_id, max(sequence) AS b FROM te WHERE sequence %
         ("te",),
     ),
     "checkpoint_faults": adapters.duck("SELECT run_id, concat('cp_', cast(n AS varchar)) AS checkpoint_id, CASE WHEN n % 13 = 5 THEN 'CHECKPOINT_EVENT_MISMATCH' ELSE 'CHECKPOINT_STATE_HASH_MISMATCH' END AS code FROM te WHERE sequence % 5 = 0 AND (n % 13 = 5 OR n % 17 = 4)", ("te",)),
-    "redact_pipeline": """SELECT event_id, '{"k":"[REDACTED:key]"}' AS props, cast(1 AS bigint) AS n_entries FROM events""",
     "migrated_manifests": adapters.duck("SELECT run_id, '0.2.0' AS version, '0.2.0' AS inner_version, CASE WHEN schema_version <> '0.2.0' THEN 'complete' END AS completeness, cast(CASE schema_version WHEN '0.0.0' THEN 2 WHEN '0.1.0' THEN 1 ELSE 0 END AS bigint) AS steps FROM mf", ("mf",)),
 }

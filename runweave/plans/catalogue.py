@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import export, live, otlp, plans, procedures, recovery, replay, workflow
+from ..operators import export, live, otlp, plans, procedures, recorder, recovery, redaction, replay, workflow
 from ..streaming import append
 from . import oracles
 
-QUERIES = {**plans.QUERIES, **procedures.QUERIES, **otlp.QUERIES, **recovery.QUERIES, **replay.QUERIES, **export.QUERIES, **live.QUERIES, **workflow.QUERIES, **append.QUERIES}
-ORACLES = {**oracles.ORACLES, **procedures.ORACLES, **otlp.ORACLES, **recovery.ORACLES, **replay.ORACLES, **export.ORACLES, **live.ORACLES, **append.ORACLES}
+QUERIES = {**plans.QUERIES, **procedures.QUERIES, **otlp.QUERIES, **recovery.QUERIES, **redaction.QUERIES, **recorder.QUERIES, **replay.QUERIES, **export.QUERIES, **live.QUERIES, **workflow.QUERIES, **append.QUERIES}
+ORACLES = {**oracles.ORACLES, **procedures.ORACLES, **otlp.ORACLES, **recovery.ORACLES, **redaction.ORACLES, **recorder.ORACLES, **replay.ORACLES, **export.ORACLES, **live.ORACLES, **append.ORACLES}

@@ -69,6 +69,21 @@ SELECT run_id, sequence, CASE WHEN n % 13 = 5 THEN 'evt_gone' ELSE event_id END
 SELECT md5(concat('t|', run_id)) AS trace_id, substr(md5(concat('s|', CASE WHEN n % 71 = 8 AND parent_id IS NOT NULL THEN parent_id ELSE event_id END)), 1, 16) AS span_id,
        CASE WHEN n % 67 = 6 THEN 'ffffffffffffffff' WHEN n % 61 = 5 THEN substr(md5(concat('s|', event_id)), 1, 16) WHEN parent_id IS NULL THEN NULL ELSE substr(md5(concat('s|', parent_id)), 1, 16) END AS parent_span_id,
        type AS name, n * 1000000 + 5 AS start_ns, n * 1000000 + 9 AS end_ns, pos, n FROM te""",
+    # payloads of several event types, with a field k somewhere
+    "pe": """
+SELECT event_id, CASE n % 5 WHEN 0 THEN 'model.requested' WHEN 4 THEN 'note.written' ELSE 'state.changed' END AS type,
+       CASE n % 5 WHEN 0 THEN concat('{"correlation_key":"', correlation_key, '","model":"m","k":', cast(n AS @text), '}') WHEN 1 THEN concat('{"operation":"set","path":"/k","value":', cast(n AS @text), '}')
+            WHEN 2 THEN '{"operation":"set","path":"/k/x","value":1}' WHEN 3 THEN '{"operation":"merge","path":"/other","value":{"k":1}}' ELSE concat('{"k":[1],"other":"', correlation_key, '"}') END AS payload FROM te""",
+    # appends to runs that start late, twice or not at all and end early, with lost parents and repeated ids
+    "lc": """
+SELECT run_id, pos, CASE WHEN n % 89 = 7 AND parent_id IS NOT NULL THEN parent_id ELSE event_id END AS event_id, CASE WHEN n % 97 = 5 THEN 'evt_missing' WHEN n % 83 = 3 THEN NULL ELSE parent_id END AS parent_id,
+       sequence, CASE WHEN pos = n % 2 AND n % 31 <> 4 OR n % 47 = 5 THEN 'run.started' WHEN n % 59 = 11 AND pos > 3 THEN 'run.completed' WHEN n % 101 = 7 AND pos > 3 THEN 'run.failed' ELSE type END AS type, timestamp, n FROM te""",
+    # checkpoints to be saved, some of one sequence, and those that are saved
+    "cn": """
+SELECT run_id, sequence, pos, concat('{"state":', cast(n AS @text), '}') AS value FROM te WHERE sequence % 5 = 0
+UNION ALL SELECT run_id, sequence, pos + 100000, concat('{"state":', cast(CASE WHEN n % 3 = 0 THEN n + 1 ELSE n END AS @text), '}') FROM te WHERE sequence % 5 = 0 AND n % 4 < 2""",
+    "cs": """
+SELECT run_id, sequence, concat('{"state":', cast(CASE WHEN n % 13 = 5 THEN n + 1 ELSE n END AS @text), '}') AS value FROM te WHERE sequence % 10 = 0""",
     # artifacts that are referred to and files that are there, with faults; outputs of a run and of its replay; calls planned and made
     "rf": "SELECT DISTINCT digest, byte_length FROM ar WHERE doc_id % 3 <> 0",
     "fl": "SELECT digest, min(byte_length) + CASE WHEN min(doc_id) % 10 = 1 THEN 1 ELSE 0 END AS byte_length FROM ar WHERE doc_id % 5 <> 0 GROUP BY digest",
@@ -78,7 +93,7 @@ SELECT md5(concat('t|', run_id)) AS trace_id, substr(md5(concat('s|', CASE WHEN
     "pb": "SELECT run_id, type, CASE WHEN n % 31 = 2 THEN 'other' ELSE correlation_key END AS correlation_key, row_number() OVER (PARTITION BY run_id ORDER BY sequence) AS k FROM te WHERE type LIKE '%.requested' AND n % 37 <> 1",
     "ar": "SELECT doc_id, @sha256(text) AS digest, @bytes(text) AS byte_length, lang AS media_type FROM documents WHERE text IS NOT NULL",
 }
-NEEDS = {"tf": ("te",), "mf": ("te",), "ck": ("te",), "sp": ("te",), "rf": ("ar",), "fl": ("ar",), "oa": ("te",), "ob": ("te",), "pa": ("te",), "pb": ("te",)}
+NEEDS = {"tf": ("te",), "mf": ("te",), "ck": ("te",), "sp": ("te",), "pe": ("te",), "lc": ("te",), "cn": ("te",), "cs": ("te",), "rf": ("ar",), "fl": ("ar",), "oa": ("te",), "ob": ("te",), "pa": ("te",), "pb": ("te",)}
 
 
 def render(text: str, engine: int) -> str:

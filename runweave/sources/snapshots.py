@@ -45,6 +45,11 @@ def _raw_manifests(spark: SparkSession, folder: str) -> DataFrame:
     return f.groupBy("folder").agg(F.min_by("value", F.when(ok, F.when(F.col("path").endswith(".tmp"), 0).otherwise(1))).alias("value"), F.max(ok).alias("ok"))
 
 
+def read_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """folder, value of the manifests that parse, whatever their version."""
+    return _raw_manifests(spark, folder).where("ok").select("folder", "value")
+
+
 def read_manifests(spark: SparkSession, folder: str) -> DataFrame:
     """One row a run folder: of manifest.json.tmp and manifest.json the first that parses; error MISSING_MANIFEST where neither does."""
     best = _raw_manifests(spark, folder)
@@ -91,6 +96,18 @@ def line_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
     return bad.select("folder", "line", F.when(F.col("last"), "PARTIAL_JSONL_TAIL").otherwise("INVALID_JSONL_LINE").alias("code"))
 
 
+def tails(spark: SparkSession, folder: str) -> DataFrame:
+    """folder, run_id, last_sequence (0: none), ends_with_newline, tail_corrupt, bad_lines of each file of events with a line: where a recorder goes on.
+
+    Run and number are those of the last line that parses; a file that doesn't end with a line's end needs one before the next event.
+    """
+    lines = read_lines(spark, folder).withColumn("v", F.try_parse_json("raw"))
+    good, get = F.col("v").isNotNull(), lambda k, t: F.expr(f"try_variant_get(v, '$.{k}', '{t}')")
+    last = F.max_by(F.struct(get("run_id", "string").alias("run_id"), get("sequence", "long").alias("sequence")), F.when(good, F.col("line")))
+    t = lines.groupBy("folder").agg(last.alias("l"), (~F.bool_or("last")).alias("ends_with_newline"), F.bool_or(F.col("last") & ~good).alias("tail_corrupt"), F.count_if(~good & ~F.col("last")).alias("bad_lines"))
+    return t.select("folder", "l.run_id", F.coalesce("l.sequence", F.lit(0)).cast("long").alias("last_sequence"), "ends_with_newline", "tail_corrupt", "bad_lines")
+
+
 def _checkpoint_files(spark: SparkSession, folder: str) -> DataFrame:
     return _files(spark, folder, "*.json").where(F.col("path").rlike("/checkpoints/[^/]+$"))
 
@@ -113,6 +130,12 @@ def read_artifacts(spark: SparkSession, folder: str, verify: bool = False, max_b
     return out if max_bytes is None else out.unionByName(f.where(F.col("length") > max_bytes).select(*named, F.lit(None).cast("boolean").alias("valid")))
 
 
+def read_contents(spark: SparkSession, folder: str, max_bytes: int) -> DataFrame:
+    """folder, old_digest, content of the artifacts that aren't above max_bytes."""
+    f = _files(spark, folder, "sha256-*", binary=True).where(F.col("length") <= max_bytes)
+    return f.select(_run_folder(F.col("path"), "artifacts/sha256-[^/]*").alias("folder"), F.regexp_extract("path", "sha256-([^/]*)$", 1).alias("old_digest"), "content")
+
+
 def write_events(events: DataFrame, folder: str) -> None:
     """JSON lines, one folder a run, in order of sequence; refuses to overwrite."""
     cols = [c for c in events.columns if c != "run_id"]

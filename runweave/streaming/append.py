@@ -7,6 +7,8 @@ import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -27,6 +29,21 @@ def accept(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").applyInPandasWithState(_step, "run_id long, event_id long, number long, accepted boolean", "top long", "append", GroupStateTimeout.NoTimeout)
 
 
+#: When accepted events become visible: as soon as they are there, all that is there now, or at an interval.
+FLUSH = {"event": {"processingTime": "0 seconds"}, "batch": {"availableNow": True}}
+
+
+def written(events: DataFrame, folder: str, log: str, flush: str = "batch") -> StreamingQuery:
+    """Writes a stream of events as JSON lines below folder, by run, those that `accept` refuses left out; log holds offsets and state, so that a new start goes on.
+
+    flush: event, batch, or an interval such as "10 seconds".
+    """
+    rows = accept(events).where("accepted").drop("accepted")
+    lines = rows.select(F.col("run_id").alias("run"), F.to_json(F.struct("*")).alias("value"))
+    trigger = FLUSH.get(flush) or {"processingTime": flush}
+    return lines.writeStream.partitionBy("run").format("text").option("path", folder).option("checkpointLocation", log).outputMode("append").trigger(**trigger).start()
+
+
 def _streamed(spark: SparkSession, sf_dir: str, accepted: bool) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)

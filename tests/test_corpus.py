@@ -8,7 +8,7 @@ import urllib.error
 import pytest
 from runweave import cli
 from runweave.corpus import Corpus
-from runweave.operators import live, recovery
+from runweave.operators import live, redaction
 from runweave.sources import paths, queue
 
 
@@ -47,8 +47,8 @@ def test_corpus(spark, folder):
     bad.write_text(whole + "{\n")
     assert {(r.run_id, r.code) for r in Corpus(spark, str(folder)).verify(live.Registry([]))[2].collect()} == {("r", "SOURCE_TRACE_INVALID")}
     bad.write_text(whole)
-    p = recovery.Pipeline(fields=(("/arguments/api_key", "api_key"),))
-    assert c.redact(p).where("event_id = 'e2'").first().entries[0].path == "/arguments/api_key"
+    p = redaction.Pipeline(fields=(("/arguments/api_key", "api_key"),))
+    assert c.redact(p).where("event_id = 'e2'").first().entries[0].path == "/payload/arguments/api_key"
 
 
 def test_command_line(spark, folder):
