@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .operators import ancestors, export, live, plans, procedures, recorder, recovery, redaction, replay, rerun, schema, workflow
+from .operators import ancestors, export, folders, live, plans, procedures, recorder, recovery, redaction, replay, rerun, schema, workflow
 from .sources import paths, snapshots
 
 KINDS = {"causal-dag": "dag_edges", "call-tree": "tree_edges", "timeline": "timeline_edges"}
@@ -251,6 +251,10 @@ class Corpus:
         again, lost = export.imported(e.join(foreign, "run_id", "left_semi"), policy, redact)
         return spans.unionByName(again), losses.unionByName(lost)
 
+    def migrate(self, output: str) -> int:
+        """Writes the snapshots, brought to the current version, into another folder, and returns their number; nothing is written where one has no way forward."""
+        return folders.migrate(self.spark, self.folder, output)
+
     def redact(self, pipeline: redaction.Pipeline) -> DataFrame:
         """run_id, event_id, json, entries, error of each event's payload, by the event's type."""
         e = self.events.select("run_id", "event_id", pipeline.events(F.col("type"), F.to_json("payload")).alias("r"))

@@ -153,18 +153,18 @@ def saved_checkpoints(new: DataFrame, there: DataFrame | None = None) -> DataFra
     return out.withColumn("code", code).drop("_first", "_saved")
 
 
-def put(contents: DataFrame, there: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def put(contents: DataFrame, there: DataFrame | None = None, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(references, files): a reference for each of (content, media_type, preview, ...), with code INVALID_MEDIA_TYPE where there is no type; and digest, content of those to be written, each once.
 
-    there: digest of the artifacts that are stored. Only digests are compared and joined; a content crosses the shuffle once for each distinct digest and input task.
+    there: digest of the artifacts that are stored. by: columns, such as the run, within which artifacts are one store. Only digests are compared and joined; a content crosses the shuffle once for each distinct digest and input task.
     """
     typed = F.coalesce(F.col("media_type") != "", F.lit(False)) & F.col("content").isNotNull()
     code = F.when(F.col("content").isNull(), "INVALID_ARTIFACT_CONTENT").when(~typed, "INVALID_MEDIA_TYPE")
     digest = F.sha2(F.col("content").cast("binary"), 256)
     refs = contents.withColumns({"code": code, "schema_version": F.lit(CURRENT), "digest": F.when(typed, digest), "byte_length": F.when(typed, F.octet_length("content").cast("long"))})
-    files = contents.where(typed).select(digest.alias("digest"), F.col("content").cast("binary").alias("content"))
-    files = files if there is None else files.join(there.select("digest"), "digest", "left_anti")
-    return refs.drop("content"), files.groupBy("digest").agg(F.first("content").alias("content"))
+    files = contents.where(typed).select(*by, digest.alias("digest"), F.col("content").cast("binary").alias("content"))
+    files = files if there is None else files.join(there.select(*by, "digest"), [*by, "digest"], "left_anti")
+    return refs.drop("content"), files.groupBy(*by, "digest").agg(F.first("content").alias("content"))
 
 
 # --- small projections -----------------------------------------------------------------------

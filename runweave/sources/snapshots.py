@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import files
+
 EVENT = T.StructType(
     [
         T.StructField("schema_version", T.StringType()),
@@ -144,35 +143,14 @@ def write_events(events: DataFrame, folder: str) -> None:
 
 
 def write_snapshots(events: DataFrame, manifests: DataFrame, folder: str) -> int:
-    """Writes <folder>/<run_id>/events.jsonl and manifest.json of each run, from (run_id, sequence, value) and (run_id, value); returns their number.
+    """Run folders from (run_id, sequence, value) and (run_id, value); see files.write_runs."""
+    return files.write_runs(events, manifests, folder)
 
-    Rows go to a staging folder beside them; the driver then only renames, the manifest last, so that a folder with a manifest is whole. Runs
-    whose folder is there already are refused before anything is moved. The staging folder of a failed write stays, hidden by its name.
-    """
-    spark = events.sparkSession
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    staging = f"{folder.rstrip('/')}/_staging-{uuid.uuid4().hex}"
-    rows = events.select(F.col("run_id").alias("run"), "sequence", "value").repartition("run").sortWithinPartitions("run", "sequence")
-    rows.select("run", "value").write.partitionBy("run").option("maxRecordsPerFile", 0).text(f"{staging}/events")
-    manifests.select(F.col("run_id").alias("run"), "value").repartition("run").write.partitionBy("run").text(f"{staging}/manifests")
-    at = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join(parts))
-    runs = sorted(p.getPath().getName() for p in fs.listStatus(at(staging, "events")) if p.isDirectory())
-    names = {r: unquote(r.split("=", 1)[1]) for r in runs}
-    there = [n for n in names.values() if fs.exists(at(folder, n))]
-    if there:
-        raise FileExistsError(f"{len(there)} run folders are there already, such as {there[0]}")
-    for kind, name in (("events", "events.jsonl"), ("manifests", "manifest.json")):
-        for r in runs:
-            found = [p.getPath() for p in fs.globStatus(at(staging, kind, r, "part-*"))] if fs.exists(at(staging, kind, r)) else []
-            if len(found) != 1:
-                raise ValueError(f"run {names[r]} needs one file of {kind}, there are {len(found)}")
-            fs.mkdirs(at(folder, names[r]))
-            if not fs.rename(found[0], at(folder, names[r], name)):
-                raise OSError(f"can't place {name} of run {names[r]}")
-    fs.delete(at(staging), True)
-    return len(runs)
+
+def saved_values(spark: SparkSession, folder: str) -> DataFrame:
+    """run_id (the folder's name), sequence, value of the checkpoints below a folder."""
+    f = _checkpoint_files(spark, folder)
+    return f.select(F.regexp_extract("path", "([^/]+)/checkpoints/[^/]+$", 1).alias("run_id"), F.regexp_extract("path", "([0-9]+)[.]json$", 1).cast("long").alias("sequence"), "value")
 
 
 def _otlp_items(spark: SparkSession, paths: list[str]) -> DataFrame:
