@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .corpus import KINDS, Corpus
-from .operators import otlp, redaction
+from .operators import otlp, procedures, redaction
 from .sources import queue, snapshots
 
 #: States of nodes.
@@ -87,7 +87,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         return int(show(found, out) > 0)
     c = Corpus(spark, a.folder)
     if a.command == "validate":
-        d = c.validate(a.schemas, a.contents)
+        d = procedures.checkpointed(c.validate(a.schemas, a.contents))  # asked twice below
         show(d, out)
         return int(bool(d.where("severity = 'error'").head(1)))
     if a.command == "inspect":
