@@ -1,10 +1,10 @@
-"""The queries of the ten operators, and SQL for those that it can express."""
+"""The queries of the operators, and SQL for those that it can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embeddings, html, jaccard, lm, mixing, packing, pii, quality, toxicity, warc
+from . import embeddings, html, jaccard, lm, merkle, mixing, packing, pii, quality, toxicity, warc
 from .common import table
 
 
@@ -49,5 +49,9 @@ def op10_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_lm_scoring, op3_toxicity, op4_html_extraction, op5_embedding_near_dedup, op6_ngram_jaccard_join, op7_pii, op8_quality_rules, op9_mixing, op10_warc)}
-ORACLES = {"op6_ngram_jaccard_join": jaccard.ORACLE, "op8_quality_rules": quality.ORACLE, "op9_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE}
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_lm_scoring, op3_toxicity, op4_html_extraction, op5_embedding_near_dedup, op6_ngram_jaccard_join, op7_pii, op8_quality_rules, op9_mixing, op10_warc, op11_merkle_manifest)}
+ORACLES = {"op6_ngram_jaccard_join": jaccard.ORACLE, "op8_quality_rules": quality.ORACLE, "op9_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
