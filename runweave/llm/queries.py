@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embeddings, html, jaccard, lm, merkle, mixing, packing, pii, quality, spelling, toxicity, warc
+from . import embeddings, hashing, html, jaccard, lm, merkle, mixing, packing, pii, quality, spelling, toxicity, warc
 from .common import table
 
 
@@ -57,5 +57,9 @@ def op12_spelling_variants(spark, sf_dir):
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_lm_scoring, op3_toxicity, op4_html_extraction, op5_embedding_near_dedup, op6_ngram_jaccard_join, op7_pii, op8_quality_rules, op9_mixing, op10_warc, op11_merkle_manifest, op12_spelling_variants)}
+def op13_nearest_neighbours(spark, sf_dir):
+    return hashing.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_lm_scoring, op3_toxicity, op4_html_extraction, op5_embedding_near_dedup, op6_ngram_jaccard_join, op7_pii, op8_quality_rules, op9_mixing, op10_warc, op11_merkle_manifest, op12_spelling_variants, op13_nearest_neighbours)}
 ORACLES = {"op6_ngram_jaccard_join": jaccard.ORACLE, "op8_quality_rules": quality.ORACLE, "op9_mixing": mixing.ORACLE, "op10_warc": warc.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_spelling_variants": spelling.ORACLE}
