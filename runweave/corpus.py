@@ -65,25 +65,18 @@ class Corpus:
 
     def graph(self, kind: str = "causal-dag", actor: str | None = None, type: str | None = None, status: str | None = None, min_sequence: int | None = None, max_sequence: int | None = None, fold: bool = True) -> tuple[DataFrame, DataFrame]:
         """(nodes, edges). The filters choose nodes: by their one actor (`multiple` where there are several), a type among their events, their status, and ranges that overlap the bounds; edges stand between nodes that stay. Without fold, each event is a node."""
+        quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        only = [
+            None if actor is None else f"actor = {quoted(actor)}",
+            None if type is None else f"array_contains(types, {quoted(type)})",
+            None if status is None else f"status = {quoted(status)}",
+            None if min_sequence is None else f"last_sequence >= {int(min_sequence)}",
+            None if max_sequence is None else f"first_sequence <= {int(max_sequence)}",
+        ]
+        shown = " AND ".join(c for c in only if c) or "true"
         te = self.flat() if kind != "timeline" else self.single()
-        nodes = plans.run("graph_nodes", self.spark, fold=fold, te=self.single())
-        if (actor, type, status, min_sequence, max_sequence) == (None,) * 5:
-            return nodes, plans.run(KINDS[kind], self.spark, fold=fold, te=te)
-        keep = [None if actor is None else F.col("actor") == actor, None if status is None else F.col("status") == status, None if min_sequence is None else F.col("last_sequence") >= min_sequence, None if max_sequence is None else F.col("first_sequence") <= max_sequence]
-        for c in keep:
-            nodes = nodes if c is None else nodes.where(c)
-        if type is not None:
-            has = plans.run("node_members", self.spark, fold=fold, te=self.single()).where(F.col("type") == type)
-            nodes = nodes.join(has.select("run_id", "node_id"), ["run_id", "node_id"], "left_semi")
-        if kind == "timeline":
-            order = W.partitionBy("run_id").orderBy("first_timestamp", "first_sequence", "node_id")
-            return nodes, nodes.select("run_id", F.col("node_id").alias("from_id"), F.lead("node_id").over(order).alias("to_id")).where("to_id IS NOT NULL")
-        edges = plans.run("dag_edges", self.spark, fold=fold, te=te)
-        edges = edges.join(nodes.select("run_id", F.col("node_id").alias("to_id")), ["run_id", "to_id"], "left_semi")
-        edges = edges.join(nodes.select("run_id", F.col("node_id").alias("from_id"), "first_timestamp", "first_sequence"), ["run_id", "from_id"])
-        if kind == "call-tree":
-            edges = edges.groupBy("run_id", "to_id").agg(F.min_by("from_id", F.struct("first_timestamp", "first_sequence", "from_id")).alias("from_id"))
-        return nodes, edges.select("run_id", "from_id", "to_id")
+        nodes = plans.run("graph_nodes", self.spark, fold=fold, shown=shown, te=self.single())
+        return nodes, plans.run(KINDS[kind], self.spark, fold=fold, shown=shown, te=te)
 
     def mermaid(self, kind: str = "causal-dag", **only) -> DataFrame:
         """run_id, part (1: nodes, 2: edges), a, b (numbers of nodes, in order of their first events), line of the graph's flow chart."""
@@ -126,12 +119,10 @@ class Corpus:
         return snapshots.read_documents(self.spark, self.folder)
 
     def _cycles(self) -> DataFrame:
-        """EVENT_CYCLE for each event on a cycle or after one. Only runs in which a parent doesn't stand before its child are looked into: in all others, positions rise along every edge."""
+        """EVENT_CYCLE for each event on a cycle or after one."""
         e = self.flat()
-        last = e.groupBy("run_id", F.col("event_id").alias("parent_id")).agg(F.max("pos").alias("last"))
-        risen = e.join(last, ["run_id", "parent_id"]).where("last >= pos").select("run_id").distinct()
         where = e.groupBy("run_id", "event_id").agg(F.min("pos").cast("long").alias("at"))
-        held = procedures.cyclic_events_by_run(e.join(risen, "run_id", "left_semi"))
+        held = procedures.cyclic_events(e)
         return held.join(where, ["run_id", "event_id"]).select(F.col("run_id").alias("run"), F.lit("EVENT_CYCLE").alias("code"), F.lit("error").alias("severity"), "at")
 
     def _mismatches(self) -> DataFrame:

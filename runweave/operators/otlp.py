@@ -1,6 +1,6 @@
 """Import of OTLP/JSON traces: flat spans, rejects, decoded values, one forest a trace, observation events, report.
 
-All steps but the decoding of nested values and the forest are column expressions. A trace is one group of the forest step.
+All steps but the decoding of nested values and the forest are column expressions. Only small traces are groups of the forest step; see forests.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..sources import adapters
+from . import forests
+from .procedures import checkpointed
 
 #: Limits of an import, and the names of the numbers of kinds and states.
 LIMITS = {"traces": 100, "spans": 10_000, "attributes": 128, "value_length": 16_384, "depth": 16, "events": 128, "links": 128}
@@ -218,7 +220,7 @@ def repaired(spans: DataFrame) -> DataFrame:
 
 
 def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Cuts each cycle at its greatest id, then lists the forest in pre-order. Linear in the trace but for sorting."""
+    """A small trace: cuts each cycle at its greatest id, then lists the forest in pre-order. Linear in the trace but for sorting."""
     pdf = pdf.sort_values(["start_ns", "span_id"], kind="stable")
     up = {s: (p if isinstance(p, str) else None) for s, p in zip(pdf.span_id, pdf.parent, strict=True)}
     done: set = set()
@@ -246,10 +248,9 @@ def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["trace_id", "span_id", "parent", "sequence", "depth", "detached"])
 
 
-def forest(spans: DataFrame) -> DataFrame:
+def forest(spans: DataFrame, most: int = forests.SMALL) -> DataFrame:
     """trace_id, span_id, parent (after cuts), sequence (from 2), depth, detached; spans: trace_id, span_id, parent, start_ns."""
-    slim = spans.select("trace_id", "span_id", "parent", F.col("start_ns").cast("long"))
-    return slim.groupBy("trace_id").applyInPandas(_ordered, "trace_id string, span_id string, parent string, sequence long, depth long, detached boolean")
+    return forests.forest(spans, _ordered, checkpointed, most)
 
 
 def normalized(spans: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,22 +12,27 @@ from ..sources import adapters
 from . import ancestors
 
 KNOWN = ", ".join(f"'{t}'" for t in EVENT_TYPES)
-GROUPS = f"""
+#: Nodes that @shown lets stay, and edges between them; a parent's id stands for the last event of that id in a node that stays.
+GROUPS_OF = f"""
 g AS (SELECT *, {STATUS} AS status, {FOLD_KIND} AS kind FROM te),
 s AS (SELECT *, CASE WHEN kind IS NULL OR lag(kind) OVER (PARTITION BY run_id ORDER BY pos) IS NULL OR kind <> lag(kind) OVER (PARTITION BY run_id ORDER BY pos) THEN 1 ELSE 0 END AS new FROM g),
 i AS (SELECT *, cast(sum(new) OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS grp FROM s),
 f AS (SELECT *, min(pos) OVER (PARTITION BY run_id, grp) AS head, max(pos) OVER (PARTITION BY run_id, grp) AS tail FROM i),
-nodes AS (SELECT run_id, grp, CASE WHEN count(*) > 1 THEN concat('group:', min(CASE WHEN pos = head THEN event_id END)) ELSE min(event_id) END AS node_id,
-   count(*) AS n_events, min(sequence) AS first_sequence, max(sequence) AS last_sequence, min(CASE WHEN pos = head THEN timestamp END) AS first_timestamp,
+all_nodes AS (SELECT run_id, grp, CASE WHEN count(DISTINCT pos) > 1 THEN concat('group:', min(CASE WHEN pos = head THEN event_id END)) ELSE min(event_id) END AS node_id,
+   count(DISTINCT pos) AS n_events, min(sequence) AS first_sequence, max(sequence) AS last_sequence, min(CASE WHEN pos = head THEN timestamp END) AS first_timestamp,
    max(CASE WHEN pos = tail THEN timestamp END) AS last_timestamp,
    CASE WHEN min(actor) = max(actor) THEN min(actor) ELSE 'multiple' END AS actor,
    CASE WHEN max(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) = 1 THEN 'failed' WHEN max(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) = 1 THEN 'completed' ELSE min(CASE WHEN pos = head THEN status END) END AS status,
-   CASE WHEN count(*) = 1 THEN min(type) WHEN min(kind) = 'model-stream' THEN concat('model stream (', cast(count(*) AS @text), ')') ELSE concat('low-level events (', cast(count(*) AS @text), ')') END AS label,
-   CASE WHEN min(type) = max(type) THEN min(type) ELSE 'multiple' END AS type, min(pos) AS first_pos FROM f GROUP BY run_id, grp),
-member AS (SELECT f.run_id, f.event_id, f.parent_id, nodes.node_id, nodes.first_timestamp, nodes.first_sequence FROM f JOIN nodes ON f.run_id = nodes.run_id AND f.grp = nodes.grp),
-parents AS (SELECT DISTINCT c.run_id, p.node_id AS from_id, c.node_id AS to_id, p.first_timestamp AS t, p.first_sequence AS q
-   FROM member c JOIN member p ON c.run_id = p.run_id AND c.parent_id = p.event_id),
+   CASE WHEN count(DISTINCT pos) = 1 THEN min(type) WHEN min(kind) = 'model-stream' THEN concat('model stream (', cast(count(DISTINCT pos) AS @text), ')') ELSE concat('low-level events (', cast(count(DISTINCT pos) AS @text), ')') END AS label,
+   CASE WHEN min(type) = max(type) THEN min(type) ELSE 'multiple' END AS type, min(pos) AS first_pos, collect_set(type) AS types FROM f GROUP BY run_id, grp),
+nodes AS (SELECT * FROM all_nodes WHERE @shown),
+visible AS (SELECT f.run_id, f.event_id, f.pos, a.node_id, a.first_timestamp, a.first_sequence FROM f JOIN all_nodes a ON f.run_id = a.run_id AND f.grp = a.grp LEFT SEMI JOIN nodes n ON n.run_id = a.run_id AND n.node_id = a.node_id),
+owners AS (SELECT run_id, event_id, max_by(struct(node_id, first_timestamp, first_sequence), pos) AS o FROM visible GROUP BY run_id, event_id),
+parents AS (SELECT DISTINCT f.run_id, o.node_id AS from_id, n.node_id AS to_id, o.first_timestamp AS t, o.first_sequence AS q
+   FROM f JOIN nodes n ON f.run_id = n.run_id AND f.grp = n.grp JOIN owners w ON f.run_id = w.run_id AND f.parent_id = w.event_id),
 edges AS (SELECT * FROM parents WHERE from_id <> to_id)"""
+GROUPS = GROUPS_OF.replace("@shown", "true")
+TREE = "SELECT run_id, from_id, to_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, to_id ORDER BY t, q, from_id) AS k FROM parents) x WHERE k = 1 AND from_id <> to_id"
 CALLS = """
 c AS (SELECT *, CASE WHEN type LIKE 'model.%' THEN 'model' WHEN type LIKE 'tool.%' THEN 'tool' END AS kind FROM te),
 req AS (SELECT *, row_number() OVER (PARTITION BY run_id, kind, correlation_key ORDER BY sequence) AS attempt FROM c WHERE type LIKE '%.requested'),
@@ -72,8 +77,10 @@ m AS (SELECT *, max(declared) OVER (PARTITION BY run_id) AS has FROM r) SELECT r
     "node_members": (("te",), f"WITH {GROUPS} SELECT DISTINCT nodes.run_id, nodes.node_id, f.event_id, f.pos, f.type, f.actor FROM f JOIN nodes ON nodes.run_id = f.run_id AND nodes.grp = f.grp"),
     "graph_filtered_nodes": (("te",), f"WITH {GROUPS} SELECT run_id, node_id, status FROM nodes WHERE status IN ('failed', 'started') AND last_sequence >= 3 AND first_sequence <= 20 AND actor IN ('actor_1', 'actor_2', 'multiple')"),
     "dag_edges": (("te",), f"WITH {GROUPS} SELECT DISTINCT run_id, from_id, to_id FROM edges"),
-    "graph_filtered_edges": (("te",), f"WITH {GROUPS}, v AS (SELECT run_id, node_id FROM nodes WHERE status <> 'started') SELECT DISTINCT edges.run_id, from_id, to_id FROM edges JOIN v a ON a.run_id = edges.run_id AND a.node_id = from_id JOIN v b ON b.run_id = edges.run_id AND b.node_id = to_id"),
-    "tree_edges": (("te",), f"WITH {GROUPS} SELECT run_id, from_id, to_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, to_id ORDER BY t, q, from_id) AS k FROM parents) x WHERE k = 1 AND from_id <> to_id"),
+    "graph_filtered_edges": (("te",), f"WITH {GROUPS_OF.replace('@shown', "status <> 'started'")} SELECT DISTINCT run_id, from_id, to_id FROM edges"),
+    "tree_edges": (("te",), f"WITH {GROUPS} {TREE}"),
+    **{f"{k}_repeated_ids": (("tr",), f"WITH {GROUPS_OF.replace('@shown', shown)} {rest}".replace("FROM te)", "FROM tr)")) for k, shown, rest in (
+        ("dag_edges", "true", "SELECT DISTINCT run_id, from_id, to_id FROM edges"), ("tree_edges", "true", TREE), ("graph_filtered_edges", "status <> 'started'", "SELECT DISTINCT run_id, from_id, to_id FROM edges"))},
     "timeline_edges": (("te",), f"WITH {GROUPS} SELECT run_id, node_id AS from_id, to_id FROM (SELECT *, lead(node_id) OVER (PARTITION BY run_id ORDER BY first_timestamp, first_sequence, node_id) AS to_id FROM nodes) x WHERE to_id IS NOT NULL"),
     "mermaid_lines": (("te",), f"""WITH {GROUPS}, own AS (SELECT run_id, grp, pos, event_id FROM f GROUP BY run_id, grp, pos, event_id),
 k AS (SELECT n.run_id, n.node_id, concat(n.label, ' [', o.ids, ']') AS label, row_number() OVER (PARTITION BY n.run_id ORDER BY n.first_pos) AS i FROM nodes n JOIN (SELECT run_id, grp, @joined(event_id, pos) AS ids FROM own GROUP BY run_id, grp) o ON o.run_id = n.run_id AND o.grp = n.grp)
@@ -130,9 +137,10 @@ FROM pa a FULL JOIN pb b ON a.run_id = b.run_id AND a.k = b.k WHERE a.run_id IS
 }
 
 
-def run(name: str, spark: SparkSession, fold: bool = True, **frames: DataFrame) -> DataFrame:
-    """fold=False: in plans of the projection, each event is a node of its own."""
+def run(name: str, spark: SparkSession, fold: bool = True, shown: str = "true", **frames: DataFrame) -> DataFrame:
+    """In plans of the projection: fold=False makes each event a node of its own, and only nodes for which shown holds stay."""
     text = PLANS[name][1] if fold else PLANS[name][1].replace(FOLD_KIND, "cast(NULL AS @text)")
+    text = text.replace("nodes AS (SELECT * FROM all_nodes WHERE true)", f"nodes AS (SELECT * FROM all_nodes WHERE {shown})")
     return adapters.sql(spark, adapters.render(text, 0), **frames)
 
 

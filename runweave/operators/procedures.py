@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 
 import pandas as pd
@@ -11,102 +10,18 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..sources import adapters
+from . import folding, forests
+from .folding import StateError, apply_change  # noqa: F401
 
-#: Names that no path or value may have.
-FORBIDDEN = ("__proto__", "constructor", "prototype")
 REDACTION_RULES = (("token", r"[0-9a-f]{32,}"), ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]+"))
 
 
 # --- state -----------------------------------------------------------------------------------
 
 
-class StateError(ValueError):
-    pass
-
-
-def _keys(path: str) -> list[str]:
-    if not path.startswith("/") or path == "/":
-        raise StateError("STATE_EVENT_INVALID")
-    keys = [k.replace("~1", "/").replace("~0", "~") for k in path[1:].split("/")]
-    if any(k in FORBIDDEN for k in keys):
-        raise StateError("STATE_EVENT_INVALID")
-    return keys
-
-
-def _clean(value) -> bool:
-    """Whether no object inside a value has a forbidden name."""
-    todo = [value]
-    while todo:
-        v = todo.pop()
-        if isinstance(v, dict):
-            if any(k in FORBIDDEN for k in v):
-                return False
-            todo += v.values()
-        elif isinstance(v, list):
-            todo += v
-    return True
-
-
-def apply_change(state: dict, path: str, operation: str, value=None) -> None:
-    """Changes state in place: set, merge (shallow), delete or append at a JSON pointer."""
-    *up, last = _keys(path)
-    if not _clean(value):
-        raise StateError("STATE_VALUE_INVALID")
-    at = state
-    for k in up:
-        if isinstance(at, list) and k.isdigit() and int(k) < len(at):
-            at = at[int(k)]
-        elif isinstance(at, dict) and k in at:
-            at = at[k]
-        else:
-            raise StateError("STATE_EVENT_INVALID")
-    if isinstance(at, list):
-        if operation == "set" and (last == "-" or last.isdigit() and int(last) <= len(at)):
-            k = len(at) if last == "-" else int(last)
-            at[k : k + 1] = [value]
-        elif operation == "delete" and last.isdigit() and int(last) < len(at):
-            del at[int(last)]
-        elif operation == "append" and last.isdigit() and int(last) < len(at) and isinstance(at[int(last)], list):
-            at[int(last)].append(value)
-        else:
-            raise StateError("STATE_EVENT_INVALID")
-    elif not isinstance(at, dict):
-        raise StateError("STATE_EVENT_INVALID")
-    elif operation == "set":
-        at[last] = value
-    elif operation == "merge":
-        if not isinstance(value, dict) or not isinstance(at.get(last, {}), dict):
-            raise StateError("STATE_VALUE_INVALID")
-        at[last] = {**at.get(last, {}), **value}
-    elif operation == "delete":
-        if last not in at:
-            raise StateError("STATE_EVENT_INVALID")
-        del at[last]
-    elif operation == "append":
-        if not isinstance(at.get(last), list):
-            raise StateError("STATE_EVENT_INVALID")
-        at[last].append(value)
-    else:
-        raise StateError("STATE_EVENT_INVALID")
-
-
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf, state, error = pdf.sort_values("pos"), {}, None
-    for k, r in enumerate(pdf.itertuples(index=False)):
-        try:
-            if r.sequence != k + 1:
-                raise StateError("EVENT_SEQUENCE_INVALID")
-            apply_change(state, r.path, r.operation, None if r.value_json is None else json.loads(r.value_json))
-        except StateError as e:
-            error = str(e)
-            break
-    text = None if error else json.dumps(state, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-    return pd.DataFrame({"run_id": [pdf.run_id.iloc[0]], "state_json": [text], "error": [error]})
-
-
-def fold_state(changes: DataFrame) -> DataFrame:
-    """(run_id, pos, sequence, path, operation, value_json) -> run_id, state_json, state_hash, error. One ordered fold a run; a run is one task's group."""
-    out = changes.select("run_id", "pos", "sequence", "path", "operation", "value_json").groupBy("run_id").applyInPandas(_fold, "run_id string, state_json string, error string")
+def fold_state(changes: DataFrame, parts: int | None = None) -> DataFrame:
+    """(run_id, pos, sequence, path, operation, value_json) -> run_id, state_json, state_hash, error. Runs are folded in stretches (see folding), whatever their length."""
+    out = folding.fold(changes, checkpointed, parts=parts).drop("broken")
     return out.withColumn("state_hash", F.sha2("state_json", 256))
 
 
@@ -132,25 +47,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def cyclic_events(edges: DataFrame, nodes: DataFrame, run: str = "run_id", max_rounds: int = 200) -> DataFrame:
-    """Events whose parents never all resolve: members of cycles and what follows from them.
-
-    nodes: (run_id, event_id); edges: (run_id, parent_id, event_id) between known events. Sources are peeled off round by round.
-    """
-    left = checkpointed(nodes.select(run, "event_id").distinct())
-    edges = edges.select(run, "parent_id", "event_id").distinct()
-    before = left.count()
-    for _ in range(max_rounds):
-        held = edges.join(left.withColumnRenamed("event_id", "parent_id"), [run, "parent_id"], "left_semi").select(run, "event_id").distinct()
-        left = checkpointed(left.join(held, [run, "event_id"], "left_semi"))
-        now = left.count()
-        if now == before:
-            return left
-        before = now
-    raise RuntimeError("more rounds than allowed; use cyclic_events_by_run")
-
-
-def _peel(pdf: pd.DataFrame) -> pd.DataFrame:
+def peeled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A small run: sources go, one after another; what is left is held up by a cycle."""
     ids = set(pdf.event_id)
     children: dict = {}
     degree = dict.fromkeys(ids, 0)
@@ -168,13 +66,28 @@ def _peel(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(run, e) for e in sorted(e for e, d in degree.items() if d > 0)], columns=["run_id", "event_id"], dtype=object)
 
 
-def cyclic_events_by_run(events: DataFrame) -> DataFrame:
-    """The same for deep runs: (run_id, event_id, parent_id), each run in one group."""
-    return events.select("run_id", "event_id", "parent_id").groupBy("run_id").applyInPandas(_peel, "run_id string, event_id string")
+def known_edges(events: DataFrame) -> DataFrame:
+    """run_id, event_id, parent_id of the parents that are events of their run."""
+    ids = events.select("run_id", F.col("event_id").alias("parent_id")).distinct()
+    return events.where("parent_id IS NOT NULL").select("run_id", "event_id", "parent_id").join(ids, ["run_id", "parent_id"], "left_semi").select("run_id", "event_id", "parent_id")
+
+
+def cyclic_events(events: DataFrame, most: int = forests.SMALL) -> DataFrame:
+    """run_id, event_id of the events (run_id, event_id, parent_id) whose parents never all resolve: members of cycles and what follows from them.
+
+    With a column pos, only runs with a parent that doesn't stand before its child are looked into, as others can't hold a cycle.
+    """
+    edges = known_edges(events)
+    if "pos" in events.columns:
+        first = events.groupBy("run_id", "event_id").agg(F.min("pos").alias("at"))
+        above = first.select("run_id", F.col("event_id").alias("parent_id"), F.col("at").alias("above"))
+        risen = edges.join(first, ["run_id", "event_id"]).join(above, ["run_id", "parent_id"]).where("above >= at").select("run_id").distinct()
+        edges = edges.join(risen, "run_id", "left_semi")
+    return forests.held_up(edges, peeled, checkpointed, most)
 
 
 def event_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cyclic_events_by_run(adapters.views(spark, sf_dir, ("tf",))["tf"])
+    return cyclic_events(adapters.views(spark, sf_dir, ("tf",))["tf"])
 
 
 def span_forest(spans: DataFrame) -> DataFrame:

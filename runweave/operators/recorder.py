@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources import adapters
+from . import forests
+from .procedures import checkpointed, peeled
 from .recovery import CURRENT
 
 #: Types that end a run, and the status that a manifest then has.
@@ -29,29 +31,60 @@ SPACE = "\\t-\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u300
 def judged(events: DataFrame) -> DataFrame:
     """Adds `code` to appends (run_id, pos, event_id, type, parent_ids), in order of pos: why the run doesn't take one, null where it does.
 
-    A run is there from its first run.started on, up to the first terminal event after it. Ids are looked for among all earlier appends in that
-    span, also those that are refused for their own parents or id. Runs are judged by small aggregates a run and joins, so a long run splits.
+    A run is there from its first run.started on, up to the first terminal event that it takes. Parents and ids are looked for among the appends
+    that it took: one that is refused takes its children with it, leaves its id free and doesn't end the run. No run is gathered: what
+    refusals take with them is found by doubling (forests.held_up), and only repeated ids need further rounds.
     """
     starts = events.where("type = 'run.started'").groupBy("run_id").agg(F.min("pos").alias("_start"))
-    e = events.join(starts, "run_id", "left")
-    ends = e.where(F.col("type").isin(*TERMINAL) & (F.col("pos") > F.col("_start"))).groupBy("run_id").agg(F.min("pos").alias("_end"))
-    e = e.join(ends, "run_id", "left")
-    inside = (F.col("pos") >= F.col("_start")) & (F.col("pos") <= F.coalesce("_end", F.col("pos"))) & ((F.col("type") != "run.started") | (F.col("pos") == F.col("_start")))
-    ids = e.where(inside).groupBy("run_id", "event_id").agg(F.min("pos").alias("_first"))
-    e = e.join(ids, ["run_id", "event_id"], "left")
-    parents = e.where(inside).select("run_id", "pos", F.explode("parent_ids").alias("event_id")).join(ids, ["run_id", "event_id"], "left")
-    lost = parents.where(F.col("_first").isNull() | (F.col("_first") >= F.col("pos"))).select("run_id", "pos", F.lit(True).alias("_lost")).distinct()
-    e = e.join(lost, ["run_id", "pos"], "left")
+    e = checkpointed(events.join(starts, "run_id", "left"))
     later = F.col("pos") > F.col("_start")
+    bare = F.coalesce(F.size("parent_ids"), F.lit(0)) <= 0
+    inside = e.where(((F.col("pos") == F.col("_start")) & (F.col("type") == "run.started")) | later & (F.col("type") != "run.started") & ~bare)
+    refused = _refused(inside.select("run_id", "pos", "event_id", F.when(later, F.col("parent_ids")).alias("parent_ids")))
+    e = e.join(refused.withColumn("_lost", F.lit(True)), ["run_id", "pos"], "left")
+    e = e.withColumn("_in", F.col("_lost").isNull() & F.coalesce(F.when(F.col("type") == "run.started", F.col("pos") == F.col("_start")).otherwise(later & ~bare), F.lit(False)))
+    taken = e.where("_in").groupBy("run_id", "event_id").agg(F.min("pos").alias("_first"))
+    e = e.join(taken, ["run_id", "event_id"], "left")
+    ends = e.where(F.col("_in") & F.col("type").isin(*TERMINAL) & (F.col("_first") == F.col("pos"))).groupBy("run_id").agg(F.min("pos").alias("_end"))
+    e = e.join(ends, "run_id", "left")
     code = (
         F.when(F.col("_start").isNull() | (F.col("pos") < F.col("_start")), "RUN_NOT_FOUND")
         .when(later & (F.col("type") == "run.started"), "DUPLICATE_RUN_ID")
         .when(F.col("pos") > F.col("_end"), "INVALID_LIFECYCLE_TRANSITION")
-        .when(later & (F.coalesce(F.size("parent_ids"), F.lit(0)) <= 0), "MISSING_PARENT_CONTEXT")
-        .when(later & F.col("_lost"), "MISSING_PARENT_EVENT")
+        .when(later & bare, "MISSING_PARENT_CONTEXT")
+        .when(F.col("_lost"), "MISSING_PARENT_EVENT")
         .when(F.col("_first") < F.col("pos"), "DUPLICATE_EVENT_ID")
     )
-    return e.withColumn("code", code).drop("_start", "_end", "_first", "_lost")
+    return e.withColumn("code", code).drop("_start", "_end", "_first", "_lost", "_in")
+
+
+def _refused(appends: DataFrame) -> DataFrame:
+    """run_id, pos of appends one of whose parents isn't an earlier append that is taken; repeated ids aside.
+
+    An append is refused with a parent if that parent's id has no other append before it that may be taken. Where it has, the append waits for
+    a round in which all but one of these are refused; each round's refusals are final.
+    """
+    wants = appends.select("run_id", "pos", F.explode("parent_ids").alias("event_id")).distinct()
+    refused = appends.select("run_id", "pos").where("false")
+    while True:
+        alive = appends.select("run_id", "pos", "event_id").join(refused, ["run_id", "pos"], "left_anti")
+        first = alive.groupBy("run_id", "event_id").agg(F.min("pos").alias("first"))
+        second = alive.join(first, ["run_id", "event_id"]).where("pos > first").groupBy("run_id", "event_id").agg(F.min("pos").alias("second"))
+        known = checkpointed(first.join(second, ["run_id", "event_id"], "left"))
+        links = wants.join(refused, ["run_id", "pos"], "left_anti").join(known, ["run_id", "event_id"], "left")
+        there = F.coalesce(F.col("first") < F.col("pos"), F.lit(False))
+        only = F.coalesce(F.col("second") >= F.col("pos"), F.lit(True))
+        # one without a parent hangs on itself, and so do all that hang on it
+        up = F.when(~there, F.col("pos")).when(only, F.col("first"))
+        edges = links.select("run_id", F.col("pos").cast("string").alias("event_id"), up.cast("string").alias("parent_id")).where("parent_id IS NOT NULL")
+        # only runs with such a one are looked into
+        bad = edges.where("event_id = parent_id").select("run_id").distinct()
+        found = checkpointed(forests.held_up(edges.join(bad, "run_id", "left_semi"), peeled, checkpointed).select("run_id", F.col("event_id").cast("long").alias("pos")))
+        if found.isEmpty():
+            return refused
+        refused = checkpointed(refused.unionByName(found))
+        if known.where("second IS NOT NULL").isEmpty():
+            return refused
 
 
 def recorded(rows: DataFrame) -> DataFrame:
@@ -250,13 +283,14 @@ def inferred_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (run_lifecycle, run_manifests, recorded_events, checkpoint_saves, artifact_puts, run_limitations, event_error_details, text_counts, inferred_schemas)}
-# running counts where the operators aggregate and join
-_JUDGED = """SELECT x.*, CASE WHEN starts = 0 AND type <> 'run.started' THEN 'RUN_NOT_FOUND' WHEN starts > 0 AND type = 'run.started' THEN 'DUPLICATE_RUN_ID' WHEN ends > 0 THEN 'INVALID_LIFECYCLE_TRANSITION'
- WHEN starts > 0 AND parent_id IS NULL THEN 'MISSING_PARENT_CONTEXT' WHEN starts > 0 AND NOT list_contains(coalesce(ids, []), parent_id) THEN 'MISSING_PARENT_EVENT' WHEN list_contains(coalesce(ids, []), event_id) THEN 'DUPLICATE_EVENT_ID' END AS code
-FROM (SELECT y.*, count(*) FILTER (WHERE starts > 0 AND type IN ('run.completed', 'run.failed', 'run.observed')) OVER before AS ends,
-  list(event_id) FILTER (WHERE (starts > 0) <> (type = 'run.started')) OVER before AS ids
- FROM (SELECT lc.*, count(*) FILTER (WHERE type = 'run.started') OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS starts FROM lc) y
- WINDOW before AS (PARTITION BY run_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) x"""
+# each run's appends one by one, with the ids that it has taken
+_JUDGED = """WITH RECURSIVE nth AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY pos) AS k FROM lc),
+ walk AS (SELECT DISTINCT run_id, 0::BIGINT AS k, 0::BIGINT AS pos, false AS ended, []::VARCHAR[] AS ids, NULL::VARCHAR AS code FROM lc
+ UNION ALL SELECT run_id, k, pos, ended OR code IS NULL AND type IN ('run.completed', 'run.failed', 'run.observed'), if(code IS NULL, list_append(ids, event_id), ids), code FROM (
+  SELECT n.run_id, n.k, n.pos, n.type, n.event_id, w.ended, w.ids, CASE WHEN len(w.ids) = 0 AND n.type <> 'run.started' THEN 'RUN_NOT_FOUND' WHEN len(w.ids) > 0 AND n.type = 'run.started' THEN 'DUPLICATE_RUN_ID'
+   WHEN w.ended THEN 'INVALID_LIFECYCLE_TRANSITION' WHEN len(w.ids) = 0 THEN NULL WHEN n.parent_id IS NULL THEN 'MISSING_PARENT_CONTEXT' WHEN NOT list_contains(w.ids, n.parent_id) THEN 'MISSING_PARENT_EVENT' WHEN list_contains(w.ids, n.event_id) THEN 'DUPLICATE_EVENT_ID' END AS code
+  FROM walk w JOIN nth n ON n.run_id = w.run_id AND n.k = w.k + 1) s)
+ SELECT nth.* EXCLUDE (k), walk.code FROM nth JOIN walk ON walk.run_id = nth.run_id AND walk.k = nth.k"""
 ORACLES = {
     "run_lifecycle": adapters.duck(f"SELECT run_id, pos, event_id, code FROM ({_JUDGED}) j", ("lc",)),
     "run_manifests": adapters.duck(

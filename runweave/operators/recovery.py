@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..sources import adapters
-from .procedures import StateError, apply_change
+from . import folding
+from .procedures import checkpointed
 from .redaction import canonical
 
 CURRENT = "0.2.0"
@@ -45,39 +46,20 @@ def bases(checkpoints: DataFrame, events: DataFrame) -> DataFrame:
     return good.groupBy("run_id").agg(F.max_by(F.struct(F.col("sequence").alias("base_sequence"), F.col("state_json").alias("base_state")), "sequence").alias("b")).select("run_id", "b.*")
 
 
-def _resume(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("sequence", kind="stable")
-    base = pdf.base_state.iloc[0]
-    error = None
-    state = json.loads(base) if isinstance(base, str) else {}
-    for r in pdf.itertuples(index=False):
-        if not isinstance(r.path, str):
-            continue
-        try:
-            apply_change(state, r.path, r.operation, json.loads(r.value_json) if isinstance(r.value_json, str) else None)
-        except StateError as e:
-            error = str(e)
-            break
-    text = None if error else canonical(state)
-    return pd.DataFrame({"run_id": [pdf.run_id.iloc[0]], "base_sequence": [int(pdf.base_sequence.iloc[0])], "state_json": [text], "error": [error]})
-
-
 def reconstructed(changes: DataFrame, checkpoints: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """run_id, base_sequence (0: none), state_json, state_hash, error: each run from its latest valid checkpoint on.
 
     changes: every event of the runs as run_id, event_id, pos, sequence, path (null: no change), operation, value_json. Sequences must be 1..n in
     file order. Only events after the base reach the fold.
     """
-    events = changes if events is None else events
-    w = W.partitionBy("run_id").orderBy("pos")
-    c = changes.withColumn("off", F.max((F.row_number().over(w) != F.col("sequence")).cast("int")).over(W.partitionBy("run_id")))
-    broken = c.where("off = 1").select("run_id").distinct().select("run_id", F.lit(0).cast("long").alias("base_sequence"), F.lit(None).cast("string").alias("state_json"), F.lit("EVENT_SEQUENCE_INVALID").alias("error"))
-    with_base = c.where("off = 0").join(bases(checkpoints, events), "run_id", "left").withColumn("base_sequence", F.coalesce("base_sequence", F.lit(0)).cast("long"))
-    # the base's own event stays in, without its change, so that runs ending at the base have a row
-    at_base = F.col("sequence") == F.greatest("base_sequence", F.lit(1))
-    rest = with_base.where((F.col("sequence") > F.col("base_sequence")) | at_base).withColumn("path", F.when(F.col("sequence") > F.col("base_sequence"), F.col("path")))
-    out = rest.select("run_id", "sequence", "path", "operation", "value_json", "base_sequence", "base_state").groupBy("run_id").applyInPandas(_resume, "run_id string, base_sequence long, state_json string, error string")
-    return out.unionByName(broken).withColumn("state_hash", F.sha2("state_json", 256))
+    base = bases(checkpoints, changes if events is None else events)
+    c = changes.join(base.select("run_id", "base_sequence"), "run_id", "left")
+    # events up to the base stay in, without their changes, as sequences count from the run's start
+    c = c.withColumn("path", F.when(F.col("sequence") > F.coalesce("base_sequence", F.lit(0)), F.col("path")))
+    out = folding.fold(c, checkpointed, base, text=canonical).join(base.select("run_id", "base_sequence"), "run_id", "left")
+    kept = lambda c: F.when(~F.col("broken"), F.col(c))
+    out = out.select("run_id", F.coalesce(kept("base_sequence"), F.lit(0)).cast("long").alias("base_sequence"), kept("state_json").alias("state_json"), F.when(F.col("broken"), "EVENT_SEQUENCE_INVALID").otherwise(F.col("error")).alias("error"))
+    return out.withColumn("state_hash", F.sha2("state_json", 256))
 
 
 # --- migration -------------------------------------------------------------------------------

@@ -9,13 +9,15 @@ NODES = r"""
 k AS (SELECT *, CASE WHEN regexp_matches(type, '^model\.') AND regexp_matches(type, '(delta|stream|chunk|token|partial|segment)') THEN 'm' WHEN regexp_matches(type, '^(span|telemetry|trace|log|debug|internal|stream)\.') THEN 'l' END AS fold FROM te),
 b AS (SELECT k.*, j.fold AS prev FROM k LEFT JOIN k j ON j.run_id = k.run_id AND j.pos = k.pos - 1),
 h AS (SELECT *, max(pos) FILTER (WHERE fold IS NULL OR fold IS DISTINCT FROM prev) OVER (PARTITION BY run_id ORDER BY pos) AS head FROM b),
-nd AS (SELECT run_id, head, list(event_id ORDER BY pos) AS ids, list(sequence ORDER BY pos) AS seqs, list(timestamp ORDER BY pos) AS times, list(DISTINCT actor) AS actors, list(DISTINCT type) AS types, first(type ORDER BY pos) AS t0,
+nd AS (SELECT run_id, head, list(event_id ORDER BY pos) AS ids, list(pos ORDER BY pos) AS places, list(sequence ORDER BY pos) AS seqs, list(timestamp ORDER BY pos) AS times, list(DISTINCT actor) AS actors, list(DISTINCT type) AS types, first(type ORDER BY pos) AS t0,
   bool_or(ends_with(type, '.failed')) AS failed, bool_or(ends_with(type, '.completed')) AS done, first(fold) AS fold FROM h GROUP BY run_id, head),
-nn AS (SELECT run_id, head, ids, if(len(ids) > 1, 'group:' || ids[1], ids[1]) AS node_id, len(ids) AS n_events, seqs[1] AS first_sequence, seqs[-1] AS last_sequence, times[1] AS first_timestamp, times[-1] AS last_timestamp,
+nn AS (SELECT run_id, head, ids, places, if(len(ids) > 1, 'group:' || ids[1], ids[1]) AS node_id, len(ids) AS n_events, seqs[1] AS first_sequence, seqs[-1] AS last_sequence, times[1] AS first_timestamp, times[-1] AS last_timestamp,
   if(len(actors) = 1, actors[1], 'multiple') AS actor, if(len(types) = 1, types[1], 'multiple') AS type, if(len(ids) = 1, t0, if(fold = 'm', 'model stream (', 'low-level events (') || len(ids) || ')') AS label,
   CASE WHEN failed THEN 'failed' WHEN done THEN 'completed' WHEN t0 = 'state.changed' THEN 'changed' WHEN t0 = 'decision.recorded' THEN 'recorded' WHEN t0 = 'checkpoint.created' THEN 'checkpointed' WHEN t0 = 'run.started' OR ends_with(t0, '.requested') THEN 'started' ELSE 'unknown' END AS status FROM nd),
-mm AS (SELECT run_id, node_id, first_timestamp, first_sequence, unnest(ids) AS event_id FROM nn),
-ee AS (SELECT DISTINCT te.run_id, u.node_id AS from_id, d.node_id AS to_id, u.first_timestamp AS t, u.first_sequence AS q FROM te JOIN mm d USING (run_id, event_id) JOIN mm u ON (u.run_id, u.event_id) = (te.run_id, te.parent_id))"""
+mm AS (SELECT run_id, node_id, first_timestamp, first_sequence, unnest(ids) AS event_id, unnest(places) AS pos, status FROM nn),
+last_of AS (SELECT DISTINCT ON (run_id, event_id) * FROM mm ORDER BY run_id, event_id, pos DESC),
+ee AS (SELECT DISTINCT te.run_id, u.node_id AS from_id, d.node_id AS to_id, u.first_timestamp AS t, u.first_sequence AS q FROM te JOIN mm d USING (run_id, pos) JOIN last_of u ON (u.run_id, u.event_id) = (te.run_id, te.parent_id))"""
+REPEATED = NODES.replace("FROM te)", "FROM tr)").replace("FROM te JOIN", "FROM tr te JOIN")
 REQ, FIN = "ends_with(type, '.requested')", "(ends_with(type, '.completed') OR ends_with(type, '.failed'))"
 KIND = "split_part(type, '.', 1)"
 KNOWN = "['run.started', 'run.completed', 'run.failed', 'run.observed', 'model.requested', 'model.completed', 'model.failed', 'tool.requested', 'tool.completed', 'tool.failed', 'decision.recorded', 'state.changed', 'checkpoint.created', 'verification.completed', 'otel.span']"
@@ -53,12 +55,17 @@ TEXTS: dict[str, tuple[tuple[str, ...], str]] = {
     "root_events": (("te", "mf"), """SELECT run_id, event_id FROM te WHERE event_id = (SELECT root_event_id FROM mf WHERE mf.run_id = te.run_id)
  OR parent_id IS NULL AND NOT EXISTS (SELECT 1 FROM te t JOIN mf ON mf.run_id = t.run_id AND mf.root_event_id = t.event_id WHERE t.run_id = te.run_id)"""),
     "fold_groups": (("te",), f"WITH {NODES} SELECT run_id, node_id, n_events, first_sequence, last_sequence, label FROM nn"),
-    "node_members": (("te",), f"WITH {NODES} SELECT mm.run_id, mm.node_id, mm.event_id, te.pos, te.type, te.actor FROM mm JOIN te USING (run_id, event_id)"),
+    "node_members": (("te",), f"WITH {NODES} SELECT mm.run_id, mm.node_id, mm.event_id, te.pos, te.type, te.actor FROM mm JOIN te USING (run_id, pos)"),
     "graph_nodes": (("te",), f"WITH {NODES} SELECT run_id, node_id, n_events, first_sequence, last_sequence, first_timestamp, last_timestamp, actor, type, status, label FROM nn"),
     "graph_filtered_nodes": (("te",), f"WITH {NODES} SELECT run_id, node_id, status FROM nn WHERE list_contains(['failed', 'started'], status) AND NOT (last_sequence < 3 OR first_sequence > 20) AND list_contains(['actor_1', 'actor_2', 'multiple'], actor)"),
     "dag_edges": (("te",), f"WITH {NODES} SELECT run_id, from_id, to_id FROM ee WHERE from_id <> to_id GROUP BY ALL"),
     "graph_filtered_edges": (("te",), f"WITH {NODES} SELECT DISTINCT run_id, from_id, to_id FROM ee WHERE from_id <> to_id AND NOT EXISTS (SELECT 1 FROM nn WHERE nn.run_id = ee.run_id AND nn.node_id IN (from_id, to_id) AND nn.status = 'started')"),
     "tree_edges": (("te",), f"WITH {NODES} SELECT run_id, from_id, to_id FROM (SELECT run_id, to_id, first(from_id ORDER BY t, q, from_id) AS from_id FROM ee GROUP BY run_id, to_id) WHERE from_id <> to_id"),
+    "dag_edges_repeated_ids": (("tr",), f"WITH {REPEATED} SELECT run_id, from_id, to_id FROM ee WHERE from_id <> to_id GROUP BY ALL"),
+    "tree_edges_repeated_ids": (("tr",), f"WITH {REPEATED} SELECT run_id, from_id, to_id FROM (SELECT run_id, to_id, first(from_id ORDER BY t, q, from_id) AS from_id FROM ee GROUP BY run_id, to_id) WHERE from_id <> to_id"),
+    "graph_filtered_edges_repeated_ids": (("tr",), f"""WITH {REPEATED}, ids AS (SELECT run_id, node_id FROM mm WHERE status <> 'started'), stay AS (SELECT mm.* FROM mm WHERE (run_id, node_id) IN (SELECT (run_id, node_id) FROM ids)),
+ up AS (SELECT run_id, event_id, arg_max(node_id, pos) AS from_id FROM stay GROUP BY run_id, event_id)
+ SELECT DISTINCT d.run_id, up.from_id, d.node_id AS to_id FROM tr JOIN mm d ON d.run_id = tr.run_id AND d.pos = tr.pos AND d.status <> 'started' JOIN up ON up.run_id = tr.run_id AND up.event_id = tr.parent_id WHERE up.from_id <> d.node_id"""),
     "timeline_edges": (("te",), f"WITH {NODES}, l AS (SELECT run_id, list(node_id ORDER BY first_timestamp, first_sequence, node_id) AS ids FROM nn GROUP BY run_id), u AS (SELECT run_id, ids, unnest(range(1, len(ids))) AS i FROM l) SELECT run_id, ids[i] AS from_id, ids[i + 1] AS to_id FROM u"),
     "mermaid_lines": (("te",), f"""WITH {NODES}, l AS (SELECT run_id, list(struct_pack(id := node_id, label := label || ' [' || array_to_string(ids, ', ') || ']') ORDER BY head) AS x FROM nn GROUP BY run_id), v AS (SELECT run_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM l)
  SELECT run_id, '  node_' || i || '["' || regexp_replace(replace(replace(replace(replace(x.label, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '[\\r\\n]', ' ', 'g') || '"]' AS line FROM v

@@ -43,6 +43,9 @@ SELECT run_id, pos, CASE WHEN n % 89 = 7 AND parent_id IS NOT NULL THEN parent_i
        CASE WHEN n % 97 = 5 THEN 'evt_missing' WHEN n % 83 = 3 THEN event_id ELSE parent_id END AS parent_id,
        CASE WHEN n % 101 = 4 THEN sequence + 1 WHEN n % 103 = 9 THEN 0 ELSE sequence END AS sequence,
        CASE WHEN n % 53 = 2 THEN 'custom.note' ELSE type END AS type, timestamp, offset_ms, actor, value, n FROM te""",
+    # the same with ids that repeat
+    "tr": """
+SELECT run_id, pos, CASE WHEN n % 7 = 3 AND parent_id IS NOT NULL THEN parent_id ELSE event_id END AS event_id, parent_id, sequence, type, timestamp, offset_ms, actor, value, n, correlation_key, error_code FROM te""",
     # conversations as runs of model calls
     "ct": """
 SELECT concat('conv_', cast(conv_id AS @text)) AS run_id, turn AS pos, concat('evt_', cast(conv_id AS @text), '_', cast(turn AS @text)) AS event_id,
@@ -93,7 +96,7 @@ SELECT run_id, sequence, concat('{"state":', cast(CASE WHEN n % 13 = 5 THEN n +
     "pb": "SELECT run_id, type, CASE WHEN n % 31 = 2 THEN 'other' ELSE correlation_key END AS correlation_key, row_number() OVER (PARTITION BY run_id ORDER BY sequence) AS k FROM te WHERE type LIKE '%.requested' AND n % 37 <> 1",
     "ar": "SELECT doc_id, @sha256(text) AS digest, @bytes(text) AS byte_length, lang AS media_type FROM documents WHERE text IS NOT NULL",
 }
-NEEDS = {"tf": ("te",), "mf": ("te",), "ck": ("te",), "sp": ("te",), "pe": ("te",), "lc": ("te",), "cn": ("te",), "cs": ("te",), "rf": ("ar",), "fl": ("ar",), "oa": ("te",), "ob": ("te",), "pa": ("te",), "pb": ("te",)}
+NEEDS = {"tf": ("te",), "tr": ("te",), "mf": ("te",), "ck": ("te",), "sp": ("te",), "pe": ("te",), "lc": ("te",), "cn": ("te",), "cs": ("te",), "rf": ("ar",), "fl": ("ar",), "oa": ("te",), "ob": ("te",), "pa": ("te",), "pb": ("te",)}
 
 
 def render(text: str, engine: int) -> str:
