@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +98,52 @@ def test_written_stream(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         append.written(spark.readStream.schema(schema).parquet(source), out, log).awaitTermination()
     assert {(r.run, json.loads(r.value)["event_id"]) for r in spark.read.text(out).collect()} == {(1, 1), (2, 2), (1, 4)}
+
+
+def one_by_one(appends):
+    """The codes of a run's appends, taken in order."""
+    ids, ended, out = [], False, []
+    for event_id, kind, parents in appends:
+        if not ids and kind != "run.started":
+            code = "RUN_NOT_FOUND"
+        elif ids and kind == "run.started":
+            code = "DUPLICATE_RUN_ID"
+        elif ended:
+            code = "INVALID_LIFECYCLE_TRANSITION"
+        elif ids and not parents:
+            code = "MISSING_PARENT_CONTEXT"
+        elif ids and any(p not in ids for p in parents):
+            code = "MISSING_PARENT_EVENT"
+        else:
+            code = "DUPLICATE_EVENT_ID" if event_id in ids else None
+        if code is None:
+            ids.append(event_id)
+            ended |= kind in R.TERMINAL
+        out.append(code)
+    return out
+
+
+def test_refusals_cascade(spark):
+    """Children of refused appends go too, refused ids stay free, a refused end leaves the run open: drawn runs with few ids against a loop."""
+    rng = random.Random(4)
+    runs, table = {}, []
+    for r in range(1000):
+        ids = [f"e{k}" for k in range(rng.randint(2, 12))]
+        appends = [] if rng.random() < 0.1 else [("e0", "run.started", [])]
+        for _ in range(rng.randint(1, 16)):
+            kind = rng.choice(["note"] * 20 + ["run.started", "run.completed", "run.failed"])
+            appends.append((rng.choice(ids), kind, rng.sample([*ids[:3], *ids, "gone"], rng.choice([0, 1, 1, 1, 1, 2]))))
+        runs[f"r{r}"] = one_by_one(appends)
+        table += [(f"r{r}", k, *a) for k, a in enumerate(appends)]
+    got = {(r.run_id, r.pos): r.code for r in R.judged(spark.createDataFrame(table, "run_id string, pos long, event_id string, type string, parent_ids array<string>")).collect()}
+    want = {(run, k): c for run, codes in runs.items() for k, c in enumerate(codes)}
+    assert got == want and {*want.values()} == {None, "RUN_NOT_FOUND", "DUPLICATE_RUN_ID", "INVALID_LIFECYCLE_TRANSITION", "MISSING_PARENT_CONTEXT", "MISSING_PARENT_EVENT", "DUPLICATE_EVENT_ID"}
+
+
+def test_a_refused_chain(spark):
+    """30,000 appends hang on one that is refused; they go in rounds of doubling, and the end that hangs on them doesn't end the run."""
+    ids = spark.range(30_000)
+    chain = ids.selectExpr("'r' AS run_id", "id + 1 AS pos", "concat('e', id) AS event_id", "if(id = 29999, 'run.completed', 'note') AS type", "array(if(id = 0, 'gone', concat('e', id - 1))) AS parent_ids")
+    ends = spark.createDataFrame([("r", 0, "s", "run.started", []), ("r", 30_001, "u", "note", ["s"]), ("r", 30_002, "e5", "note", ["u"])], chain.schema)
+    got = R.judged(chain.unionByName(ends))
+    assert {(r.code, r["count"]) for r in got.groupBy("code").count().collect()} == {("MISSING_PARENT_EVENT", 30_000), (None, 3)}
