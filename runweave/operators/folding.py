@@ -415,7 +415,7 @@ def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _batches(made(), _BLOCKS)
 
 
-def stretches(changes: DataFrame, checkpointed: Callable[[DataFrame], DataFrame], parts: int | None = None) -> DataFrame:
+def stretches(changes: DataFrame, kept: Callable[[DataFrame], DataFrame], parts: int | None = None) -> DataFrame:
     """(run_id, pos, sequence, path, operation, value_json) -> run_id, stretch: one for each run, of all its events in order of pos.
 
     Events are dealt by ranges of (run_id, pos), so a long run lies on many tasks, and each makes one patch of its share. Patches are joined
@@ -424,21 +424,21 @@ def stretches(changes: DataFrame, checkpointed: Callable[[DataFrame], DataFrame]
     rows = changes.select("run_id", "pos", "sequence", "path", "operation", "value_json")
     by = ("run_id", "pos", "sequence")
     dealt = rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)
-    blocks = checkpointed(dealt.sortWithinPartitions(*by).mapInArrow(_summed, _BLOCK))
+    blocks = kept(dealt.sortWithinPartitions(*by).mapInArrow(_summed, _BLOCK))
     most = blocks.groupBy("run_id").count().agg(F.max("count")).first()[0] or 0
     while most > 1:
         up = blocks.withColumn("up", F.floor(F.col("part") / FAN))
-        blocks = checkpointed(up.repartition("run_id", "up").sortWithinPartitions("run_id", "up", "part").mapInArrow(_joined, _BLOCK))
+        blocks = kept(up.repartition("run_id", "up").sortWithinPartitions("run_id", "up", "part").mapInArrow(_joined, _BLOCK))
         most = blocks.groupBy("run_id").count().agg(F.max("count")).first()[0]
     return blocks.select("run_id", "stretch")
 
 
-def fold(changes: DataFrame, checkpointed: Callable[[DataFrame], DataFrame], bases: DataFrame | None = None, parts: int | None = None, text: Callable = canonical) -> DataFrame:
+def fold(changes: DataFrame, kept: Callable[[DataFrame], DataFrame], bases: DataFrame | None = None, parts: int | None = None, text: Callable = canonical) -> DataFrame:
     """run_id, state_json, error, broken (sequences aren't 1..n): the state of each run after its changes (a null path changes nothing), from nothing or from its base.
 
     bases: run_id, base_state (JSON). text: how a state is written.
     """
-    s = stretches(changes, checkpointed, parts)
+    s = stretches(changes, kept, parts)
     s = s.withColumn("base_state", F.lit(None).cast("string")) if bases is None else s.join(bases.select("run_id", "base_state"), "run_id", "left")
 
     def ended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..sources import adapters
 from . import forests
-from .procedures import checkpointed
+from .procedures import settled
 
 #: Limits of an import, and the names of the numbers of kinds and states.
 LIMITS = {"traces": 100, "spans": 10_000, "attributes": 128, "value_length": 16_384, "depth": 16, "events": 128, "links": 128}
@@ -250,7 +250,7 @@ def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def forest(spans: DataFrame, most: int = forests.SMALL) -> DataFrame:
     """trace_id, span_id, parent (after cuts), sequence (from 2), depth, detached; spans: trace_id, span_id, parent, start_ns."""
-    return forests.forest(spans, _ordered, checkpointed, most)
+    return forests.forest(spans, _ordered, settled, most)
 
 
 def normalized(spans: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ REDACTION_RULES = (("token", r"[0-9a-f]{32,}"), ("email", r"[A-Za-z0-9._%+-]+@[A
 
 def fold_state(changes: DataFrame, parts: int | None = None) -> DataFrame:
     """(run_id, pos, sequence, path, operation, value_json) -> run_id, state_json, state_hash, error. Runs are folded in stretches (see folding), whatever their length."""
-    out = folding.fold(changes, checkpointed, parts=parts).drop("broken")
+    out = folding.fold(changes, settled, parts=parts).drop("broken")
     return out.withColumn("state_hash", F.sha2("state_json", 256))
 
 
@@ -34,19 +35,32 @@ def state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- graphs ----------------------------------------------------------------------------------
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names; on one machine, where none is named, in a temporary one."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="shared-")
+def _shared(spark: SparkSession) -> str:
+    """The folder that the cluster names; on one machine, where none is named, a temporary one."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="shared-")
+    if not held.isDefined():
         spark.sparkContext.setCheckpointDir(shared)
+    return shared
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows as a table in the shared folder. Unlike a checkpoint's, its plan knows nothing of how they were made, so that plans of many rounds stay small."""
+    path = f"{_shared(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def peeled(pdf: pd.DataFrame) -> pd.DataFrame:
     """A small run: sources go, one after another; what is left is held up by a cycle."""
     ids = set(pdf.event_id)
@@ -83,7 +97,7 @@ def cyclic_events(events: DataFrame, most: int = forests.SMALL) -> DataFrame:
         above = first.select("run_id", F.col("event_id").alias("parent_id"), F.col("at").alias("above"))
         risen = edges.join(first, ["run_id", "event_id"]).join(above, ["run_id", "parent_id"]).where("above >= at").select("run_id").distinct()
         edges = edges.join(risen, "run_id", "left_semi")
-    return forests.held_up(edges, peeled, checkpointed, most)
+    return forests.held_up(edges, peeled, settled, most)
 
 
 def event_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources import adapters
 from . import forests
-from .procedures import checkpointed, peeled
+from .procedures import peeled, settled
 from .recovery import CURRENT
 
 #: Types that end a run, and the status that a manifest then has.
@@ -36,7 +36,7 @@ def judged(events: DataFrame) -> DataFrame:
     refusals take with them is found by doubling (forests.held_up), and only repeated ids need further rounds.
     """
     starts = events.where("type = 'run.started'").groupBy("run_id").agg(F.min("pos").alias("_start"))
-    e = checkpointed(events.join(starts, "run_id", "left"))
+    e = settled(events.join(starts, "run_id", "left"))
     later = F.col("pos") > F.col("_start")
     bare = F.coalesce(F.size("parent_ids"), F.lit(0)) <= 0
     inside = e.where(((F.col("pos") == F.col("_start")) & (F.col("type") == "run.started")) | later & (F.col("type") != "run.started") & ~bare)
@@ -70,7 +70,7 @@ def _refused(appends: DataFrame) -> DataFrame:
         alive = appends.select("run_id", "pos", "event_id").join(refused, ["run_id", "pos"], "left_anti")
         first = alive.groupBy("run_id", "event_id").agg(F.min("pos").alias("first"))
         second = alive.join(first, ["run_id", "event_id"]).where("pos > first").groupBy("run_id", "event_id").agg(F.min("pos").alias("second"))
-        known = checkpointed(first.join(second, ["run_id", "event_id"], "left"))
+        known = settled(first.join(second, ["run_id", "event_id"], "left"))
         links = wants.join(refused, ["run_id", "pos"], "left_anti").join(known, ["run_id", "event_id"], "left")
         there = F.coalesce(F.col("first") < F.col("pos"), F.lit(False))
         only = F.coalesce(F.col("second") >= F.col("pos"), F.lit(True))
@@ -79,10 +79,10 @@ def _refused(appends: DataFrame) -> DataFrame:
         edges = links.select("run_id", F.col("pos").cast("string").alias("event_id"), up.cast("string").alias("parent_id")).where("parent_id IS NOT NULL")
         # only runs with such a one are looked into
         bad = edges.where("event_id = parent_id").select("run_id").distinct()
-        found = checkpointed(forests.held_up(edges.join(bad, "run_id", "left_semi"), peeled, checkpointed).select("run_id", F.col("event_id").cast("long").alias("pos")))
+        found = settled(forests.held_up(edges.join(bad, "run_id", "left_semi"), peeled, settled).select("run_id", F.col("event_id").cast("long").alias("pos")))
         if found.isEmpty():
             return refused
-        refused = checkpointed(refused.unionByName(found))
+        refused = settled(refused.unionByName(found))
         if known.where("second IS NOT NULL").isEmpty():
             return refused
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..sources import adapters
 from . import folding
-from .procedures import checkpointed
+from .procedures import settled
 from .redaction import canonical
 
 CURRENT = "0.2.0"
@@ -56,7 +56,7 @@ def reconstructed(changes: DataFrame, checkpoints: DataFrame, events: DataFrame
     c = changes.join(base.select("run_id", "base_sequence"), "run_id", "left")
     # events up to the base stay in, without their changes, as sequences count from the run's start
     c = c.withColumn("path", F.when(F.col("sequence") > F.coalesce("base_sequence", F.lit(0)), F.col("path")))
-    out = folding.fold(c, checkpointed, base, text=canonical).join(base.select("run_id", "base_sequence"), "run_id", "left")
+    out = folding.fold(c, settled, base, text=canonical).join(base.select("run_id", "base_sequence"), "run_id", "left")
     kept = lambda c: F.when(~F.col("broken"), F.col(c))
     out = out.select("run_id", F.coalesce(kept("base_sequence"), F.lit(0)).cast("long").alias("base_sequence"), kept("state_json").alias("state_json"), F.when(F.col("broken"), "EVENT_SEQUENCE_INVALID").otherwise(F.col("error")).alias("error"))
     return out.withColumn("state_hash", F.sha2("state_json", 256))

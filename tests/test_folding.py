@@ -108,7 +108,7 @@ def test_drawn_runs_on_tasks(spark):
 
 def test_a_million_changes_of_one_run(spark):
     changes = spark.range(1_000_000).selectExpr("'r' AS run_id", "id AS pos", "id + 1 AS sequence", "CASE WHEN id = 0 THEN '/log' WHEN id % 1000 = 0 THEN '/log' ELSE concat('/k', id % 50) END AS path", "if(id > 0 AND id % 1000 = 0, 'append', 'set') AS operation", "if(id = 0, '[]', cast(id AS string)) AS value_json")
-    parts = folding.stretches(changes, procedures.checkpointed, 64)
+    parts = folding.stretches(changes, procedures.settled, 64)
     assert parts.count() == 1
     (r,) = procedures.fold_state(changes, parts=64).collect()
     state = json.loads(r.state_json)
