@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import files
+from . import files, ranges
 
 EVENT = T.StructType(
     [
@@ -74,8 +74,10 @@ def event_files(spark: SparkSession, folder: str) -> DataFrame:
     return f.select(_run_folder(F.col("path"), "events\\.jsonl").alias("folder"), F.col("length").alias("byte_length"))
 
 
-def read_lines(spark: SparkSession, folder: str, name: str = "events.jsonl") -> DataFrame:
-    """folder, line (physical, from 1), raw, last (unterminated last line) of every line that isn't blank."""
+def read_lines(spark: SparkSession, folder: str, name: str = "events.jsonl", size: int = ranges.RANGE) -> DataFrame:
+    """folder, line (physical, from 1), raw, last (unterminated last line) of every line that isn't blank. Where a file is above that size, files are read in ranges (see ranges)."""
+    if ranges.large(folder, name, size):
+        return ranges.read_lines(spark, folder, name, size).select("folder", "line", "raw", "last")
     f = _files(spark, folder, name).withColumn("folder", _run_folder(F.col("path"), name.replace(".", "\\.")))
     parts = F.split("value", "\n")
     lines = f.select("folder", F.size(parts).alias("n"), F.posexplode(parts).alias("k", "raw"))
