@@ -35,7 +35,7 @@ def state_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- graphs ----------------------------------------------------------------------------------
 
 
-def _shared(spark: SparkSession) -> str:
+def shared(spark: SparkSession) -> str:
     """The folder that the cluster names; on one machine, where none is named, a temporary one."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     shared = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
@@ -50,13 +50,13 @@ def _shared(spark: SparkSession) -> str:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder."""
-    _shared(df.sparkSession)
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
 def settled(df: DataFrame) -> DataFrame:
     """The same rows as a table in the shared folder. Unlike a checkpoint's, its plan knows nothing of how they were made, so that plans of many rounds stay small."""
-    path = f"{_shared(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    path = f"{shared(df.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

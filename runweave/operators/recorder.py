@@ -230,17 +230,17 @@ def inferred_schema(c: Column) -> Column:
 # --- queries ---------------------------------------------------------------------------------
 
 
-def _appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+def appends(spark: SparkSession, sf_dir: str) -> DataFrame:
     lc = adapters.views(spark, sf_dir, ("lc",))["lc"]
     return lc.withColumn("parent_ids", F.array_compact(F.array("parent_id")))
 
 
 def run_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(_appends(spark, sf_dir)).select("run_id", "pos", "event_id", "code")
+    return judged(appends(spark, sf_dir)).select("run_id", "pos", "event_id", "code")
 
 
 def run_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = manifests(judged(_appends(spark, sf_dir)).where("code IS NULL"))
+    m = manifests(judged(appends(spark, sf_dir)).where("code IS NULL"))
     return m.select("run_id", "created_at", "updated_at", "completed_at", "run_state", "terminal_status", "completeness", "last_sequence", "event_count", "root_event_id", F.to_json("limitations").alias("limitations"))
 
 
