@@ -13,9 +13,11 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.places import placed
+from ..operators.procedures import settled
+
 #: Limits of a queue and of a sender.
 MAX_ENTRIES, MAX_BYTES, RETENTION_S, STALE_LOCK_S = 1000, 64 << 20, 7 * 86400, 300
 TIMEOUT_S, MAX_ATTEMPTS, BUDGET_S, MAX_REPLY = 10, 3, 30, 4 << 20
@@ -28,16 +30,14 @@ def fingerprint(config: dict) -> str:
 
 
 def requests(spans: DataFrame, limit: int = SPANS_PER_BATCH) -> DataFrame:
-    """(resource, scope: JSON; start_ns, span_id, span: struct) -> group, batch, n_spans, request: OTLP/JSON of at most `limit` spans of one resource and scope.
+    """(resource, scope: JSON; start_ns, span_id, span: struct) -> group, batch, n_spans, request: OTLP/JSON of `limit` spans (the last one of fewer) of one resource and scope.
 
-    Batches are numbered in parallel: a group's spans are split by hash first, so that no task sorts a whole group.
+    Each batch is a run of starts: spans are placed in their group by start and id, spread over ranges, so no task sorts a whole group.
     """
-    parts = spans.groupBy("resource", "scope").agg(F.ceil(F.count("*") / (limit * 200)).alias("parts"))
-    s = spans.join(parts, ["resource", "scope"]).withColumn("part", F.pmod(F.xxhash64("span_id"), F.col("parts")))
-    s = s.withColumn("batch", F.floor((F.row_number().over(W.partitionBy("resource", "scope", "part").orderBy("start_ns", "span_id")) - 1) / limit))
-    g = s.groupBy("resource", "scope", "part", "batch").agg(F.count("*").alias("n_spans"), F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("start_ns", "span_id", "span"))), lambda x: x["span"])).alias("spans"))
+    s = placed(spans, ["resource", "scope"], ["start_ns", "span_id"], settled).withColumn("batch", F.floor(F.col("place") / limit))
+    g = s.groupBy("resource", "scope", "batch").agg(F.count("*").alias("n_spans"), F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("place", "span"))), lambda x: x["span"])).alias("spans"))
     text = F.concat(F.lit('{"resourceSpans":[{"resource":'), "resource", F.lit(',"scopeSpans":[{"scope":'), "scope", F.lit(',"spans":'), "spans", F.lit("}]}]}"))
-    return g.select(F.sha2(F.concat_ws("|", "resource", "scope"), 256).alias("group"), F.concat_ws("-", "part", "batch").alias("batch"), "n_spans", text.alias("request"))
+    return g.select(F.sha2(F.concat_ws("|", "resource", "scope"), 256).alias("group"), F.col("batch").cast("string").alias("batch"), "n_spans", text.alias("request"))
 
 
 def dry_run(requests_: DataFrame) -> DataFrame:
