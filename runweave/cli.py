@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .corpus import KINDS, Corpus
 from .operators import otlp, procedures, redaction
-from .sources import queue, snapshots
+from .sources import exporter, queue, snapshots
 
 #: States of nodes.
 STATUSES = ("started", "completed", "failed", "changed", "recorded", "checkpointed", "verified", "unknown")
@@ -46,7 +47,10 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--mode", choices=("mock",), default="mock")
             c.add_argument("--output", help="folder for the replays, written as runs of their own")
         if name == "export-otel":
-            c.add_argument("--dry-run", action="store_true", required=True)
+            way = c.add_mutually_exclusive_group(required=True)
+            way.add_argument("--dry-run", action="store_true", help="tell what would be sent")
+            way.add_argument("--config", help="JSON file with endpoint, queueDir and, if need be, headers, batchSpanLimit, queueMaxEntries, queueMaxBytes")
+            c.add_argument("--resume", action="store_true", help="send only what waits in the queue")
     c = sub.add_parser("import-otel")
     c.add_argument("files", nargs="+")
     c.add_argument("--output", required=True)
@@ -63,11 +67,32 @@ def show(df, out) -> int:
 
 
 def exported(corpus: Corpus):
-    """Requests of all spans, metadata only."""
+    """All spans as they go into requests, metadata only."""
     s = corpus.export()[0]
     link = F.transform("links", lambda x: F.struct(F.when(x.contains("/"), F.substring_index(x, "/", 1)).otherwise(F.col("trace_id")).alias("traceId"), F.substring_index(x, "/", -1).alias("spanId")))
     text = F.struct(F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.col("parent_span_id").alias("parentSpanId"), "name", F.col("start_ns").cast("string").alias("startTimeUnixNano"), F.col("end_ns").cast("string").alias("endTimeUnixNano"), F.struct(F.col("status_code").alias("code")).alias("status"), F.when(F.size("links") > 0, link).alias("links"))
-    return queue.requests(s.select(F.lit('{"attributes":[]}').alias("resource"), F.lit('{"name":"runweave"}').alias("scope"), "start_ns", "span_id", text.alias("span")))
+    return s.select(F.lit('{"attributes":[]}').alias("resource"), F.lit('{"name":"runweave"}').alias("scope"), "start_ns", "span_id", text.alias("span"))
+
+
+def settings(path: str) -> dict:
+    """The settings of an exporter in a file; ValueError where they aren't right."""
+    with open(path, encoding="utf-8") as f:
+        s = json.load(f)
+    if not isinstance(s, dict) or not all(isinstance(s.get(k), str) and s[k] for k in ("endpoint", "queueDir")):
+        raise ValueError("endpoint and queueDir are needed")
+    if bad := [k for k in ("batchSpanLimit", "queueMaxEntries", "queueMaxBytes") if not isinstance(s.get(k, 1), int) or s.get(k, 1) < 1]:
+        raise ValueError(f"{bad[0]} must be a whole number above 0")
+    return s
+
+
+def delivered(corpus: Corpus, s: dict, resume: bool, out) -> int:
+    """Exports all spans, or only goes on with what waits, and tells the deliveries."""
+    e = exporter.Exporter(corpus.spark, s["queueDir"], queue.sender(s["endpoint"], s.get("headers")), s.get("batchSpanLimit", queue.SPANS_PER_BATCH), s.get("queueMaxEntries", queue.MAX_ENTRIES), s.get("queueMaxBytes", queue.MAX_BYTES))
+    state = {"state": "resumed"} if resume else e.export(exported(corpus))
+    report = {**state, **e.shutdown()}
+    print(json.dumps(report, sort_keys=True), file=out)
+    lost = any(d["state"] != "accepted" or d["rejected_spans"] for d in report["deliveries"])
+    return int(state["state"] == "not_queued" or report["pending"] > 0 or lost)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
@@ -79,6 +104,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     if a.command == "graph" and a.min_sequence is not None and a.max_sequence is not None and a.min_sequence > a.max_sequence:
         print("--min-sequence can't be greater than --max-sequence", file=sys.stderr)
         return 2
+    try:
+        chosen = settings(a.config) if a.command == "export-otel" and a.config else None
+    except (OSError, ValueError) as e:
+        print(f"{a.config}: {e}", file=sys.stderr)
+        return 2
     spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "import-otel":
         spans, found = otlp.import_files(spark, a.files)
@@ -110,7 +140,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
         show(done, out)
         return int(show(bad, out) > 0)
     else:
-        show(queue.dry_run(exported(c)), out)
+        if a.config:
+            return delivered(c, chosen, a.resume, out)
+        show(queue.dry_run(queue.requests(exported(c))), out)
     return 0
 
 

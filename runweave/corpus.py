@@ -64,7 +64,7 @@ class Corpus:
         return snapshots.tails(self.spark, self.folder)
 
     def graph(self, kind: str = "causal-dag", actor: str | None = None, type: str | None = None, status: str | None = None, min_sequence: int | None = None, max_sequence: int | None = None, fold: bool = True) -> tuple[DataFrame, DataFrame]:
-        """(nodes, edges). The filters choose nodes: by their one actor (`multiple` where there are several), a type among their events, their status, and ranges that overlap the bounds; edges stand between nodes that stay. Without fold, each event is a node."""
+        """(nodes, edges). The filters choose nodes: by their one actor (`multiple` where there are several), a type among their events, their status, and ranges that overlap the bounds; edges stand between nodes that stay. Without fold, each event is a node. Nodes come by sequence, edges by the ids of their ends in the order of the Unicode collation."""
         quoted = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
         only = [
             None if actor is None else f"actor = {quoted(actor)}",
@@ -76,7 +76,8 @@ class Corpus:
         shown = " AND ".join(c for c in only if c) or "true"
         te = self.flat() if kind != "timeline" else self.single()
         nodes = plans.run("graph_nodes", self.spark, fold=fold, shown=shown, te=self.single())
-        return nodes, plans.run(KINDS[kind], self.spark, fold=fold, shown=shown, te=te)
+        edges = plans.run(KINDS[kind], self.spark, fold=fold, shown=shown, te=te)
+        return nodes.orderBy("run_id", "first_sequence"), edges.orderBy("run_id", *(F.collate(c, "UNICODE") for c in ("from_id", "to_id")))
 
     def mermaid(self, kind: str = "causal-dag", **only) -> DataFrame:
         """run_id, part (1: nodes, 2: edges), a, b (numbers of nodes, in order of their first events), line of the graph's flow chart."""

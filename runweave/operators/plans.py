@@ -32,7 +32,7 @@ parents AS (SELECT DISTINCT f.run_id, o.node_id AS from_id, n.node_id AS to_id,
    FROM f JOIN nodes n ON f.run_id = n.run_id AND f.grp = n.grp JOIN owners w ON f.run_id = w.run_id AND f.parent_id = w.event_id),
 edges AS (SELECT * FROM parents WHERE from_id <> to_id)"""
 GROUPS = GROUPS_OF.replace("@shown", "true")
-TREE = "SELECT run_id, from_id, to_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, to_id ORDER BY t, q, from_id) AS k FROM parents) x WHERE k = 1 AND from_id <> to_id"
+TREE = "SELECT run_id, from_id, to_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id, to_id ORDER BY t COLLATE UNICODE, q, from_id COLLATE UNICODE) AS k FROM parents) x WHERE k = 1 AND from_id <> to_id"
 CALLS = """
 c AS (SELECT *, CASE WHEN type LIKE 'model.%' THEN 'model' WHEN type LIKE 'tool.%' THEN 'tool' END AS kind FROM te),
 req AS (SELECT *, row_number() OVER (PARTITION BY run_id, kind, correlation_key ORDER BY sequence) AS attempt FROM c WHERE type LIKE '%.requested'),
@@ -81,7 +81,7 @@ m AS (SELECT *, max(declared) OVER (PARTITION BY run_id) AS has FROM r) SELECT r
     "tree_edges": (("te",), f"WITH {GROUPS} {TREE}"),
     **{f"{k}_repeated_ids": (("tr",), f"WITH {GROUPS_OF.replace('@shown', shown)} {rest}".replace("FROM te)", "FROM tr)")) for k, shown, rest in (
         ("dag_edges", "true", "SELECT DISTINCT run_id, from_id, to_id FROM edges"), ("tree_edges", "true", TREE), ("graph_filtered_edges", "status <> 'started'", "SELECT DISTINCT run_id, from_id, to_id FROM edges"))},
-    "timeline_edges": (("te",), f"WITH {GROUPS} SELECT run_id, node_id AS from_id, to_id FROM (SELECT *, lead(node_id) OVER (PARTITION BY run_id ORDER BY first_timestamp, first_sequence, node_id) AS to_id FROM nodes) x WHERE to_id IS NOT NULL"),
+    "timeline_edges": (("te",), f"WITH {GROUPS} SELECT run_id, node_id AS from_id, to_id FROM (SELECT *, lead(node_id) OVER (PARTITION BY run_id ORDER BY first_timestamp COLLATE UNICODE, first_sequence, node_id COLLATE UNICODE) AS to_id FROM nodes) x WHERE to_id IS NOT NULL"),
     "mermaid_lines": (("te",), f"""WITH {GROUPS}, own AS (SELECT run_id, grp, pos, event_id FROM f GROUP BY run_id, grp, pos, event_id),
 k AS (SELECT n.run_id, n.node_id, concat(n.label, ' [', o.ids, ']') AS label, row_number() OVER (PARTITION BY n.run_id ORDER BY n.first_pos) AS i FROM nodes n JOIN (SELECT run_id, grp, @joined(event_id, pos) AS ids FROM own GROUP BY run_id, grp) o ON o.run_id = n.run_id AND o.grp = n.grp)
 SELECT run_id, concat('  node_', cast(i AS @text), '["', replace(replace(replace(replace(replace(replace(label, '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;'), chr(13), ' '), chr(10), ' '), '"]') AS line FROM k

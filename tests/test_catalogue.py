@@ -73,6 +73,27 @@ def test_graph_of_a_run(spark):
     }
 
 
+def test_parents_of_a_repeated_id(spark):
+    """A parent's id stands for the last event of that id, among the nodes that are shown."""
+    te = trace(spark, [("a", "run.started", None), ("b", "model.delta", "a"), ("x", "model.delta", "a"), ("c", "note", "x"), ("y", "model.delta", "c"), ("b", "model.delta", "c"), ("d", "tool.failed", "b")])
+    edges = lambda name, **k: {(r.from_id, r.to_id) for r in plans.run(name, spark, te=te, **k).collect()}
+    assert edges("dag_edges") == {("a", "group:b"), ("group:b", "c"), ("c", "group:y"), ("group:y", "d")}
+    assert edges("tree_edges") == edges("dag_edges")
+    assert edges("dag_edges", shown="first_sequence <> 5") == {("a", "group:b"), ("group:b", "c"), ("group:b", "d")}
+
+
+def test_orders_of_ids_that_differ_by_case_and_accent(spark):
+    ids = ["b", "B", "á", "A", "a", "ab"]
+    rows = [("r", 0, "root", None, 1, "run.started", "t0", 0.0, "x"), *[("r", k + 1, e, "root", 2, "note", "t1", 1.0, "x") for k, e in enumerate(ids)]]
+    te = spark.createDataFrame(rows, "run_id string, pos long, event_id string, parent_id string, sequence long, type string, timestamp string, offset_ms double, actor string")
+    line = {r.from_id: r.to_id for r in plans.run("timeline_edges", spark, te=te).collect()}
+    order, at = [], "root"
+    while at in line:
+        at = line[at]
+        order.append(at)
+    assert order == ["a", "A", "á", "ab", "b", "B"]
+
+
 def test_first_occurrence_of_a_parent(spark):
     rows = [("r", "p", None, 0, "z.first"), ("r", "p", None, 1, "a.second"), ("r", "c", "p", 2, "x")]
     dt = spark.createDataFrame(rows, "run_id string, event_id string, parent_id string, pos long, type string")

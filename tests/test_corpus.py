@@ -1,8 +1,10 @@
 """The facade, the command line, the queue and path checks."""
 
 import hashlib
+import http.server
 import io
 import json
+import threading
 import urllib.error
 
 import pytest
@@ -61,6 +63,30 @@ def test_command_line(spark, folder):
     assert run("graph", str(folder), "--format", "mermaid")[1].startswith("flowchart TD\n")
     assert run("replay", str(folder))[0] == 0
     assert json.loads(run("export-otel", str(folder), "--dry-run")[1])["spans"] == 2
+    posted = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            posted.append((self.headers["x-key"], json.loads(self.rfile.read(int(self.headers["content-length"])))))
+            self.send_response(200 if len(posted) > 1 else 500)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    config = folder / "export.json"
+    config.write_text(json.dumps({"endpoint": f"http://127.0.0.1:{server.server_port}/", "queueDir": str(folder.parent / "queue"), "headers": {"x-key": "1"}, "batchSpanLimit": 1}))
+    code, text = run("export-otel", str(folder), "--config", str(config))
+    told = json.loads(text)
+    assert (code, told["state"], told["sent"], told["pending"]) == (1, "queued", 2, 0) and [k for k, _ in posted] == ["1", "1"]
+    assert sorted(d["state"] for d in told["deliveries"]) == ["accepted", "rejected"]
+    code, text = run("export-otel", str(folder), "--config", str(config), "--resume")
+    assert code == 0 and json.loads(text)["sent"] == 0 and len(posted) == 2
+    server.shutdown()
+    config.write_text('{"endpoint": "x"}')
+    assert run("export-otel", str(folder), "--config", str(config))[0] == 2 and run("export-otel", str(folder), "--config", "absent.json")[0] == 2
     assert run("nothing")[0] == 2 and run("export-otel", str(folder))[0] == 2
     attrs = [{"key": "password", "value": {"stringValue": "hunter2"}}]
     spans = [{"traceId": "1" * 32, "spanId": "2" * 16, "startTimeUnixNano": "5000000", "name": "n", "attributes": attrs}, {"traceId": "1" * 32, "spanId": "3" * 16, "parentSpanId": "2" * 16, "startTimeUnixNano": "7000000", "endTimeUnixNano": "9000000"}]
