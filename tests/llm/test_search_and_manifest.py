@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from runweave.llm import hashing, merkle, spelling
+from runweave.llm import embeddings, hashing, jaccard, merkle, spelling
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -235,3 +235,14 @@ def test_odd_vectors(spark):
     assert {k: v for k, v in got.items() if k < 5000} == dict(want)
     assert got[5120] == [(5121, 36.0)] and {k for k in got if k >= 5000} == {5120}
     assert hashing.nearest(df.where("false")).collect() == [] and hashing.nearest(df.where("vec_id = 20")).collect() == []
+
+
+# --- rows that share an id -------------------------------------------------------------------
+
+
+def test_vectors_that_share_an_id(spark):
+    """Two vectors under one id link with what is near each of them, and with nothing else."""
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (4, [-1.0, 0.0]), (0, [0.1, 1.0])]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    want = [(0, 2, 0), (1, 1, 1), (1, 2, 0), (2, 1, 1), (3, 2, 0), (4, 0, 4)]
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == want
