@@ -167,8 +167,37 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int = PERCENT)
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with a key __row, and whether any of them is made: ids are keys, but of rows that share only an id, all but the first (by the hash of
+    its text) get a hash of id and text above other ids, as rows without an id do."""
+    d = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
+    made = F.xxhash64("__id", "__hash").bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
+    shared = d.where("__id IS NOT NULL").groupBy(F.col("__id").alias("__of")).agg(F.min("__hash").alias("__least"), F.max("__hash").alias("__most")).where("__least < __most").drop("__most")
+    shared = checkpoint(shared)
+    if shared.isEmpty():
+        return d.withColumn("__row", F.coalesce("__id", made)), False
+    d = d.join(shared, F.col("__id") == F.col("__of"), "left")
+    return d.withColumn("__row", F.when(F.col("__id").isNull() | (F.col("__hash") > F.col("__least")), made).otherwise(F.col("__id"))), True
+
+
 def similar_groups(docs: DataFrame, n: int = SHINGLE, exact: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id of every whole text.
+    """doc_id, n_shingles, component_id of every whole text, by `groups_of`.
+
+    Rows that share an id but not the text count as rows of their own: each has a row here, and its links. A component has the smallest id in it.
+    """
+    d, made = keyed(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    if not made:
+        return groups_of(docs, n, exact)
+    named = d.where("__id IS NOT NULL").select("__id", "__row")
+    found = groups_of(d.where("__id IS NOT NULL").select(F.col("__row").alias("doc_id"), "text"), n, exact).dropDuplicates(["doc_id"])
+    rows = checkpoint(named.join(found.withColumnRenamed("doc_id", "__row"), "__row"))
+    low = rows.groupBy("component_id").agg(F.min("__id").alias("low"))
+    out = rows.join(low, "component_id").select(F.col("__id").alias("doc_id"), "n_shingles", F.col("low").alias("component_id"))
+    return out.unionByName(groups_of(docs.where(F.col("doc_id").cast("long").isNull()), n, exact))
+
+
+def groups_of(docs: DataFrame, n: int = SHINGLE, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every whole text; ids stand for one text each.
 
     Texts of equal sets are one class. For each size band, elements are dealt into
     one block more than a similar pair can differ in; by the pigeonhole one block is free of differences, and the XOR of its hashes is
@@ -220,16 +249,8 @@ def deduplicated(docs: DataFrame, exact: bool = False) -> DataFrame:
     as rows without an id do: a hash of id and text, above other ids. The others keep their id as key, since the
     join holds the members of a key against the smallest.
     """
-    d = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
-    made = F.xxhash64("__id", "__hash").bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
-    shared = d.where("__id IS NOT NULL").groupBy(F.col("__id").alias("__of")).agg(F.min("__hash").alias("__least"), F.max("__hash").alias("__most")).where("__least < __most").drop("__most")
-    shared = checkpoint(shared)
-    if shared.isEmpty():
-        d = d.withColumn("__row", F.coalesce("__id", made))
-    else:
-        d = d.join(shared, F.col("__id") == F.col("__of"), "left")
-        d = d.withColumn("__row", F.when(F.col("__id").isNull() | (F.col("__hash") > F.col("__least")), made).otherwise(F.col("__id")))
-    groups = similar_groups(d.select(F.col("__row").alias("doc_id"), "text"), exact=exact)
+    d = keyed(docs)[0]
+    groups = groups_of(d.select(F.col("__row").alias("doc_id"), "text"), exact=exact)
     first = checkpoint(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct())
     return d.join(first, F.col("__row") == F.col("__keep"), "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 

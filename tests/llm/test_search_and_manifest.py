@@ -246,3 +246,12 @@ def test_vectors_that_share_an_id(spark):
     got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     want = [(0, 2, 0), (1, 1, 1), (1, 2, 0), (2, 1, 1), (3, 2, 0), (4, 0, 4)]
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == want
+
+
+def test_texts_that_share_an_id(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, f"{a} x"), (3, f"{b} y"), (4, "other words here"), (None, a), (2, f"{a} x")]
+    got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert same([(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()], [(1, 56, 1), (1, 56, 1), (2, 57, 1), (2, 57, 1), (3, 57, 1), (4, 1, 4), (None, 56, None)])
+    low = jaccard.similar_groups(spark.createDataFrame([(5, a), (5, b), (3, f"{b} y"), (9, f"{a} x")], "doc_id long, text string"))
+    assert same([(r.doc_id, r.component_id) for r in low.collect()], [(5, 3), (3, 3), (5, 5), (9, 5)])
