@@ -178,12 +178,13 @@ class Corpus:
         return out.where("code IS NOT NULL")
 
     def state(self) -> DataFrame:
-        """run_id, base_sequence, state_json, state_hash, error."""
-        get = lambda k: F.expr(f"try_variant_get(payload, '$.{k}', 'string')")
-        changed = F.col("type") == "state.changed"
-        value = F.to_json(F.expr("try_variant_get(payload, '$.value')"))
-        c = self.events.select("run_id", "event_id", "pos", "sequence", F.when(changed, get("path")).alias("path"), F.when(changed, get("operation")).alias("operation"), F.when(changed, value).alias("value_json"))
-        return recovery.reconstructed(c, snapshots.read_checkpoints(self.spark, self.folder).where("error IS NULL"))
+        """run_id, base_sequence, state_json, state_hash, error. Changes and checkpoints whose content is an artifact are read from the run's artifacts, no others."""
+        e = self.events.select("folder", "run_id", "event_id", "pos", "sequence", "type", F.to_json("payload").alias("payload"))
+        saved = snapshots.read_checkpoints(self.spark, self.folder).where("error IS NULL").withColumn("folder", F.regexp_extract("path", "^(.*)/checkpoints/[^/]+$", 1))
+        digests = [e.where("type = 'state.changed'").select("folder", recovery.referenced(F.col("payload")).alias("digest")), saved.select("folder", recovery.referenced(F.col("state_json")).alias("digest"))]
+        wanted = procedures.settled(digests[0].unionByName(digests[1]).where("digest IS NOT NULL").distinct())
+        contents = None if wanted.isEmpty() else procedures.settled(snapshots.read_referenced(self.spark, self.folder, wanted))
+        return recovery.reconstructed(recovery.state_changes(e, contents), recovery.with_states(saved, contents))
 
     def calls(self) -> DataFrame:
         """Events in the columns of replay.schedule and replay.recorded."""

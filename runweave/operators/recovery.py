@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..sources import adapters
-from . import folding
+from . import folding, schema
 from .procedures import settled
 from .redaction import canonical
 
@@ -62,6 +62,59 @@ def reconstructed(changes: DataFrame, checkpoints: DataFrame, events: DataFrame
     return out.withColumn("state_hash", F.sha2("state_json", 256))
 
 
+# --- state in artifacts ----------------------------------------------------------------------
+
+
+def referenced(doc: F.Column) -> F.Column:
+    """The digest, if a JSON text is a reference to an artifact; else null."""
+    v = F.try_parse_json(doc)
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
+    digest = F.try_variant_get(v, "$.digest", "string")
+    fits = F.try_variant_get(v, "$.schema_version", "string").isin(*schema.VERSIONS) & (kind("digest") == "STRING") & digest.rlike("^[a-f0-9]{64}$") & (kind("media_type") == "STRING") & kind("byte_length").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    return F.when(F.coalesce(fits, F.lit(False)), digest)
+
+
+def spliced(rows: DataFrame, doc: str, contents: DataFrame | None) -> DataFrame:
+    """rows (folder, ...) with references in the column doc replaced by what they refer to, and `lost` where that isn't there.
+
+    contents: folder, digest, content (text) of artifacts that have that digest. Content that is a reference itself isn't followed.
+    """
+    r = rows.withColumn("_digest", referenced(F.col(doc)))
+    if contents is None:
+        return r.withColumn("lost", F.col("_digest").isNotNull()).drop("_digest")
+    there = contents.select("folder", F.col("digest").alias("_digest"), F.col("content").alias("_content"))
+    r = r.join(there, ["folder", "_digest"], "left")
+    new = F.when(F.col("_digest").isNull(), F.col(doc)).otherwise(F.col("_content"))
+    return r.withColumns({"lost": F.col("_digest").isNotNull() & F.col("_content").isNull(), doc: new}).drop("_digest", "_content")
+
+
+def state_changes(events: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """The changes of events (run_id, event_id, pos, sequence, type, folder, payload: JSON), for `reconstructed`: payloads that are artifacts are looked up in contents.
+
+    A payload that isn't there can't be taken by any state (STATE_VALUE_INVALID), nor one without path and operation (STATE_EVENT_INVALID).
+    """
+    changed = F.col("type") == "state.changed"
+    e = spliced(events.withColumn("payload", F.when(changed, F.col("payload"))), "payload", contents)
+    v = F.try_parse_json("payload")
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
+    good = F.coalesce((kind("path") == "STRING") & (kind("operation") == "STRING"), F.lit(False))
+    get = lambda k: F.try_variant_get(v, f"$.{k}", "string")
+    # no state takes a merge with what isn't an object, nor a path without a name
+    return e.select(
+        "run_id", "event_id", "pos", "sequence",
+        F.when(changed, F.when(F.col("lost"), "/-").when(good, get("path")).otherwise("")).alias("path"),
+        F.when(changed, F.when(F.col("lost"), "merge").otherwise(get("operation"))).alias("operation"),
+        F.when(changed, F.when(F.col("lost"), "null").otherwise(F.to_json(F.try_variant_get(v, "$.value", "variant")))).alias("value_json"),
+    )
+
+
+def with_states(checkpoints: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """Checkpoints (folder, state_json, ...) whose states that are artifacts are looked up; those that aren't there, or aren't objects, are null, so they can't be a base."""
+    c = spliced(checkpoints.withColumn("_own", F.col("state_json")), "state_json", contents)
+    whole = F.coalesce(F.schema_of_variant(F.try_parse_json("state_json")).startswith("OBJECT"), F.lit(False))
+    return c.withColumn("state_json", F.when((~F.col("lost") & whole), F.col("state_json"))).drop("lost", "_own")
+
+
 # --- migration -------------------------------------------------------------------------------
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -137,6 +141,24 @@ def read_contents(spark: SparkSession, folder: str, max_bytes: int) -> DataFrame
     return f.select(_run_folder(F.col("path"), "artifacts/sha256-[^/]*").alias("folder"), F.regexp_extract("path", "sha256-([^/]*)$", 1).alias("old_digest"), "content")
 
 
+def read_referenced(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """folder, digest, content (text) of the artifacts of (folder, digest) in wanted that are there and have that digest. Only these files are opened, by tasks."""
+    paths = read_artifacts(spark, folder).select("folder", "path", "digest").join(wanted.select("folder", "digest").distinct(), ["folder", "digest"], "left_semi")
+
+    def read(batches):
+        fs = files.opened(folder)[0]
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                with fs.open_input_file(files.opened(unquote(r["path"]))[1]) as f:
+                    content = f.read()
+                if hashlib.sha256(content).hexdigest() == r["digest"]:
+                    out.append({"folder": r["folder"], "digest": r["digest"], "content": content.decode("utf-8", "replace")})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("folder", pa.string()), ("digest", pa.string()), ("content", pa.string())]))
+
+    return paths.mapInArrow(read, "folder string, digest string, content string")
+
+
 def write_events(events: DataFrame, folder: str) -> None:
     """JSON lines, one folder a run, in order of sequence; refuses to overwrite."""
     cols = [c for c in events.columns if c != "run_id"]

@@ -1,7 +1,9 @@
 """Checkpoints and migration against small cases worked by hand."""
 
+import hashlib
 import json
 
+from runweave.corpus import Corpus
 from runweave.operators import recovery as R
 
 
@@ -24,3 +26,45 @@ def test_migration(spark):
     assert one["a"] == [{"schema_version": "0.2.0"}, {"schema_version": "9"}] and one["completeness"] == "complete"
     assert two["completeness"] == "partial" and two["limitations"][0]["code"] == "recording_failed" and "source" not in now
     assert sum(r.error == "UNSUPPORTED_SCHEMA_VERSION" for r in got) == 3
+
+
+def test_state_in_artifacts(spark, tmp_path):
+    """Changes and checkpoints that are artifacts: read, missing, of another content; only referenced files are opened."""
+    h = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    ref = lambda t: {"schema_version": "0.2.0", "digest": h(t), "media_type": "application/json", "byte_length": len(t)}
+    change = json.dumps({"path": "/big", "operation": "set", "value": [1, 2]})
+    base = '{"from":"checkpoint"}'
+
+    def run(name, payloads, stored, checkpoints=()):
+        d = tmp_path / name
+        (d / "artifacts").mkdir(parents=True)
+        (d / "checkpoints").mkdir()
+        line = lambda k, p: json.dumps({"schema_version": "0.2.0", "run_id": name, "event_id": f"e{k}", "parent_ids": [], "sequence": k, "type": "state.changed" if p is not None else "note", "payload": p})
+        (d / "events.jsonl").write_text("".join(line(k, p) + "\n" for k, p in enumerate(payloads, 1)))
+        (d / "manifest.json").write_text(json.dumps({"schema_version": "0.2.0", "run_id": name}))
+        for digest, content in stored:
+            (d / "artifacts" / f"sha256-{digest}").write_text(content)
+        for sequence, state, state_hash in checkpoints:
+            c = {"checkpoint_id": f"c{sequence}", "run_id": name, "last_event_id": f"e{sequence}", "sequence": sequence, "state": state, "state_hash": state_hash}
+            (d / "checkpoints" / f"{sequence}.json").write_text(json.dumps(c))
+
+    small = {"path": "/a", "operation": "set", "value": 1}
+    run("there", [small, ref(change), None], [(h(change), change), (h("other"), "tampered, but nobody asks")])
+    run("missing", [small, ref(change)], [])
+    run("tampered", [small, ref(change)], [(h(change), change + " ")])
+    run("shapeless", [small, {"path": "/a"}], [])
+    run("based", [small, small, {**small, "path": "/b"}], [(h(base), base)], [(2, ref(base), h(base))])
+    run("unbased", [small, small], [], [(2, ref(base), h(base))])
+    run("listed", [small, small], [(h("[1]"), "[1]")], [(2, ref("[1]"), h("[1]"))])
+    got = {r.run_id: (r.base_sequence, r.state_json, r.error) for r in Corpus(spark, str(tmp_path)).state().collect()}
+    assert got == {
+        "there": (0, '{"a":1,"big":[1,2]}', None),
+        "missing": (0, None, "STATE_VALUE_INVALID"),
+        "tampered": (0, None, "STATE_VALUE_INVALID"),
+        "shapeless": (0, None, "STATE_EVENT_INVALID"),
+        "based": (2, '{"b":1,"from":"checkpoint"}', None),
+        "unbased": (0, '{"a":1}', None),
+        "listed": (0, '{"a":1}', None),
+    }
+    saved = R.with_states(spark.createDataFrame([("f", json.dumps(ref(base))), ("f", base)], "folder string, state_json string"))
+    assert sorted(r.state_json or "" for r in saved.collect()) == ["", base]
