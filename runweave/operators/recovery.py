@@ -185,6 +185,16 @@ def state_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconstructed(*_changes(spark, sf_dir)).select("run_id", "base_sequence", "state_json", "error")
 
 
+def state_in_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs whose every third change is an artifact, some of which are lost."""
+    te = adapters.views(spark, sf_dir, ("te",))["te"]
+    doc = F.format_string('{"operation":"set","path":"/k%d","value":%d}', F.col("n") % 5, "sequence")
+    stored = te.where("n % 3 = 0 AND n % 37 <> 5").select(F.col("run_id").alias("folder"), F.sha2(doc, 256).alias("digest"), doc.alias("content")).distinct()
+    ref = F.to_json(F.struct(F.lit("0.2.0").alias("schema_version"), F.sha2(doc, 256).alias("digest"), F.lit("application/json").alias("media_type"), F.octet_length(doc).alias("byte_length")))
+    e = te.select("run_id", "event_id", "pos", "sequence", F.lit("state.changed").alias("type"), F.col("run_id").alias("folder"), F.when(F.col("n") % 3 == 0, ref).otherwise(doc).alias("payload"))
+    return folding.fold(state_changes(e, stored), settled).select("run_id", "state_json", "error")
+
+
 def checkpoint_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     ch, ck = _changes(spark, sf_dir)
     return judged_checkpoints(ck, ch).where("code IS NOT NULL").select("run_id", "checkpoint_id", "code")
@@ -197,7 +207,7 @@ def migrated_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("run_id", F.get_json_object("doc", "$.schema_version").alias("version"), F.get_json_object("doc", "$.inner.schema_version").alias("inner_version"), F.get_json_object("doc", "$.completeness").alias("completeness"), F.col("steps").cast("long").alias("steps"))
 
 
-QUERIES = {f.__name__: f for f in (state_reconstruction, checkpoint_faults, migrated_manifests)}
+QUERIES = {f.__name__: f for f in (state_reconstruction, state_in_artifacts, checkpoint_faults, migrated_manifests)}
 ORACLES = {
     # a fold of sets from any valid base is the last write of each key; the base is the latest checkpoint without a fault
     "state_reconstruction": adapters.duck(
@@ -205,6 +215,11 @@ ORACLES = {
 FROM te t LEFT JOIN (SELECT run_id, max(sequence) AS b FROM te WHERE sequence % 5 = 0 AND n % 13 <> 5 AND n % 17 <> 4 GROUP BY run_id) c ON c.run_id = t.run_id GROUP BY t.run_id""",
         ("te",),
     ),
+    "state_in_artifacts": adapters.duck(
+        """WITH k AS (SELECT run_id, n % 5 AS k, max(sequence) AS s FROM te GROUP BY ALL), bad AS (SELECT DISTINCT run_id FROM te WHERE n % 3 = 0 AND n % 37 = 5)
+SELECT run_id, if(run_id IN (SELECT run_id FROM bad), NULL, '{' || string_agg('"k' || k || '":' || s, ',' ORDER BY k) || '}') AS state_json, if(run_id IN (SELECT run_id FROM bad), 'STATE_VALUE_INVALID', NULL) AS error FROM k GROUP BY run_id""",
+        ("te",),
+    ),
     "checkpoint_faults": adapters.duck("SELECT run_id, concat('cp_', cast(n AS varchar)) AS checkpoint_id, CASE WHEN n % 13 = 5 THEN 'CHECKPOINT_EVENT_MISMATCH' ELSE 'CHECKPOINT_STATE_HASH_MISMATCH' END AS code FROM te WHERE sequence % 5 = 0 AND (n % 13 = 5 OR n % 17 = 4)", ("te",)),
     "migrated_manifests": adapters.duck("SELECT run_id, '0.2.0' AS version, '0.2.0' AS inner_version, CASE WHEN schema_version <> '0.2.0' THEN 'complete' END AS completeness, cast(CASE schema_version WHEN '0.0.0' THEN 2 WHEN '0.1.0' THEN 1 ELSE 0 END AS bigint) AS steps FROM mf", ("mf",)),
 }
