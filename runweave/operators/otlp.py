@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..sources import adapters
 from . import forests
-from .procedures import settled
+from .procedures import UUID, settled
 
 #: Limits of an import, and the names of the numbers of kinds and states.
 LIMITS = {"traces": 100, "spans": 10_000, "attributes": 128, "value_length": 16_384, "depth": 16, "events": 128, "links": 128}
@@ -401,7 +401,29 @@ QUERIES = {f.__name__: f for f in (otlp_isolation, otlp_report, otlp_normalized,
 _FATE = "SELECT trace_id, span_id, CASE WHEN count(*) % 2 = 1 THEN max(n) END AS kept_pos, cast(0 AS bigint) AS duplicates, cast(floor(count(*) / 2) AS bigint) AS conflicts FROM sp GROUP BY trace_id, span_id"
 _KEPT = f"""f AS ({_FATE}), k AS (SELECT sp.* FROM sp JOIN f ON sp.trace_id = f.trace_id AND sp.span_id = f.span_id AND sp.n = f.kept_pos),
 l AS (SELECT k.*, CASE WHEN k.parent_span_id = k.span_id THEN 'SELF_PARENT' WHEN k.parent_span_id IS NOT NULL AND p.span_id IS NULL THEN 'MISSING_PARENT' END AS fault FROM k LEFT JOIN k p ON p.trace_id = k.trace_id AND p.span_id = k.parent_span_id)"""
+# ways up to find cycles, then ways down that sort as the forest's pre-order
+_FOREST = f"""WITH RECURSIVE {_KEPT}, e AS (SELECT trace_id, span_id, start_ns, CASE WHEN fault IS NULL THEN parent_span_id END AS up FROM l),
+reach AS (SELECT trace_id, span_id, up FROM e WHERE up IS NOT NULL UNION SELECT r.trace_id, r.span_id, e.up FROM reach r JOIN e ON e.trace_id = r.trace_id AND e.span_id = r.up WHERE e.up IS NOT NULL),
+loops AS (SELECT trace_id, span_id FROM reach WHERE up = span_id),
+cut AS (SELECT r.trace_id, r.span_id FROM reach r JOIN loops o ON o.trace_id = r.trace_id AND o.span_id = r.span_id JOIN loops p ON p.trace_id = r.trace_id AND p.span_id = r.up GROUP BY ALL HAVING max(r.up) = r.span_id),
+g AS (SELECT e.trace_id, e.span_id, start_ns, CASE WHEN cut.span_id IS NULL THEN up END AS up, cut.span_id IS NOT NULL AS detached FROM e LEFT JOIN cut ON cut.trace_id = e.trace_id AND cut.span_id = e.span_id),
+tree AS (SELECT g.*, 0 AS depth, [lpad(start_ns::VARCHAR, 20, '0') || span_id] AS way FROM g WHERE up IS NULL
+ UNION ALL SELECT g.*, t.depth + 1, list_append(t.way, lpad(g.start_ns::VARCHAR, 20, '0') || g.span_id) FROM tree t JOIN g ON g.trace_id = t.trace_id AND g.up = t.span_id)"""
 ORACLES = {
+    "otlp_normalized": adapters.duck(_FOREST + " SELECT trace_id, span_id, up AS parent, 1 + row_number() OVER (PARTITION BY trace_id ORDER BY way) AS sequence, depth::BIGINT AS depth, detached FROM tree", ("sp",)),
+    "otlp_report": adapters.duck(
+        _FOREST + """ SELECT code, sum(n)::BIGINT AS n FROM (SELECT 'CONFLICTING_SPAN' AS code, conflicts AS n FROM f WHERE conflicts > 0 UNION ALL SELECT fault, 1 FROM l WHERE fault IS NOT NULL UNION ALL SELECT 'PARENT_CYCLE', 1 FROM tree WHERE detached) x GROUP BY code""",
+        ("sp",),
+    ),
+    "otlp_observation": adapters.duck(
+        _FOREST + f""", s AS (SELECT t.*, 1 + row_number() OVER (PARTITION BY t.trace_id ORDER BY way) AS sequence, k.end_ns FROM tree t JOIN k ON k.trace_id = t.trace_id AND k.span_id = t.span_id),
+r AS (SELECT trace_id, 'run.started' AS source, NULL AS parent, 1 AS sequence, 'run.started' AS type, min(start_ns) AS ns FROM s GROUP BY trace_id
+ UNION ALL SELECT trace_id, span_id, coalesce(up, 'run.started'), sequence, 'otel.span', start_ns FROM s
+ UNION ALL SELECT trace_id, 'run.observed', arg_max(span_id, sequence), max(sequence) + 1, 'run.observed', max(end_ns) FROM s GROUP BY trace_id),
+h AS (SELECT *, sha256('otlp-run:' || trace_id) AS hr, sha256('otlp-event:' || trace_id || ':' || source) AS he, sha256('otlp-event:' || trace_id || ':' || parent) AS hp FROM r)
+SELECT 'run_' || {UUID.replace("h,", "hr,")} AS run_id, 'evt_' || {UUID.replace("h,", "he,")} AS event_id, CASE WHEN parent IS NOT NULL THEN 'evt_' || {UUID.replace("h,", "hp,")} END AS parent_id, sequence::BIGINT AS sequence, type, strftime(epoch_ms(ns // 1000000), '%Y-%m-%dT%H:%M:%S.%gZ') AS timestamp FROM h""",
+        ("sp",),
+    ),
     "otlp_isolation": adapters.duck(_FATE, ("sp",)),
     "otlp_summaries": adapters.duck(
         f"""WITH {_KEPT}, w AS (SELECT trace_id, max(CASE WHEN conflicts > 0 THEN 1 ELSE 0 END) AS c FROM f GROUP BY trace_id),

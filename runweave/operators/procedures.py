@@ -147,7 +147,7 @@ def otlp_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.select("trace_id", "span_id", "n", F.concat(F.lit("run_"), scalar.deterministic_uuid(F.concat(F.lit("otlp-run:"), "trace_id"))).alias("run_id"), F.concat(F.lit("evt_"), scalar.deterministic_uuid(F.concat(F.lit("otlp-event:"), "trace_id", F.lit(":"), "span_id"))).alias("event_id"))
 
 
-_UUID = "concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), concat('4', substr(h, 14, 3)), concat(translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab'), substr(h, 18, 3)), substr(h, 21, 12))"
+UUID = "concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), concat('4', substr(h, 14, 3)), concat(translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab'), substr(h, 18, 3)), substr(h, 21, 12))"
 QUERIES = {f.__name__: f for f in (state_fold, event_cycles, otlp_forest, redact_regex, redaction_entries, state_hash, otlp_ids)}
 _CLEAN = "text"
 for _n, _p in REDACTION_RULES:
@@ -157,7 +157,7 @@ ORACLES = {
     "redaction_entries": " UNION ALL ".join(f"SELECT doc_id, '{n}' AS category, len(regexp_extract_all(text, '{p}'))::BIGINT AS n FROM documents WHERE len(regexp_extract_all(text, '{p}')) > 0" for n, p in REDACTION_RULES),
     "state_hash": "SELECT event_id, sha256(replace(props, ' ', '')) AS state_hash FROM events",
     "otlp_ids": adapters.duck(
-        f"SELECT trace_id, span_id, n, concat('run_', {_UUID.replace('h,', 'hr,')}) AS run_id, concat('evt_', {_UUID.replace('h,', 'he,')}) AS event_id FROM (SELECT *, sha256(concat('otlp-run:', trace_id)) AS hr, sha256(concat('otlp-event:', trace_id, ':', span_id)) AS he FROM sp) x",
+        f"SELECT trace_id, span_id, n, concat('run_', {UUID.replace('h,', 'hr,')}) AS run_id, concat('evt_', {UUID.replace('h,', 'he,')}) AS event_id FROM (SELECT *, sha256(concat('otlp-run:', trace_id)) AS hr, sha256(concat('otlp-event:', trace_id, ':', span_id)) AS he FROM sp) x",
         ("sp",),
     ),
 }
