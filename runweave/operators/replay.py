@@ -211,6 +211,16 @@ q AS (SELECT *, row_number() OVER (PARTITION BY run_id, kind, ck ORDER BY sequen
 d AS (SELECT * FROM e WHERE type IN ('model.completed', 'model.failed', 'tool.completed', 'tool.failed')),
 m AS (SELECT d.run_id, d.event_id, d.sequence, d.type, d.ck, d.kind, q.event_id AS asked, q.attempt, q.event_id IS NOT NULL AND q.kind = d.kind AND q.ck = d.ck AS fits FROM d LEFT JOIN q ON d.run_id = q.run_id AND d.parent_id = q.event_id WHERE d.ck IS NOT NULL)"""
 ORACLES = {
+    "replay_mock_plan": adapters.duck(
+        """WITH e AS (SELECT run_id, sequence, n, split_part(type, '.', 1) AS kind, 'key_' || (n % 2) AS ck, CAST(value AS VARCHAR) AS input FROM te WHERE type IN ('model.requested', 'tool.requested') AND n % 41 <> 3),
+s AS (SELECT true AS planned, run_id, sequence, kind, ck, input FROM e UNION ALL SELECT false, run_id, sequence, kind, ck, CASE WHEN n % 29 = 4 THEN 'x' ELSE input END FROM e WHERE n % 43 <> 7),
+c AS (SELECT s.*, (SELECT count(*) FROM s o WHERE o.planned = s.planned AND o.run_id = s.run_id AND o.sequence < s.sequence) AS call, (SELECT count(*) FROM s o WHERE o.planned = s.planned AND o.run_id = s.run_id AND o.kind = s.kind AND o.ck = s.ck AND o.sequence <= s.sequence) AS attempt FROM s),
+j AS (SELECT x.kind <> y.kind AS k, x.ck <> y.ck AS c, x.attempt <> y.attempt AS a, x.input <> y.input AS i FROM c x JOIN c y ON x.planned AND NOT y.planned AND x.run_id = y.run_id AND x.call = y.call),
+u AS (SELECT unnest(CASE WHEN k THEN ['CALL_KIND_MISMATCH'] ELSE list_filter([CASE WHEN c THEN 'CALL_CORRELATION_KEY_MISMATCH' END, CASE WHEN a THEN 'CALL_ATTEMPT_MISMATCH' END, CASE WHEN i THEN 'CALL_INPUT_MISMATCH' END], lambda v: v IS NOT NULL) END) AS code FROM j
+ UNION ALL SELECT 'CALL_COUNT_MISMATCH' FROM c GROUP BY run_id HAVING count(*) FILTER (WHERE planned) <> count(*) FILTER (WHERE NOT planned))
+SELECT code, count(*) AS n FROM u GROUP BY code""",
+        ("te",),
+    ),
     "replay_recorded": adapters.duck(_R + " SELECT run_id, kind, ck AS correlation_key, attempt, event_id, split_part(type, '.', 2) AS outcome FROM m WHERE fits", ("te",)),
     "replay_recorded_faults": adapters.duck(
         _R
