@@ -225,8 +225,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, n_pivots:
     v = checkpoint(v.withColumn("code", F.when(F.col("vec").isNotNull(), F.sha2(F.to_json("vec"), 256))))
     classes = v.where("code IS NOT NULL").groupBy("code").agg(F.min("vec_id").cast("long").alias("least"), F.count("*").alias("copies"), F.any_value("vec").alias("vec"))
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-    # classes have numbers of their own, as rows of different vectors may share an id
-    classes = checkpoint(classes.withColumn("unit", F.transform("vec", lambda x: x / norm)).withColumn("cls", F.monotonically_increasing_id()))
+    classes = checkpoint(classes.withColumn("unit", F.transform("vec", lambda x: x / norm)).withColumn("cls", F.col("least")))
+    shared = not classes.groupBy("least").count().where("count > 1 OR least IS NULL").isEmpty()
+    if shared:  # rows of different vectors share an id, so classes get numbers of their own
+        classes = checkpoint(classes.withColumn("cls", F.monotonically_increasing_id()))
     pivots = {}
     for length, rows in sorted(classes.groupBy(F.size("unit")).count().collect()):  # one row for each length
         pivots[length] = pick_pivots(classes.where(F.size("unit") == length), n_pivots or pivots_for(rows))
@@ -243,8 +245,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, n_pivots:
     found = checkpoint(rows.select("key", "i", "j", "side", "cls", "copies", "vec").repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_compared(pivots, threshold), "cls long, links long, a long, b long"))
     links = found.where("cls IS NOT NULL").groupBy("cls").agg(F.sum("links").alias("links"))
     comp = connected_components(found.where("a IS NOT NULL").select("a", "b"))
-    smallest = comp.join(classes.select(F.col("cls").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("low"))
-    comp = comp.join(smallest, "component").select("node", "low")
+    if shared:
+        smallest = comp.join(classes.select(F.col("cls").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("low"))
+        comp = comp.join(smallest, "component").select("node", "low")
+    else:
+        comp = comp.withColumnRenamed("component", "low")
     per_class = classes.select("code", "copies", "cls", "least").join(links, "cls", "left").join(comp, F.col("cls") == F.col("node"), "left")
     per_class = per_class.select(F.col("code").alias("of"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("low", "least").alias("comp"))
     d = v.join(per_class, v["code"] == per_class["of"], "left")
