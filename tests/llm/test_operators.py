@@ -297,6 +297,64 @@ def test_html_large_host_without_marks(spark):
     assert got == want | {400 + k: t for k, t in enumerate(near)}
 
 
+def test_html_marked_articles_go_through_the_suffix_array(spark):
+    """Boilerplate within marked articles is cut: what stands in nearly all of them, and menus that leaked into some. What some articles share, and near copies, stay."""
+    rng = random.Random(4)
+    some = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    letter, menu, line, body = some(14), some(10), some(12), [f"b{k}" for k in range(120)]
+    own = {k: some(30) for k in range(700)}
+    page = lambda blocks, foot: "<body><article>" + "".join(f"<p>{b}</p>" for b in blocks) + f"</article><footer>{foot}</footer></body>"
+    made, want = [], {}
+
+    def add(host, k, blocks, keep, foot):
+        made.append((k, f"http://{host}.example/{k}", page(blocks, foot)))
+        want[k] = "\n".join(keep)
+
+    for k in range(600):  # three chunks: a letter in all articles, a line in half of them, the footer in the articles of some
+        shared = [line] if k % 2 else []
+        add("big", k, [own[k], *shared, letter, *([menu] if k < 40 else [])], [own[k], *shared], menu)
+    for k in range(600, 609):  # near copies of one article, with the letter in no other
+        words = [*body[:60], f"only{k}", *body[60:]]
+        add("copies", k, [" ".join(words), letter], [" ".join(words), letter], "c")
+    for k in range(610, 614):  # too few to tell
+        add("small", k, [own[k], line, letter], [own[k], line, letter], "c")
+    for k in range(620, 630):
+        add("half", k, [own[k], *([line] if k < 627 else [])], [own[k], *([line] if k < 627 else [])], "c")
+    df = spark.createDataFrame(made, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(df.repartition(5)).collect()}
+    assert got == want
+
+
+def test_html_chunks_miss_no_run():
+    """The runs that chunks name take in every run that reaches its share on the whole host, by brute force."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    lines = [" ".join(f"l{k}x{i}" for i in range(9)) for k in range(12)]
+    rows = []
+    for k in range(90):
+        pick = lambda p: [x for i, x in enumerate(lines) if rng.random() < p * i / 11]
+        settled = rng.random() < 0.7
+        rows.append((settled, [f"own{k} a b c d e f g h", *pick(1)], pick(0.5), settled or rng.random() < 0.8))
+    count = {}
+    for settled, own, rest, counts in rows:
+        words, edge = " ".join(own + rest).split(" "), sum(len(x.split(" ")) for x in own) if settled else 0
+        keys = html.run_keys(words)
+        for kind, found, ok in ((0, keys[edge:], counts), (1, keys[edge:], counts and not settled), (2, keys[: max(edge - 7, 0)], settled)):
+            for r in set(found) if ok else ():
+                count[kind, r] = count.get((kind, r), 0) + 1
+    sizes = [sum(c for *_, c in rows), sum(c and not s for s, *_, c in rows), sum(s for s, *_ in rows)]
+    reached = {r for (kind, r), n in count.items() if n >= max(3, (0.3, 0.3, 0.8)[kind] * sizes[kind])}
+    named, totals = set(), [0, 0, 0]
+    for c in range(3):
+        part = rows[c::3]
+        t = pa.table([pa.array(x) for x in zip(*part)] + [pa.array([3] * len(part))], names=["settled", "own", "rest", "counts", "chunks"])  # noqa: B905
+        got = html._candidates((pa.scalar("h"), pa.scalar(c)), t).to_pylist()
+        named |= {r["run"] for r in got if r["run"] is not None}
+        totals = [a + got[0][k] for a, k in zip(totals, ("pages", "undecided", "settled"), strict=True)]
+    assert totals == sizes and reached and reached <= named and len(named) < len({r for _, r in count})
+
+
 def test_suffix_array():
     s = html.Streams([(["a b c d e f g h i"], []), (["x a b c d e f g h"], ["p q r s t u v w"])])
     first, count, order, group = s.runs()
