@@ -324,7 +324,7 @@ def masked(docs: DataFrame) -> DataFrame:
             b = b.set_column(b.schema.get_field_index("text"), b.schema.field("text"), pa.array(texts, b.schema.field("text").type))
             if "n_chars" in b.schema.names:
                 at = b.schema.get_field_index("n_chars")
-                b = b.set_column(at, b.schema.field(at), pa.array([t and len(t) for t in texts], b.schema.field(at).type))
+                b = b.set_column(at, b.schema.field(at), pa.array([None if t is None else len(t) for t in texts], b.schema.field(at).type))
             yield b
 
     return docs.mapInArrow(run, docs.schema)

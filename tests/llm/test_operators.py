@@ -638,6 +638,12 @@ def test_pii_odd(odd, none):
     assert pii.masked(d).first().text == "call [PHONE] or [EMAIL] now"
 
 
+def test_pii_masks_empty_texts_with_their_length(spark):
+    made = [(1, "", 0), (2, None, None), (3, "a@b.org", 7), (4, " ", 1)]
+    got = pii.masked(spark.createDataFrame(made, "doc_id long, text string, n_chars long")).collect()
+    assert sorted(map(tuple, got)) == [(1, "", 0), (2, None, None), (3, "[EMAIL]", 7), (4, " ", 1)]
+
+
 # --- 8 ---------------------------------------------------------------------------------------
 
 
@@ -797,6 +803,18 @@ def test_pipeline(spark):
     assert out.count() > 0 and out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
 
 
+def test_pipeline_takes_odd_rows(spark, tmp_path):
+    """Null, empty and blank texts, ids and sources pass all stages."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    made = [(1, "", "en", "a", 0), (2, None, None, "a", None), (3, " \n", "en", None, 2), (None, "no id here", "en", "b", 10), (5, "write to a@b.org now", "en", "b", None), (6, "x" * 50_000, "en", "b", 50_000), (6, "another text", None, None, 12)]
+    spark.createDataFrame(made, kind).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1, 0), (6, 0, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert out and max(r.offset + r.length for r in out) <= 1024
+
+
 def test_large_group_of_near_copies(spark):
     from runweave.llm import embeddings
 
