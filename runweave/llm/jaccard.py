@@ -8,7 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, connected_components
@@ -16,6 +17,7 @@ from .common import checkpoint, connected_components
 SHINGLE, PERCENT = 5, 80
 PROBES = 40
 SKETCH = 512
+BITS = 1 << 26
 RATIO = 1.6
 LEAST = 100 / PERCENT
 _U = np.uint64
@@ -148,23 +150,76 @@ def _signed(n: int, exact: bool):
     return run
 
 
-def _arrays(n: int):
+def _alike(n: int, percent: int):
+    def run(batches):
+        seen, sets = WordHash(), {}
+
+        def of(cls: int, text: str | None) -> np.ndarray:
+            if cls not in sets:
+                if len(sets) >= 256:
+                    sets.clear()
+                sets[cls] = shingles((text or "").encode("utf-8", "surrogatepass").lower().split(), seen, n)
+            return sets[cls]
+
+        for batch in batches:
+            ends = [batch.column(c).to_pylist() for c in ("a", "b", "x", "y")]
+            good = []
+            for a, b, x, y in zip(*ends, strict=True):
+                p, q = of(a, x), of(b, y)
+                common = len(np.intersect1d(p, q, assume_unique=True)) if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) else 0
+                good.append(100 * common >= percent * (len(p) + len(q) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def bitmap(found: DataFrame, at: Column) -> Broadcast:
+    """The places of rows as bits of a broadcast array, about 16 bits a row and BITS at most. Other rows may fall on the same places, so it only sorts out early what a join would drop."""
+    size = 1 << min(BITS.bit_length() - 1, max(15, (16 * found.count()).bit_length()))
+    place = at.bitwiseAND(size - 1)
+    parts = found.select(F.shiftright(place, 15).alias("part"), place.bitwiseAND((1 << 15) - 1).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((size >> 15, 1 << 12), np.uint8)
+    for part, bits in parts.collect():
+        out[part] = np.frombuffer(bits, np.uint8)
+    return found.sparkSession.sparkContext.broadcast(out.reshape(-1))
+
+
+def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which places are set."""
+    at = at & (8 * len(bits) - 1)
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+def _standing(bits: Broadcast):
     def run(batches):
-        seen = WordHash()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array([shingles((t or "").encode("utf-8", "surrogatepass").lower().split(), seen, n).astype(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))], names=["cls", "set"])
+            yield b.filter(pa.array(_set(bits.value, b.column("at").to_numpy()))).select(["cls", "text"])
+
+    return run
+
+
+def _shared(bits: Broadcast):
+    def run(batches):
+        for b in batches:
+            ks = b.column("keys")
+            key, cls = ks.flatten().to_numpy(), np.repeat(b.column("doc_id").to_numpy(), ks.value_lengths().to_numpy())
+            held = _set(bits.value, key)
+            yield pa.RecordBatch.from_arrays([pa.array(key[held]), pa.array(cls[held])], names=["key", "cls"])
 
     return run
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int = PERCENT) -> DataFrame:
-    """The (a, b) of pairs whose sets are similar enough; sets are made again from the texts of the classes that stand in a pair."""
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = texts.join(ends, "cls", "left_semi").mapInArrow(_arrays(n), "cls long, set array<long>")
-    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
-    both = left.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    """The (a, b) of pairs whose sets are similar enough; sets are made again from the texts of the classes that stand in a pair.
+
+    Only texts that may stand in one are dealt out, and as texts: their sets of hashes take more than twice the disk.
+    """
+    place = F.xxhash64("cls")
+    bits = bitmap(pairs.select(F.explode(F.array("a", "b")).alias("cls")), place)
+    ends = texts.where("cls IS NOT NULL").select("cls", "text", place.alias("at")).mapInArrow(_standing(bits), "cls long, text string")
+    left = pairs.join(ends.select(F.col("cls").alias("a"), F.col("text").alias("x")), "a")
+    both = left.join(ends.select(F.col("cls").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_alike(n, percent), "a long, b long")
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -215,12 +270,14 @@ def groups_of(docs: DataFrame, n: int = SHINGLE, exact: bool = False) -> DataFra
     copies = of.groupBy("code", "n_shingles").agg(F.min("doc_id").alias("cls"))
     member = checkpoint(of.select("doc_id", "code", "n_shingles").join(copies, ["code", "n_shingles"]).select("doc_id", "cls", "n_shingles"))
     reps = signed.join(copies.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi").where("code IS NOT NULL").dropDuplicates(["doc_id"])
-    buckets = reps.select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), "sketch", F.explode("keys").alias("key"))
-    slim = buckets.select("key", "cls")
-    shared = slim.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key", "low")
-    inside = checkpoint(slim.join(shared, "key"))
+    slim = reps.select(F.col("doc_id").alias("cls"), F.explode("keys").alias("key"))
+    shared = checkpoint(slim.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("key", "low"))
+    # most keys have one class: only the others are dealt out a second time
+    held = of.select("doc_id", "keys").mapInArrow(_shared(bitmap(shared, F.col("key"))), "key long, cls long")
+    inside = checkpoint(held.join(shared, "key").join(copies.select("cls"), "cls", "left_semi").distinct())
     texts = d.select(F.col("doc_id").alias("cls"), "text")
-    first = checkpoint(verified(inside.where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct(), texts, n))
+    tried = checkpoint(inside.where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct())
+    first = checkpoint(verified(tried, texts, n))
     comp = connected_components(first)
     known = inside.select("key", "cls").join(comp, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
     known = checkpoint(known)
@@ -233,7 +290,6 @@ def groups_of(docs: DataFrame, n: int = SHINGLE, exact: bool = False) -> DataFra
     total = F.col("x.n") + F.col("y.n")
     may = (F.col("x.comp") < F.col("y.comp")) & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n")) & ((100 + PERCENT) * apart <= (100 - PERCENT) * total)
     more = x.join(y, (F.col("x.key") == F.col("y.key")) & may).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    tried = inside.where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b"))
     more = checkpoint(more.join(tried, ["a", "b"], "left_anti"))
     second = checkpoint(verified(more, texts, n))
     comp = connected_components(checkpoint(first.unionByName(second)))

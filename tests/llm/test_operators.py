@@ -7,6 +7,7 @@ import html as entities
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -515,6 +516,31 @@ def test_jaccard_odd(odd, none):
     assert sorted(r.doc_id for r in jaccard.deduplicated(odd).collect()) == [1, 2, 3, 4, 6, 8, 9]
 
 
+def test_jaccard_deals_out_no_text_without_a_candidate(spark):
+    """Shuffled bytes stay far below the texts, and the bitmap has each of its rows."""
+    rng = random.Random(7)
+    made = [(k, " ".join(f"{rng.getrandbits(32):x}" for _ in range(3000))) for k in range(300)]
+    made += [(1000 + k, made[k][1] + " tail") for k in range(5)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4).localCheckpoint()
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        time.sleep(1)
+        return sc.statusStore().executorList(True).head().totalShuffleWrite()
+
+    before = written()
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(df).collect()}
+    assert written() - before < sum(len(t) for _, t in made) / 4
+    assert got == {k: k % 1000 if k >= 1000 else k for k, _ in made}
+
+
+def test_bitmap_has_each_of_its_rows(spark):
+    at = np.random.default_rng(5).integers(-(1 << 63), 1 << 63, 5000)
+    bits = jaccard.bitmap(spark.createDataFrame([(int(x),) for x in at[:2500]], "key long"), F.col("key")).value
+    assert jaccard._set(bits, at[:2500]).all() and jaccard._set(bits, at[2500:]).sum() < 250 and np.unpackbits(bits).sum() <= 2500
+
+
 def test_deduplicated_keeps_null_and_shared_ids(spark):
     long = " ".join(f"w{k}" for k in range(60))
     made = [(None, "alone without an id"), (None, "another one without an id"), (None, long + " end"), (3, long), (3, long), (5, "five one"), (5, "five two"), (None, "twice"), (None, "twice"), (8, None), (8, None), (None, None), (None, "")]
