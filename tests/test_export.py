@@ -83,5 +83,14 @@ def test_walks(spark):
     assert {tuple(r) for r in ancestors.nearest_owned(edges, owned, starts).collect()} == {("r", "e699", "A"), ("q", "t", "W")}
 
 
+def test_walks_of_one_step_take_no_round(spark, monkeypatch):
+    """Where no unowned event has a parent, no way goes on; a lone root above is no reason to look further."""
+    monkeypatch.setattr(ancestors, "checkpointed", lambda df: pytest.fail("a round was made"))
+    edges = spark.createDataFrame([("r", "a", "s"), ("r", "b", "s"), ("r", "j", "a"), ("r", "j", "b"), ("r", "j", "gone")], "run_id string, event_id string, parent_id string")
+    owned = spark.createDataFrame([("r", k, k.upper()) for k in "abj"], "run_id string, event_id string, owner string")
+    got = ancestors.nearest_owned(edges, owned, owned.select("run_id", "event_id"))
+    assert sorted(map(tuple, got.collect())) == [("r", "j", "A"), ("r", "j", "B")]
+
+
 def test_schema_booleans():
     assert workflow.schema_accepts(True, 1) and workflow.schema_accepts({}, 1) and not workflow.schema_accepts(False, 1)
